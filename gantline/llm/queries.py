@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, licenses, mixing, packing, warc
+from . import fingerprints, html_text, jaccard_join, language, licenses, line_dedup, mixing, neighbours, packing, warc
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents")).drop("component", "th")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("th")
 
@@ -30,12 +42,50 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op6_source_mixing, op7_html_extraction, op8_document_fingerprints, op10_warc_derivatives)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_best_fit_packing,
+        op3_line_dedup,
+        op4_language_id,
+        op5_ngram_jaccard_join,
+        op6_source_mixing,
+        op7_html_extraction,
+        op8_document_fingerprints,
+        op9_nearest_neighbours,
+        op10_warc_derivatives,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Line dedup counted exactly, in DuckDB's SQL.
+OP3_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce(source, '') AS site FROM documents),
+lines AS (
+    SELECT k, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts
+),
+told AS (SELECT k, site, i, raw, trim(raw) AS line FROM lines),
+firsts AS (SELECT k, site, line, min(i) AS i FROM told WHERE line <> '' GROUP BY k, site, line),
+around AS (
+    SELECT site, line, lag(line) OVER w AS before, lead(line) OVER w AS after FROM firsts WINDOW w AS (PARTITION BY k ORDER BY i)
+),
+gone AS (
+    SELECT line FROM around GROUP BY line
+    HAVING count(DISTINCT site) >= 10 AND count(DISTINCT struct_pack(b := coalesce(before, chr(0)), a := coalesce(after, chr(0)))) >= ceil(count(*) * 0.5)
+)
+SELECT t.doc_id,
+    CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(string_agg(x.raw, chr(10) ORDER BY x.i) FILTER (WHERE g.line IS NULL), '') END AS text,
+    CAST(count(x.i) AS BIGINT) AS n_lines, CAST(count(g.line) AS BIGINT) AS n_removed
+FROM texts t LEFT JOIN told x ON x.k = t.k LEFT JOIN gone g ON g.line = x.line
+GROUP BY t.k, t.doc_id, t.text
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
