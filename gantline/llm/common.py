@@ -1,67 +1,13 @@
-"""What the corpus operators share: tables, scratch tables in the shared folder, exact global ranks."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from ..sources.scratch import Scratch, global_rank, shared_dir
+
+__all__ = ["Scratch", "global_rank", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gantline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage; a lost executor costs no more than the tasks it ran.
-
-    ``put`` writes a DataFrame as Parquet below the shared folder and gives the table that reads it,
-    ``drop`` deletes what is no longer read.
-    """
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.at}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path  # type: ignore[attr-defined]
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)  # type: ignore[attr-defined]
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def global_rank(df: DataFrame, scratch: Scratch, by: list[Column], name: str = "rank") -> DataFrame:
-    """Add the 0-based place of each row in the order ``by``, without one task that sees all rows.
-
-    The rows are dealt by range and sorted; the place in a range is written, and what stands in
-    earlier ranges is added from one count per range.
-    """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = scratch.put(
-        df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranked"
-    ).withColumn("_range", F.shiftright("_at", 33))
-    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    return (
-        placed.join(F.broadcast(before), "_range")  # a row for each range at most
-        .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
-        .drop("_range", "_at", "_before")
-    )
