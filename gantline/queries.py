@@ -193,8 +193,8 @@ def first_last_departure(spark, sf_dir):
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount > 0.09),
 ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS at FROM ends UNION SELECT r.node, ends.b FROM reach r JOIN ends ON ends.a = r.at)
-SELECT node, min(at) AS component FROM reach GROUP BY node""")
+reach AS (SELECT a AS node, a AS reached FROM ends UNION SELECT r.node, ends.b FROM reach r JOIN ends ON ends.a = r.reached)
+SELECT node, min(reached) AS component FROM reach GROUP BY node""")
 def family_components(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09").select("l_orderkey", "l_partkey")
     pairs = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
