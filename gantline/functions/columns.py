@@ -47,7 +47,7 @@ def weekday_label(flags: list[Column]) -> Column:
 
 def ymd(text: Column) -> Column:
     """YYYYMMDD as a date, null where it is none."""
-    return F.try_to_date(F.trim(text), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.trim(text), "yyyyMMdd")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -33,19 +33,17 @@ def order_share(a: list, b: list) -> float | None:
 
 
 def edits(a: list, b: list) -> list[tuple[str, list, str]]:
-    """(kind, names, end) of what turns a into b: an insertion or deletion at one end alone is an extension or a truncation;
-    otherwise each deleted and each inserted run is told."""
-    codes = [c for c in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if c[0] != "equal"]
-    if len(codes) == 1 and codes[0][0] in ("insert", "delete"):
-        tag, i1, i2, j1, j2 = codes[0]
-        at_start, at_end = i1 == 0, i2 == len(a)
-        if at_start != at_end or (at_start and at_end and a and b):
-            names = b[j1:j2] if tag == "insert" else a[i1:i2]
-            return [("PATTERN_EXTENDED" if tag == "insert" else "PATTERN_TRUNCATED", names, "start" if at_start else "end")]
+    """(kind, names, end) of what turns a into b: names put on or taken off at an end alone extend or truncate it,
+    and what is left of a changed stretch is told as names removed and names inserted, one or a run."""
     out = []
-    for tag, i1, i2, j1, j2 in codes:
-        if tag in ("delete", "replace"):
-            out.append(("STOP_REMOVED_FROM_PATTERN" if i2 - i1 == 1 else "DETOUR_REMOVED", a[i1:i2], ""))
-        if tag in ("insert", "replace"):
-            out.append(("STOP_INSERTED_IN_PATTERN" if j2 - j1 == 1 else "DETOUR_ADDED", b[j1:j2], ""))
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag == "equal":
+            continue
+        start, end = i1 == j1 == 0, i2 == len(a) and j2 == len(b)
+        if tag != "replace" and (start or end):
+            out.append(("PATTERN_EXTENDED" if tag == "insert" else "PATTERN_TRUNCATED", b[j1:j2] or a[i1:i2], "start" if start else "end"))
+            continue
+        for names, one, run in ((a[i1:i2], "STOP_REMOVED_FROM_PATTERN", "DETOUR_REMOVED"), (b[j1:j2], "STOP_INSERTED_IN_PATTERN", "DETOUR_ADDED")):
+            if names:
+                out.append((one if len(names) == 1 else run, names, ""))
     return out

@@ -29,10 +29,12 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by`` names a column that gets a folder for each value."""
         self.n += 1
         path = f"{self.at}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
