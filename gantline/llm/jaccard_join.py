@@ -41,7 +41,7 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: Smallest classes of a token that its other classes are verified against first, and how many of them for a class.
 HUBS = 3
-#: Classes whose ids are broadcast to the scan that makes their sets, at most (8 bytes each).
+#: Classes whose documents are told to the scan that makes their sets by broadcast, at most (16 bytes each).
 BROADCAST_CLASSES = 2_000_000
 #: Bytes of text that go through numpy at once.
 CHUNK_BYTES = 1 << 21
@@ -236,11 +236,37 @@ def class_sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "cls long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def promising(met: DataFrame) -> DataFrame:
+    """(a, b, met) of the pairs in rows (token, cls_a, n_a, need_a, cls_b, n_b, need_b) that may be similar enough.
+
+    Of two sets, all that the one whose prefix ends first shares is in both prefixes or beyond its own prefix. So the
+    overlap is at most the tokens met and what is beyond the longer rest; where that falls short, or fewer tokens are met
+    than the smaller l, the pair is out.
+    """
+    rest = lambda k: F.expr(f"({PERCENT} * n_{k} + 99) div 100 - need_{k}")
+    overlap = F.expr(f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
+    least = F.greatest(F.least("need_a", "need_b").cast("long"), overlap - F.greatest(rest("a"), rest("b")))
+    alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    pairs = met.filter(alike).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(least).alias("least"))
+    return pairs.filter("met >= least").select("a", "b", "met")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. The sets are made again from the text of one document of each class."""
+    pairs = scratch.put(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    member = F.min(F.struct(key.alias("id"), "th")).alias("m")
+    members = scratch.put(classed.join(wanted, "cls", "left_semi").groupBy("cls").agg(member).select("m.id", "m.th"), "members")
+    few = members.count() <= BROADCAST_CLASSES
+    chosen = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
+    sets = scratch.put(class_sets(chosen.join(F.broadcast(members) if few else members, ["id", "th"], "left_semi")), "sets")
     left, right = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    found = both.filter(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    found = scratch.put(found.distinct(), "links")
+    scratch.drop(sets)
+    return found
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,33 +300,20 @@ def link(docs: DataFrame) -> DataFrame:
     here = Window.partitionBy("token")
     shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1").select("token", "cls", "n", "need")
     shared = scratch.put(shared, "postings")
-    wanted = scratch.put(shared.select("cls").distinct(), "wanted")
-    # One document for each class that may have a partner; its set is made again from its text.
-    of_class = scratch.put(classed.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("th").alias("th")).select("th"), "members")
-    few = of_class.count() <= BROADCAST_CLASSES
-    members = docs.withColumn("th", F.xxhash64("text")).join(F.broadcast(of_class) if few else of_class, "th", "left_semi")
-    sets = scratch.put(class_sets(members).dropDuplicates(["cls"]).join(wanted, "cls", "left_semi"), "sets")
-
-    alike = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-    # First each class and the smallest classes of its tokens.
+    # First each class and the smallest classes of its tokens, where what they share there is enough already.
     place = F.row_number().over(here.orderBy("cls"))
-    hubs = shared.withColumn("place", place).filter(F.col("place") <= HUBS).select("token", F.col("cls").alias("a"), F.col("n").alias("na"))
-    met = shared.select("token", F.col("cls").alias("b"), "n").join(hubs, "token").filter((F.col("a") < F.col("b")) & alike(F.col("n"), F.col("na"))).groupBy("a", "b").agg(F.count("*").alias("met"))
+    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "place")])
+    hubs = shared.withColumn("place", place).filter(F.col("place") <= HUBS)
     first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
-    edges = scratch.put(verified(met.withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b"), sets), "links")
+    near = promising(half(hubs, "a").join(half(shared, "b"), "token").filter("cls_a < cls_b")).withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b")
+    edges = verified(near, docs, classed, scratch)
     labels = components(edges, scratch)
     # Then all candidates across components: tokens whose classes are of two components or more.
     labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     crossing = labelled.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).filter("lo < hi").drop("lo", "hi")
     crossing = scratch.put(crossing, "crossing")
-    a = crossing.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "need", "label")])
-    b = crossing.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "need", "label")])
-    candidates = (
-        a.join(b, "token").filter("cls_a < cls_b AND label_a <> label_b").filter(alike(F.col("n_a"), F.col("n_b")))
-        .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("need_a", "need_b")).alias("need"))
-        .filter("met >= need").select("a", "b")
-    )
-    more = scratch.put(verified(candidates, sets), "links")
+    rest = promising(half(crossing, "a").join(half(crossing, "b"), "token").filter("cls_a < cls_b AND label_a <> label_b")).select("a", "b")
+    more = verified(rest, docs, classed, scratch)
     if more.limit(1).count():
         labels = components(edges.unionByName(more), scratch)
     mapped = classed.groupBy("cls").agg(F.min("doc_id").alias("least")).filter("cls IS NOT NULL").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
