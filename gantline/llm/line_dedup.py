@@ -85,7 +85,8 @@ def clean(docs: DataFrame, site: str = "source", sites: int = SITES, varied: flo
     hit = among(docs.select(*key, F.explode(hashes).alias("line")), found).groupBy("_id", "_th").agg(F.collect_set("line").alias("_gone"))
     hit = scratch.put(hit, "documents")  # rows of a document that hold boilerplate
     whole = docs.withColumn("_th2", F.xxhash64("text"))
-    joined = whole.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h._id AND d._th2 = h._th"), "left")
+    # The same plan at every size: what is known of documents grows with them, so it isn't broadcast.
+    joined = whole.alias("d").join(hit.hint("merge").alias("h"), F.expr("d.doc_id <=> h._id AND d._th2 = h._th"), "left")
     parts = F.split("d.text", "\n")
     kept = F.filter(parts, lambda x: ~F.array_contains("_gone", F.xxhash64(F.btrim(x))))
     n_lines, n_kept = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(parts)), F.when(F.col("_gone").isNull(), F.size(parts)).otherwise(F.size(kept))
