@@ -334,4 +334,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
         whole = whole.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("_th"))).filter(F.col("_i") == 1)
     wordless = linked.filter("component IS NULL").select("doc_id", "th").distinct()
     keys = kept.unionByName(wordless).withColumnRenamed("doc_id", "_id")
-    return whole.join(keys, F.expr("doc_id <=> _id AND _th = th"), "left_semi").select(*docs.columns)
+    return whole.join(keys.hint("merge"), F.expr("doc_id <=> _id AND _th = th"), "left_semi").select(*docs.columns)

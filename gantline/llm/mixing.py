@@ -152,5 +152,5 @@ def take(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
         rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
         keyed = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "source", "_th").orderBy("_th")))
         on = on & F.expr("d._i = c._i")
-    taken = keyed.alias("d").join(rows.filter("copies > 0").alias("c"), on)
+    taken = keyed.alias("d").join(rows.filter("copies > 0").hint("merge").alias("c"), on)
     return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, c.copies)"))).select(*[F.col(f"d.{c}") for c in docs.columns])
