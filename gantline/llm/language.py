@@ -42,8 +42,11 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int = CROPS) -> list[tuple[str, bytes]]:
     """(language, bytes) of windows of the training rows: at most per_language * crops for a language, of WINDOW characters."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), "doc_id", "text")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    place_in = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), 11)  # 53 bits
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", place_in.alias("h"), "doc_id", "text")
+    # What can be among the first of a language, by its count: few rows meet in one task, however many it has.
+    reach = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("reach"))
+    rows = rows.join(reach, "lang").filter(F.col("h") <= F.col("reach") * F.lit(float(1 << 53))).drop("reach")
     starts = [(F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int") for k in range(crops)]
     cropped = rows.select("lang", "h", "doc_id", F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]).alias("parts"))
     picked = cropped.withColumn("place", place).filter(F.col("place") <= per_language)
