@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 
 SHINGLE = 5
 #: Similarity is at least PERCENT / 100.
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, scratch: Scr
     member = F.min(F.struct(key.alias("id"), "th")).alias("m")
     members = scratch.put(classed.join(wanted, "cls", "left_semi").groupBy("cls").agg(member).select("m.id", "m.th"), "members")
     few = members.count() <= BROADCAST_CLASSES
-    chosen = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
+    chosen = docs.select("doc_id", "text").withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
     sets = scratch.put(class_sets(chosen.join(F.broadcast(members) if few else members, ["id", "th"], "left_semi")), "sets")
     left, right = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
@@ -329,9 +329,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     linked = Scratch(docs.sparkSession, "kept").put(link(docs), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("d")
     kept = linked.filter("component IS NOT NULL").groupBy("component").agg(first).select("d.doc_id", "d.th")
-    whole = docs.withColumn("_th", F.xxhash64("text"))
+    whole = packed(docs, "doc_id", "text").withColumn("_th", F.xxhash64("text"))
     if linked.filter("component IS NOT NULL").groupBy("doc_id", "th").count().filter("count > 1").limit(1).count():  # repeated rows
-        whole = whole.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("_th"))).filter(F.col("_i") == 1)
+        alone = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("_th")) == 1
+        wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        whole = whole.withColumn("_first", alone).filter(F.col("_first") | wordless)
     wordless = linked.filter("component IS NULL").select("doc_id", "th").distinct()
-    keys = kept.unionByName(wordless).withColumnRenamed("doc_id", "_id")
-    return whole.join(keys.hint("merge"), F.expr("doc_id <=> _id AND _th = th"), "left_semi").select(*docs.columns)
+    keys = kept.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept"))
+    rows = whole.join(keys.hint("merge"), F.expr("doc_id <=> _id AND _th = _kept"), "left_semi")
+    return unpacked(rows, docs.columns, {"doc_id": F.col("doc_id"), "text": F.col("text")})

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 
 #: From so many sites on, a line may be boilerplate.
 SITES = 10
@@ -84,12 +84,13 @@ def clean(docs: DataFrame, site: str = "source", sites: int = SITES, varied: flo
     hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)))
     hit = among(docs.select(*key, F.explode(hashes).alias("line")), found).groupBy("_id", "_th").agg(F.collect_set("line").alias("_gone"))
     hit = scratch.put(hit, "documents")  # rows of a document that hold boilerplate
-    whole = docs.withColumn("_th2", F.xxhash64("text"))
+    whole = packed(docs, "doc_id", "text").withColumn("_th2", F.xxhash64("text"))
     # The same plan at every size: what is known of documents grows with them, so it isn't broadcast.
-    joined = whole.alias("d").join(hit.hint("merge").alias("h"), F.expr("d.doc_id <=> h._id AND d._th2 = h._th"), "left")
-    parts = F.split("d.text", "\n")
+    joined = whole.join(hit.hint("merge"), F.expr("doc_id <=> _id AND _th2 = _th"), "left")
+    parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~F.array_contains("_gone", F.xxhash64(F.btrim(x))))
-    n_lines, n_kept = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(parts)), F.when(F.col("_gone").isNull(), F.size(parts)).otherwise(F.size(kept))
-    text = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
-    rest = [F.col(f"d.{c}") if c != "text" else text.alias("text") for c in docs.columns]
-    return joined.select(*rest, n_lines.cast("long").alias("n_lines"), (n_lines - F.when(F.col("d.text").isNull(), 0).otherwise(n_kept)).cast("long").alias("n_removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
+    n_removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(parts) - F.size(kept))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return unpacked(joined, columns, {"doc_id": F.col("doc_id"), "text": text}, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

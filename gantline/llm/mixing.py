@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, global_rank
+from .common import Scratch, global_rank, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts that a (source, size) class is split into, so that no group of copies is one task's.
@@ -146,11 +146,11 @@ def take(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "taken")
     keys = ["doc_id", "source", "th"]
     rows = scratch.put(mix(docs, weights, most).select(*keys, "copies"), "copies")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    on = F.expr("d.doc_id <=> c.doc_id AND d.source <=> c.source AND d._th = c.th")
+    keyed = packed(docs, "doc_id", "source", "text").withColumn("_th", F.xxhash64("text"))
+    on = "d.doc_id <=> c.doc_id AND d.source <=> c.source AND d._th = c.th"
     if rows.groupBy(*keys).count().filter("count > 1").limit(1).count():  # repeated rows: number them on both sides
         rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
         keyed = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "source", "_th").orderBy("_th")))
-        on = on & F.expr("d._i = c._i")
-    taken = keyed.alias("d").join(rows.filter("copies > 0").hint("merge").alias("c"), on)
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, c.copies)"))).select(*[F.col(f"d.{c}") for c in docs.columns])
+        on += " AND d._i = c._i"
+    taken = keyed.alias("d").join(rows.filter("copies > 0").hint("merge").alias("c"), F.expr(on)).withColumn("_copy", F.explode(F.expr("sequence(1L, c.copies)")))
+    return unpacked(taken, docs.columns, {c: F.col(f"d.{c}") for c in ("doc_id", "source", "text")})
