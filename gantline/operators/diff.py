@@ -16,8 +16,10 @@ FILE_REMOVED, FILE_ADDED = "file_removed", "file_added"
 ROWS_REMOVED_BULK, ROWS_ADDED_BULK, ROWS_CHANGED_BULK = "rows_removed_bulk", "rows_added_bulk", "rows_changed_bulk"
 
 SCHEMA = "kind string, key array<string>, column string, old_value string, new_value string, phase int, sort array<string>"
-NONE = F.lit(None).cast("string")
-NO_KEY = F.array().cast("array<string>")
+
+
+def no_key() -> Column:
+    return F.array().cast("array<string>")
 
 
 def strings(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,7 +40,8 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[st
     side = lambda df, name: strings(df, sorted({*keys, *columns})).select(key.alias("key"), F.struct(*[f"`{c}`" for c in columns]).alias(name))
     both = side(old, "o").join(side(new, "n"), "key", "full_outer")
     cell = lambda c: F.struct(F.lit(c).alias("column"), F.col("o")[c].alias("old_value"), F.col("n")[c].alias("new_value"))
-    row = F.array(F.struct(F.lit("").alias("column"), NONE.alias("old_value"), NONE.alias("new_value")))
+    none = F.lit(None).cast("string")
+    row = F.array(F.struct(F.lit("").alias("column"), none.alias("old_value"), none.alias("new_value")))
     changed = F.filter(F.array(*map(cell, columns)), lambda x: x["old_value"] != x["new_value"])
     missing = F.col("n").isNull() | F.col("o").isNull()
     found = both.filter(missing | (F.col("o") != F.col("n"))).select(

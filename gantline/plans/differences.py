@@ -41,7 +41,7 @@ def table_diff(name: str, old: Feed, new: Feed, bulk: int) -> list[DataFrame]:
     keys = [k for k in spec or () if k in shared]
     if spec == () and left.limit(2).count() == right.limit(2).count() == 1:  # a row each
         one = lambda df: df.withColumn("_one", F.lit("1"))
-        rows = diff.keyed_diff(one(left), one(right), ["_one"], shared).withColumn("key", diff.NO_KEY).withColumn("sort", diff.NO_KEY)
+        rows = diff.keyed_diff(one(left), one(right), ["_one"], shared).withColumn("key", diff.no_key()).withColumn("sort", diff.no_key())
     elif keys and not diff.has_repeated_keys(left, keys) and not diff.has_repeated_keys(right, keys):
         rows = diff.keyed_diff(left, right, keys, shared)
     else:

@@ -25,11 +25,14 @@ from .calendars import DAYS, PERIOD
 from .trips import TripDelta
 
 EVENT = "key string, ord array<string>, type string, subject string, old_ref string, new_ref string, quantification string, confidence double, severity string"
-NO_JSON = F.lit(None).cast("string")
 TIMES = ["arrival_time", "departure_time"]
 CELL = W.CELL
 
 
+def no_json() -> Column:
+    return F.lit(None).cast("string")
+
+
 def json(**parts) -> Column:
     return F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in parts.items()]))
 
@@ -79,7 +82,7 @@ class Context:
         names = [part.split(" ")[0] for part in EVENT.split(", ")]
         for n in names:
             if n not in events.columns:
-                events = events.withColumn(n, F.lit(1.0) if n == "confidence" else F.array("key") if n == "ord" else NO_JSON)
+                events = events.withColumn(n, F.lit(1.0) if n == "confidence" else F.array("key") if n == "ord" else no_json())
         step = len(self.steps)
         self.steps.append((self.scratch.put(events.select(*names), f"events-{step}"), self.scratch.put(evidence.select("key", "rawdiff_id").distinct(), f"evidence-{step}")))
 
@@ -271,11 +274,11 @@ def frequency(ctx: Context) -> None:
     shift = json(first_shift_min=F.round(first, 1), last_shift_min=F.round(last, 1), old_first=clock(F.col("old_first")), new_first=clock(F.col("new_first")), old_last=clock(F.col("old_last")), new_last=clock(F.col("new_last")))
     told = told.unionByName(ends.select(
         key(F.lit("ends")).alias("key"), F.array(F.col("family"), F.col("direction"), F.col("day_type"), F.col("slot"), F.lit("1"), F.lit("")).alias("ord"),
-        F.lit("FIRST_LAST_CHANGED").alias("type"), cell_subject().alias("subject"), shift.alias("quantification"), NO_JSON.alias("severity"),
+        F.lit("FIRST_LAST_CHANGED").alias("type"), cell_subject().alias("subject"), shift.alias("quantification"), no_json().alias("severity"),
     ))
     if days:
         extra = days[0].select(key(F.lit("days")).alias("key"), F.array(F.col("family"), F.col("direction"), F.col("day_type"), F.col("slot"), F.lit("0"), F.lit("")).alias("ord"),
-                               F.lit("SERVICE_DAYS_CHANGED").alias("type"), cell_subject().alias("subject"), "quantification", NO_JSON.alias("severity"))
+                               F.lit("SERVICE_DAYS_CHANGED").alias("type"), cell_subject().alias("subject"), "quantification", no_json().alias("severity"))
         told = told.unionByName(extra)
         found = found.unionByName(ctx.cascade(pool.join(spoken, ["slot", *CELL], "left_semi").select(key(F.lit("days")).alias("key"), "trip_id")))
     ctx.emit(told, found)
