@@ -11,7 +11,7 @@ from ..operators import ledger
 from ..sources.config import load
 from ..sources.feed import Feed
 from ..sources.scratch import Scratch
-from . import calendars, identity, rules, trips, worlds
+from . import calendars, identity, rules, scope, trips, worlds
 from .differences import enumerate_diffs
 
 
@@ -40,11 +40,16 @@ def compare(old: Feed, new: Feed, config: dict | None = None, scratch: Scratch |
     diffs = enumerate_diffs(old, new, scratch, config["diff0"]["bulk_row_threshold"])
     types = {g: scratch.put(calendars.day_types(f, config), f"{g}-day-types") for g, f in (("old", old), ("new", new))}
     found = identity.build(old, new, types["old"], types["new"], config, scratch)
-    delta = trips.match(found.old.trips, found.new.trips, scratch.put(identity.blocks(found, scratch), "blocks"), config["matching"], scratch)
-    dates = {g: scratch.put(calendars.service_dates(f, types[g]), f"{g}-dates") for g, f in (("old", old), ("new", new))}
+    feeds, sides = {"old": old, "new": new}, {"old": found.old.trips, "new": found.new.trips}
+    blocks = scratch.put(identity.blocks(found, scratch), "blocks")
+    dates = {g: scratch.put(calendars.service_dates(f, types[g]), f"{g}-dates") for g, f in feeds.items()}
     of = {g: worlds.day_worlds(types[g], dates[g], scratch) for g in types}
     several = any(of[g].filter("n_worlds > 1").limit(1).count() for g in of)
-    ctx = rules.Context(old, new, config, diffs, found, delta, types, scratch, worlds=of if several else None, dates=dates)
+    left = scope.switch(feeds, sides, of, dates, scratch) if several else None
+    left = left or scope.window(feeds, sides, blocks, types, config["events"]["windows"]["carryover_coverage_min"], scratch)
+    delta = trips.match(scope.keep(sides["old"], "old", left), scope.keep(sides["new"], "new", left), blocks, config["matching"], scratch)
+    out = scope.left_out(sides["old"], "old", left).union(scope.left_out(sides["new"], "new", left)).distinct() if left else None
+    ctx = rules.Context(old, new, config, diffs, found, delta, types, scratch, worlds=of if several else None, dates=dates, scope=left, left_out=out)
     events, claims = rules.run(ctx)
     if unknown := ledger.unknown(diffs, claims).limit(1).count():
         raise AssertionError(f"{unknown} claims are on differences that don't exist")

@@ -22,6 +22,7 @@ from ..sources.scratch import Scratch
 from . import identity as I
 from . import worlds as W
 from .calendars import DAYS, PERIOD
+from .scope import Scope
 from .trips import TripDelta
 
 EVENT = "key string, ord array<string>, type string, subject string, old_ref string, new_ref string, quantification string, confidence double, severity string"
@@ -53,7 +54,8 @@ class Context:
     scratch: Scratch
     worlds: dict[str, DataFrame] | None = None
     dates: dict[str, DataFrame] | None = None
-    excluded: dict[str, DataFrame] | None = None
+    scope: Scope | None = None
+    left_out: DataFrame | None = None
     steps: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
 
     def file(self, *names: str) -> DataFrame:
@@ -546,14 +548,17 @@ def technical(ctx: Context) -> None:
 
 
 def generations(ctx: Context) -> None:
-    """What belongs to services and trips that the comparison leaves out. excluded holds services, trips and one row of scope."""
-    if ctx.excluded is None:
+    """What belongs to services and trips that the comparison leaves out; with several periods, also the calendar rows of services that stay."""
+    if ctx.scope is None:
         return
     by = lambda rows, ids, c: rows.join(ids.select(F.col(c).alias("key0")).distinct(), "key0", "left_semi").select("rawdiff_id")
-    found = by(ctx.file("calendar", "calendar_dates"), ctx.excluded["services"], "service_id").union(by(ctx.file("trips", "stop_times", "frequencies"), ctx.excluded["trips"], "trip_id"))
-    found = ctx.free(found).select(F.lit("feed").alias("key"), "rawdiff_id")
-    told = ctx.excluded["scope"].select(F.lit("feed").alias("key"), F.lit("GENERATION_SCOPE").alias("type"), json(scope="feed").alias("subject"), F.to_json(F.struct("*")).alias("quantification"))
-    ctx.emit(has_evidence(told, found), found)
+    on_services = ctx.file("calendar", "calendar_dates")
+    found = by(on_services, ctx.scope.excluded, "service_id").union(by(ctx.file("trips", "stop_times", "frequencies"), ctx.left_out, "trip_id"))
+    if ctx.scope.several:
+        found = found.union(by(on_services.filter(F.col("kind").isin("row_added", "row_removed")), ctx.scope.universe, "service_id"))
+    found = ctx.free(found.distinct()).select(F.lit("feed").alias("key"), "rawdiff_id")
+    told = ctx.scope.told.select(F.lit("feed").alias("key"), F.lit("GENERATION_SCOPE").alias("type"), json(scope="feed").alias("subject"), F.to_json(F.struct("*")).alias("quantification"))
+    ctx.emit(told if ctx.scope.several else has_evidence(told, found), found)
 
 
 CASCADE = (stops, routes, patterns, frequency, times, calendars, shapes, fares, demand, headsigns, whole_files, technical, generations)
