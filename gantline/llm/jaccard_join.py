@@ -5,7 +5,10 @@ is at least 75 %. All tokens stand in one order, rare ones first (by a count of
 width that every document adds to; any order is right, a better one is faster). Of sets that similar, prefixes of
 n - ceil(0.75 n) + l tokens share at least l tokens. Each document takes its own l: longer prefixes cost more
 postings, but ask for more shared tokens before a pair is verified, and l is where the estimate of postings read
-plus pairs verified is least. A pair needs as many shared prefix tokens as the smaller l of the two.
+plus pairs verified is least. A pair needs as many shared prefix tokens as the smaller l of the two. Once two
+sizes are known, so is the overlap o that they need, and prefixes of n - o + l do for that pair: a posting tells
+its place in the order, and what lies beyond for the pair doesn't meet. Documents that share much, but too little,
+have their own rare tokens there, and so seldom meet at all.
 
 Equal sets are one class. Classes, not documents, are joined, and groups of near copies aren't paired off: first
 each class is verified against the few smallest classes of its tokens with which it shares most, and what links is
@@ -205,13 +208,13 @@ def token_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS) -> DataFrame:
-    """(token, cls, n, need): the prefix of each document, need being its l."""
+    """(token, cls, n, need, place): the prefix of each document, need being its l, place from 0 in the order of tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in _slices(batches):
-            tokens, classes, sizes, needs = [], [], [], []
+            tokens, classes, sizes, needs, places = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist()):
                 part, m = prefix(s, table, bits)
                 if len(part):
@@ -219,10 +222,11 @@ def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS) -> Dat
                     classes.append(np.full(len(part), class_of(s), np.int64))
                     sizes.append(np.full(len(part), len(s), np.int32))
                     needs.append(np.full(len(part), m, np.int8))
+                    places.append(np.arange(len(part), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, needs)], names=["token", "cls", "n", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, needs, places)], names=["token", "cls", "n", "need", "place"])
 
-    return _texts(docs).mapInArrow(run, "token long, cls long, n int, need byte")
+    return _texts(docs).mapInArrow(run, "token long, cls long, n int, need byte, place int")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -237,17 +241,16 @@ def class_sets(docs: DataFrame) -> DataFrame:
 
 
 def promising(met: DataFrame) -> DataFrame:
-    """(a, b, met) of the pairs in rows (token, cls_a, n_a, need_a, cls_b, n_b, need_b) that may be similar enough.
+    """(a, b, met) of the pairs in rows (token, cls_a, n_a, need_a, place_a, cls_b, ...) that may be similar enough.
 
-    Of two sets, all that the one whose prefix ends first shares is in both prefixes or beyond its own prefix. So the
-    overlap is at most the tokens met and what is beyond the longer rest; where that falls short, or fewer tokens are met
-    than the smaller l, the pair is out.
+    Sets of n_a and n_b tokens link with an overlap of o at least. Of n_a - o + l and n_b - o + l first tokens they
+    then share l: all that is shared and not met there is among the o - l tokens beyond the prefix that ends first.
     """
-    rest = lambda k: F.expr(f"({PERCENT} * n_{k} + 99) div 100 - need_{k}")
-    overlap = F.expr(f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
-    least = F.greatest(F.least("need_a", "need_b").cast("long"), overlap - F.greatest(rest("a"), rest("b")))
     alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    pairs = met.filter(alike).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(least).alias("least"))
+    overlap = F.expr(f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
+    least = F.least("need_a", "need_b").cast("long")
+    within = (F.col("place_a") < F.col("n_a") - overlap + least) & (F.col("place_b") < F.col("n_b") - overlap + least)
+    pairs = met.filter(alike & within).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(least).alias("least"))
     return pairs.filter("met >= least").select("a", "b", "met")
 
 
@@ -295,15 +298,14 @@ def link(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     classed = scratch.put(document_classes(docs), "classes")
     counts = token_counts(docs)
-    listed = postings(docs, counts).groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("need").alias("need"))
+    listed = postings(docs, counts).groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
     # A token that one class has joins nothing. What is left is a few hundredths of the postings.
     here = Window.partitionBy("token")
-    shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1").select("token", "cls", "n", "need")
+    shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1").drop("classes")
     shared = scratch.put(shared, "postings")
     # First each class and the smallest classes of its tokens, where what they share there is enough already.
-    place = F.row_number().over(here.orderBy("cls"))
-    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "place")])
-    hubs = shared.withColumn("place", place).filter(F.col("place") <= HUBS)
+    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"])
+    hubs = shared.withColumn("nth", F.row_number().over(here.orderBy("cls"))).filter(F.col("nth") <= HUBS).drop("nth")
     first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
     near = promising(half(hubs, "a").join(half(shared, "b"), "token").filter("cls_a < cls_b")).withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b")
     edges = verified(near, docs, classed, scratch)
