@@ -8,7 +8,9 @@ postings, but ask for more shared tokens before a pair is verified, and l is whe
 plus pairs verified is least. A pair needs as many shared prefix tokens as the smaller l of the two. Once two
 sizes are known, so is the overlap o that they need, and prefixes of n - o + l do for that pair: a posting tells
 its place in the order, and what lies beyond for the pair doesn't meet. Documents that share much, but too little,
-have their own rare tokens there, and so seldom meet at all.
+have their own rare tokens there, and so seldom meet at all. Across components a class also has a sketch: the parity
+of its tokens in each of 512 cells. Two sketches differ in at most as many cells as the sets differ in tokens, so
+a pair whose sketches differ in more than similar sets of its sizes may is out before it is counted.
 
 Equal sets are one class. Classes, not documents, are joined, and groups of near copies aren't paired off: first
 each class is verified against the few smallest classes of its tokens with which it shares most, and what links is
@@ -44,6 +46,8 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: Smallest classes of a token that its other classes are verified against first, and how many of them for a class.
 HUBS = 3
+#: A sketch is so many numbers of 64 bits.
+SKETCH = 8
 #: Classes whose documents are told to the scan that makes their sets by broadcast, at most (16 bytes each).
 BROADCAST_CLASSES = 2_000_000
 #: Bytes of text that go through numpy at once.
@@ -133,6 +137,12 @@ def class_of(tokens: np.ndarray) -> int | None:
     return int(h.view(np.int64)[0])
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The parity of tokens in each of 64 * SKETCH cells."""
+    odd = np.bincount((tokens & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def cells(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> U(64 - bits)).astype(np.int64)
 
@@ -168,14 +178,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 
 
 def document_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_shingles, cls) of each document; th is a hash of the text as it stands."""
+    """(doc_id, th, n_shingles, cls, s0, s1, ...) of each document; th is a hash of the text as it stands, s0 and so on are the sketch."""
+    names = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=["doc_id", "th", "n_shingles", "cls"])
+            sketches = np.array([sketch_of(x) for x in sets], np.int64).reshape(-1, SKETCH)
+            columns = [b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64()), *map(pa.array, sketches.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_shingles", "cls", *names])
 
-    return _texts(docs, F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, cls long")
+    return _texts(docs, F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, cls long" + "".join(f", {x} long" for x in names))
 
 
 def token_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
@@ -245,11 +258,15 @@ def promising(met: DataFrame) -> DataFrame:
 
     Sets of n_a and n_b tokens link with an overlap of o at least. Of n_a - o + l and n_b - o + l first tokens they
     then share l: all that is shared and not met there is among the o - l tokens beyond the prefix that ends first.
+    Where rows have sketches, these differ in at most n_a + n_b - 2 o cells.
     """
     alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     overlap = F.expr(f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
     least = F.least("need_a", "need_b").cast("long")
     within = (F.col("place_a") < F.col("n_a") - overlap + least) & (F.col("place_b") < F.col("n_b") - overlap + least)
+    if "s0_a" in met.columns:
+        apart = [F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)]
+        within &= sum(apart[1:], apart[0]) <= F.col("n_a") + F.col("n_b") - 2 * overlap
     pairs = met.filter(alike & within).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(least).alias("least"))
     return pairs.filter("met >= least").select("a", "b", "met")
 
@@ -313,7 +330,8 @@ def link(docs: DataFrame) -> DataFrame:
     # Then all candidates across components: tokens whose classes are of two components or more.
     labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     crossing = labelled.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).filter("lo < hi").drop("lo", "hi")
-    crossing = scratch.put(crossing, "crossing")
+    sketches = classed.filter("cls IS NOT NULL").groupBy("cls").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
+    crossing = scratch.put(crossing.join(sketches, "cls"), "crossing")
     rest = promising(half(crossing, "a").join(half(crossing, "b"), "token").filter("cls_a < cls_b AND label_a <> label_b")).select("a", "b")
     more = verified(rest, docs, classed, scratch)
     if more.limit(1).count():
