@@ -8,8 +8,8 @@ postings, but ask for more shared tokens before a pair is verified, and l is whe
 plus pairs verified is least. A pair needs as many shared prefix tokens as the smaller l of the two. Once two
 sizes are known, so is the overlap o that they need, and prefixes of n - o + l do for that pair: a posting tells
 its place in the order, and what lies beyond for the pair doesn't meet. Documents that share much, but too little,
-have their own rare tokens there, and so seldom meet at all. Across components a class also has a sketch: the parity
-of its tokens in each of 512 cells. Two sketches differ in at most as many cells as the sets differ in tokens, so
+have their own rare tokens there, and so seldom meet at all. Where a token has many classes, these also have sketches: the
+parity of a set's tokens in each of 512 cells. Two sketches differ in at most as many cells as the sets differ in tokens, so
 a pair whose sketches differ in more than similar sets of its sizes may is out before it is counted.
 
 Equal sets are one class. Classes, not documents, are joined, and groups of near copies aren't paired off: first
@@ -44,8 +44,10 @@ COUNT_PARTS = 64
 MOST_MATCHES = 4
 #: What verifying a candidate costs, in postings.
 VERIFY_COST = 8.0
-#: Smallest classes of a token that its other classes are verified against first, and how many of them for a class.
+#: Smallest classes of a token that its other classes meet first, and how many of those that a class meets are verified.
 HUBS = 3
+#: From so many classes on, those of a token have sketches and meet more of its smallest classes first.
+CROWD, CROWD_HUBS = 16, 64
 #: A sketch is so many numbers of 64 bits.
 SKETCH = 8
 #: Classes whose documents are told to the scan that makes their sets by broadcast, at most (16 bytes each).
@@ -266,7 +268,7 @@ def promising(met: DataFrame) -> DataFrame:
     within = (F.col("place_a") < F.col("n_a") - overlap + least) & (F.col("place_b") < F.col("n_b") - overlap + least)
     if "s0_a" in met.columns:
         apart = [F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)]
-        within &= sum(apart[1:], apart[0]) <= F.col("n_a") + F.col("n_b") - 2 * overlap
+        within &= F.coalesce(sum(apart[1:], apart[0]), F.lit(0)) <= F.col("n_a") + F.col("n_b") - 2 * overlap
     pairs = met.filter(alike & within).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("met"), F.first(least).alias("least"))
     return pairs.filter("met >= least").select("a", "b", "met")
 
@@ -318,11 +320,14 @@ def link(docs: DataFrame) -> DataFrame:
     listed = postings(docs, counts).groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
     # A token that one class has joins nothing. What is left is a few hundredths of the postings.
     here = Window.partitionBy("token")
-    shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1").drop("classes")
+    shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1")
     shared = scratch.put(shared, "postings")
+    sketches = classed.filter("cls IS NOT NULL").groupBy("cls").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
+    crowded = scratch.put(shared.filter(F.col("classes") >= CROWD).join(sketches, "cls"), "crowded")
+    shared = shared.filter(F.col("classes") < CROWD).unionByName(crowded, allowMissingColumns=True)
     # First each class and the smallest classes of its tokens, where what they share there is enough already.
-    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"])
-    hubs = shared.withColumn("nth", F.row_number().over(here.orderBy("cls"))).filter(F.col("nth") <= HUBS).drop("nth")
+    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "classes")])
+    hubs = shared.withColumn("nth", F.row_number().over(here.orderBy("cls"))).filter((F.col("nth") <= CROWD_HUBS) & ((F.col("nth") <= HUBS) | (F.col("classes") >= CROWD))).drop("nth")
     first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
     near = promising(half(hubs, "a").join(half(shared, "b"), "token").filter("cls_a < cls_b")).withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b")
     edges = verified(near, docs, classed, scratch)
@@ -330,8 +335,7 @@ def link(docs: DataFrame) -> DataFrame:
     # Then all candidates across components: tokens whose classes are of two components or more.
     labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     crossing = labelled.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).filter("lo < hi").drop("lo", "hi")
-    sketches = classed.filter("cls IS NOT NULL").groupBy("cls").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
-    crossing = scratch.put(crossing.join(sketches, "cls"), "crossing")
+    crossing = scratch.put(crossing, "crossing")
     rest = promising(half(crossing, "a").join(half(crossing, "b"), "token").filter("cls_a < cls_b AND label_a <> label_b")).select("a", "b")
     more = verified(rest, docs, classed, scratch)
     if more.limit(1).count():
