@@ -68,6 +68,19 @@ def test_a_large_group_of_near_copies(spark, documents):
     assert {r["component_id"] for r in out} == {0} and len(out) == 250
 
 
+def test_a_crowd_about_the_threshold(spark, documents):
+    """Near copies of which few pairs are similar enough: their tokens are crowded, so sketches decide who meets."""
+    rng = random.Random(2)
+    base, rows = [f"b{i}" for i in range(110)], []
+    for k in range(90):
+        copy = list(base)
+        for at in rng.sample(range(110), rng.randint(1, 4)):
+            copy[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(copy)))
+    out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link(documents(rows)).collect()), key=str)
+    assert out == brute(rows)
+
+
 def test_long_text_and_empty_table(spark, documents):
     long = " ".join(f"l{i % 5000}" for i in range(600_000))
     out = {r["doc_id"]: r for r in jaccard_join.link(documents([(1, long), (2, long + " end"), (3, "other words are in this one")])).collect()}
@@ -87,6 +100,11 @@ def test_prefixes_of_similar_sets_share_enough():
             continue
         (p, m), (q, n) = (jaccard_join.prefix(x, counts, 8) for x in (a, b))
         assert len(np.intersect1d(p, q)) >= min(m, n)
+        # In the prefixes that the two sizes need, too; and sketches differ in no more cells than the sets in tokens.
+        need, least = -(-75 * (len(a) + len(b)) // 175), min(m, n)
+        assert len(np.intersect1d(p[: len(a) - need + least], q[: len(b) - need + least])) >= least
+        differ = sum(int(x).bit_count() for x in (jaccard_join.sketch_of(a) ^ jaccard_join.sketch_of(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) <= len(a) + len(b) - 2 * need
 
 
 def test_one_of_each_stays(spark, documents):
