@@ -223,18 +223,22 @@ def token_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS) -> DataFrame:
-    """(token, cls, n, need, place): the prefix of each document, need being its l, place from 0 in the order of tokens."""
+    """(token, cls, n, need, place): the prefix of each class once a task, need being its l, place from 0 in the order of tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, seen = shared.value, set()
         for b in _slices(batches):
             tokens, classes, sizes, needs, places = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist()):
+                cls = class_of(s)
+                if cls in seen:
+                    continue
+                seen.add(cls)
                 part, m = prefix(s, table, bits)
                 if len(part):
                     tokens.append(part.view(np.int64))
-                    classes.append(np.full(len(part), class_of(s), np.int64))
+                    classes.append(np.full(len(part), cls, np.int64))
                     sizes.append(np.full(len(part), len(s), np.int32))
                     needs.append(np.full(len(part), m, np.int8))
                     places.append(np.arange(len(part), dtype=np.int32))
@@ -317,7 +321,8 @@ def link(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     classed = scratch.put(document_classes(docs), "classes")
     counts = token_counts(docs)
-    listed = postings(docs, counts).groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
+    # Copies are dropped within a task already, so one exchange by token does for both the classes and their count.
+    listed = postings(docs, counts).repartition("token").groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
     # A token that one class has joins nothing. What is left is a few hundredths of the postings.
     here = Window.partitionBy("token")
     shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1")
