@@ -5,7 +5,9 @@ for each line hash, merge by aggregation. A line whose estimate is clearly over
 settled by it; for one near the threshold sites are counted exactly. Copies of one document spread over
 sites too, but their lines keep their neighbours: so a line must also stand between many different pairs of
 lines (at least ``varied`` of its documents), sketched and settled in the same way. What is boilerplate goes
-from every document.
+from every document. The test of neighbours is what the query's SQL states; it spares all but the first line of
+a block that always stands as one, and lines that many copies have too. With ``varied`` None sites alone decide:
+all copies of a text count for one of their sites, so copies of one document still aren't boilerplate.
 
 Defined results: a document counts once for a line, at its first place; blank lines stay and count for
 nothing; white space around a line doesn't count; null text stays null, with 0 lines; a null site is a site;
@@ -37,12 +39,12 @@ def lines_of(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, site: str) -> DataFrame:
-    """(line, site, around) as hashes, one for each document and distinct line of it."""
-    distinct = docs.select(F.col(site).alias("site"), F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: x != "").alias("lines"))
-    hashed = distinct.select(F.coalesce(F.xxhash64("site"), F.lit(0)).alias("site"), F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"))
-    return hashed.filter("size(lines) > 0").select("site", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(
+    """(line, site, around, th) as hashes, one for each document and distinct line of it; th is the text's."""
+    distinct = docs.select(F.col(site).alias("site"), F.xxhash64("text").alias("th"), F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: x != "").alias("lines"))
+    hashed = distinct.select(F.coalesce(F.xxhash64("site"), F.lit(0)).alias("site"), "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"))
+    return hashed.filter("size(lines) > 0").select("site", "th", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(
         F.get("lines", i).alias("line"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1), i == 0).alias("around")
-    ))).alias("at")).select("at.line", "site", "at.around")
+    ))).alias("at")).select("at.line", "site", "at.around", "th")
 
 
 def among(rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -50,10 +52,25 @@ def among(rows: DataFrame, few: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_LINES else few, "line", "left_semi")
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch, site: str = "source", sites: int = SITES, varied: float = VARIED) -> DataFrame:
+def spread(rows: DataFrame, scratch: Scratch, sites: int) -> DataFrame:
+    """(line), the lines on so many sites, where a text counts for one of the sites that have it."""
+    # The site is drawn by text and site, or texts that all stand on the same sites would all count for the same one.
+    one = rows.groupBy("line", "th").agg(F.min_by("site", F.xxhash64("th", "site")).alias("site"))
+    one = scratch.put(one, "texts")
+    sketched = scratch.put(one.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")), "sketched")
+    clear = F.col("sites") >= sites * (1 + NEAR)
+    near = scratch.put(sketched.filter(~clear & (F.col("sites") >= sites * (1 - NEAR))).select("line"), "near")
+    exact = among(one, near).select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= sites)
+    return sketched.filter(clear).select("line").unionByName(exact.select("line"))
+
+
+def boilerplate(docs: DataFrame, scratch: Scratch, site: str = "source", sites: int = SITES, varied: float | None = VARIED) -> DataFrame:
     """(line), the hashes of boilerplate lines."""
-    rows = scratch.put(occurrences(docs, site), "lines")
+    rows = occurrences(docs, site)
+    rows = scratch.put(rows.drop("th") if varied is not None else rows.drop("around"), "lines")
     often = scratch.put(rows.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= sites).select("line"), "often")
+    if varied is None:
+        return scratch.put(spread(among(rows, often), scratch, sites), "boilerplate")
     sketched = among(rows, often).groupBy("line").agg(
         F.count("*").alias("docs"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("around", F.lit(LG_K))).alias("arounds")
     )
@@ -76,7 +93,7 @@ def boilerplate(docs: DataFrame, scratch: Scratch, site: str = "source", sites:
     return found
 
 
-def clean(docs: DataFrame, site: str = "source", sites: int = SITES, varied: float = VARIED) -> DataFrame:
+def clean(docs: DataFrame, site: str = "source", sites: int = SITES, varied: float | None = VARIED) -> DataFrame:
     """The documents with boilerplate lines taken out of text; adds n_lines and n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     found = boilerplate(docs, scratch, site, sites, varied)

@@ -35,3 +35,20 @@ def test_columns_and_empty_table(spark, documents):
     docs = documents([(1, "a")])
     assert line_dedup.clean(docs).columns == [*docs.columns, "n_lines", "n_removed"]
     assert line_dedup.clean(docs.limit(0)).count() == 0
+
+
+def test_blocks_and_lines_with_many_copies_go_by_sites(spark, documents):
+    rows = [(i, f"body {i}\nfoot one\nfoot two\nfoot three", "en", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"own {i}\nShare this", "en", f"s{i % 12}") for i in range(24)]
+    rows += [(200 + i, "copied one\nShare this\ncopied two", "en", f"s{i % 12}") for i in range(300)]  # one text on all sites
+    rows += [(600 + i, f"near {i}\nnine sites", "en", f"s{i % 9}") for i in range(27)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.clean(documents(rows), varied=None).collect()}
+    assert all(got[i] == (f"body {i}", 3) for i in range(24)) and all(got[100 + i] == (f"own {i}", 1) for i in range(24))
+    assert all(got[200 + i] == ("copied one\ncopied two", 1) for i in range(300)) and all(got[600 + i][1] == 0 for i in range(27))
+
+
+def test_pipeline_takes_whole_blocks_of_boilerplate(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(i, f"body {i}\nfoot one\nfoot two", "en", f"s{i % 12}") for i in range(60)])
+    assert {r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, "").collect()} == {f"body {i}" for i in range(60)}
