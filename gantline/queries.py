@@ -202,6 +202,14 @@ def family_components(spark, sf_dir):
     return graphs.components(edges, Scratch(spark, "components"))
 
 
+@query()
+def family_components_whole(spark, sf_dir):
+    """The components of all customers and parts that orders join. Recursive SQL keeps every reached pair, which is too much here."""
+    pairs = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    return graphs.components(edges, Scratch(spark, "components"))
+
+
 @query("""
 WITH s AS (SELECT DISTINCT l_suppkey, l_orderkey % 2 AS side, l_partkey FROM lineitem), n AS (SELECT l_suppkey, side, count(*) AS n FROM s GROUP BY ALL),
 m AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS common FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.side = 0 AND b.side = 1 GROUP BY ALL)
