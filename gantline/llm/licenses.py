@@ -4,7 +4,7 @@ The automaton accepts every run of words that stands in some template. A text's
 give matching statistics: at each word, how long the longest run ending there is that some template
 holds. Base phrases are read off the statistics (a phrase ends where the run is at least as long and
 the phrase's state is on the suffix links). Long runs are then chained along each template, both sides
-moving forward, and a template counts where its chained spans cover enough of it.
+moving forward, and a template counts where its chained spans cover enough of it; each such chain is a copy.
 
 Defined results: null and empty texts have no words and no labels; texts of any length are scanned
 whole; repeated rows are scanned each; an empty table gives an empty one. Other columns are ignored.
@@ -12,6 +12,7 @@ whole; repeated rows are scanned each; an empty table gives an empty one. Other
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,7 +63,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids. ``ends[v]`` gives, for each template that holds v's runs, where one ends."""
+    """Generalised suffix automaton over word ids. ``ends[v]`` gives, for each template that holds v's runs, where they end."""
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str]):
         self.templates = [(label, words(text)) for label, text in templates]
@@ -74,10 +75,10 @@ class Automaton:
             for i, word in enumerate(tokens):
                 last = self._extend(last, self.vocabulary.setdefault(word, len(self.vocabulary)))
                 if t < len(self.templates):
-                    self.ends[last].setdefault(t, i)
+                    self.ends[last].setdefault(t, set()).add(i)
         for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):  # a run's places hold for its suffixes
-            for t, i in self.ends[v].items():
-                self.ends[self.link[v]].setdefault(t, i)
+            for t, places in self.ends[v].items():
+                self.ends[self.link[v]].setdefault(t, set()).update(places)
         at = {self.walk(words(p)): (len(words(p)), label) for p, label in phrases.items()}
         self.phrases: list[list[tuple[int, str]]] = []
         for v in range(len(self.next)):
@@ -137,12 +138,11 @@ class Automaton:
             yield i, n, v
 
 
-def chain(runs: list[tuple[int, int, int]], long: int) -> list[tuple[int, int]]:
-    """The best chain of (start in text, start in template, length), both moving forward: spans in the template.
+def chains(runs: list[tuple[int, int, int]], long: int) -> list[tuple[int, list[int]]]:
+    """(weight, runs from first to last) of the best chain that ends with each run (start in text, start in template, length), both moving forward.
 
     Weight is template words covered. Runs further apart in the text than four templates' lengths aren't of one copy.
     """
-    runs = sorted(runs)
     best: list[tuple[int, int]] = []
     for j, (s, t, n) in enumerate(runs):
         value, before = n, -1
@@ -154,11 +154,41 @@ def chain(runs: list[tuple[int, int, int]], long: int) -> list[tuple[int, int]]:
             if s0 < s and t0 < t and new > 0 and best[i][0] + new > value:
                 value, before = best[i][0] + new, i
         best.append((value, before))
-    spans, j = [], max(range(len(best)), key=lambda j: best[j][0], default=-1)
-    while j >= 0:
-        spans.append((runs[j][1], runs[j][1] + runs[j][2]))
-        j = best[j][1]
-    return spans[::-1]
+    out = []
+    for j, (value, _) in enumerate(best):
+        chained = []
+        while j >= 0:
+            chained.append(j)
+            j = best[j][1]
+        out.append((value, chained[::-1]))
+    return out
+
+
+def copies(runs: list[tuple[int, int, int]], long: int) -> tuple[float, list[tuple[int, int, float]]]:
+    """The best coverage, and (start, end, coverage) of each copy of a template in the text, in order.
+
+    The chains of most weight, then the shortest, are taken first; those that overlap them are sought anew among the runs that are left.
+    """
+    left, most, found = sorted(set(runs)), 0.0, []
+    while left:
+        ended = chains(left, long)
+        end = lambda chained: max(left[j][0] + left[j][2] for j in chained)  # noqa: B023, E731
+        ended = sorted((-value, end(chained) - left[chained[0]][0], chained) for value, chained in ended)
+        taken: list[tuple[int, int, float]] = []
+        for _, size, chained in ended:
+            cover = len({k for j in chained for k in range(left[j][1], left[j][1] + left[j][2])}) / long
+            most = max(most, cover)
+            start = left[chained[0]][0]
+            at = bisect_left(taken, (start,))
+            if cover >= COVERED and (at == len(taken) or taken[at][0] >= start + size) and (at == 0 or taken[at - 1][1] <= start):
+                taken.insert(at, (start, start + size, cover))
+        if not taken:
+            break
+        found += taken
+        starts = [x[0] for x in taken]
+        free = lambda s, n: (k := bisect_left(starts, s + n)) == 0 or taken[k - 1][1] <= s  # noqa: B023, E731
+        left = [(s, t, n) for s, t, n in left if free(s, n)]
+    return most, sorted(found)
 
 
 def scan_words(automaton: Automaton, tokens: list[bytes]) -> dict:
@@ -171,9 +201,9 @@ def scan_words(automaton: Automaton, tokens: list[bytes]) -> dict:
 
     def ended(run: tuple[int, int, int]) -> None:
         i, n, v = run
-        for t, end in automaton.ends[v].items():
+        for t, ends in automaton.ends[v].items():
             if n >= min(LONG, len(automaton.templates[t][1])):
-                runs.setdefault(t, []).append((i - n + 1, end - n + 1, n))
+                runs.setdefault(t, []).extend((i - n + 1, end - n + 1, n) for end in ends)
 
     for run in automaton.statistics(ids):
         i, n, v = run
@@ -189,22 +219,21 @@ def scan_words(automaton: Automaton, tokens: list[bytes]) -> dict:
     labels, spans, score = set(base), [], 1.0 if places else 0.0
     for t, found in runs.items():
         label, template = automaton.templates[t]
-        chained = chain(found, len(template))
-        cover = len({k for a, b in chained for k in range(a, b)}) / len(template)
+        cover, copied = copies(found, len(template))
         score = max(score, cover)
-        if cover >= COVERED:
+        if copied:
             labels.add(label)
-            spans.append((label, found[0][0], cover, chained))
+            spans += [(label, *c) for c in copied]
     return {"n_words": len(tokens), "places": places, "base": base, "labels": labels, "score": min(1.0, score), "spans": spans}
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: long, cover: double>>"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: long, end: long, cover: double>>"
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
-    """One row for each document: counts, labels, score, and where covered templates begin."""
+    """One row for each document: counts, labels, score, and each copy of a covered template: its words from start to before end."""
     automaton = Automaton(TEMPLATES if templates is None else templates, BASE if phrases is None else phrases)
-    kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("cover", pa.float64())]))]
+    kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))]
     names = [part.split(" ")[0] for part in SCHEMA.split(", ")[:9]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +242,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 r = scan_words(automaton, words(text.as_py()))
                 p = r["places"]
-                spans = [{"label": a, "start": s, "cover": c} for a, s, c, _ in sorted(r["spans"])]
+                spans = [{"label": a, "start": s, "end": e, "cover": c} for a, s, e, c in sorted(r["spans"])]
                 out.append((doc_id, r["n_words"], len(p), min(p, default=None), max(p, default=None), ",".join(sorted(r["base"])), ",".join(sorted(r["labels"])), r["score"], spans))
             columns = list(zip(*out, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

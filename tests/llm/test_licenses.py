@@ -54,3 +54,30 @@ def test_edge_rows(spark, documents):
     assert (1, 0, 0, None, None, "", "", 0.0) in out and (2, 0, 0, None, None, "", "", 0.0) in out
     assert (4, 200_004, 1, 200_000, 200_000, "gpl", "gpl", 1.0) in out
     assert licenses.scan(documents(rows).limit(0)).count() == 0
+
+
+def test_each_copy_has_a_span_of_its_own(spark, documents):
+    bsd = "redistribution and use in source and binary forms with or without EDIT modification are permitted provided that the following conditions are met"
+    stray = "under the terms of the contract " + "filler " * 500
+    text = stray + bsd + " " + bsd + " more " * 300 + bsd + " all rights reserved all rights reserved"
+    got = [tuple(s) for s in licenses.scan(documents([(1, text)])).first()["spans"]]
+    one = len(bsd.split())
+    starts = [506, 506 + one, 506 + 2 * one + 300]
+    assert [x[:3] for x in got if x[0] == "bsd-grant"] == [("bsd-grant", s, s + one) for s in starts] and all(x[3] == 1 for x in got)
+    end = starts[2] + one
+    assert [x[1:3] for x in got if x[0] == "reserved"] == [(end, end + 3), (end + 3, end + 6)]
+    gpl = dict(licenses.TEMPLATES)["gpl-notice"]
+    found = licenses.scan(documents([(2, stray + gpl)])).first()["spans"]
+    assert [s["start"] for s in found if s["label"] == "gpl-notice"] == [506]
+
+
+def test_words_that_recur_in_a_template():
+    automaton = licenses.Automaton([("twice", "one two three four five one two three six seven")], {})
+    r = licenses.scan_words(automaton, licenses.words("one two three four five X one two three X six seven"))
+    assert r["score"] == 0.8 and r["spans"] == [("twice", 0, 9, 0.8)]
+
+
+def test_many_copies_are_found_in_one_go():
+    automaton = licenses.Automaton(licenses.TEMPLATES, licenses.BASE)
+    r = licenses.scan_words(automaton, licenses.words(dict(licenses.TEMPLATES)["as-is"] + " ") * 3000)
+    assert len(r["spans"]) == 3000
