@@ -40,16 +40,32 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 
 #: Page furniture, by element and by words in class, id and role.
 FURNITURE = frozenset("nav footer aside form menu button select dialog head header".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation "
+    "newsletter notice pagination pager popup promo promoted related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Parts of class words that may follow a hint in it (comment-list), and those that make it a state of the page (has-sidebar).
+PARTS = frozenset("area bar block blocks body bottom box button buttons col column container content form group holder icon icons inner inline item items left link links list main menu module outer panel posts right row section text title top unit wrap wrapper".split())
+STATES = frozenset("has have hide hides is js no not show shows with without".split())
+#: An element with more than this share of the page's unlinked text isn't furniture because of its words alone.
+WRAPS = 2 / 3
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 HINTED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?:^|\s)(hidden)(?=[\s=/]|$)", re.I)
 PUNCTUATION = ".,;:!?…。，、；：！？¿¡"
 
 
+def hinted(words: str) -> bool:
+    """Whether a class, id or role word tells furniture: it is a hint, ends in one, or has one before parts alone."""
+    for word in words.lower().split():
+        parts = [p for p in re.split("[_-]+", word) if p]
+        if parts and parts[0] not in STATES:
+            while len(parts) > 1 and parts[-1] not in HINTS and (parts[-1] in PARTS or parts[-1].isdigit()):
+                parts.pop()
+            if parts[-1] in HINTS:
+                return True
+    return False
+
+
 class Node:
     """A run of text: its block (an ordinal), path, whether it lies in furniture or a link, and the containers it lies in."""
 
@@ -63,6 +79,7 @@ def read(source: str) -> list[Node]:
     """The text nodes of a page, in order."""
     stack: list[tuple[str, bool, int]] = []  # name, furniture, ordinal
     nodes: list[Node] = []
+    told: set[int] = set()  # ordinals of elements whose words tell furniture
     block = count = at = 0
     end = len(source)
     path = ""
@@ -114,7 +131,9 @@ def read(source: str) -> list[Node]:
             if name not in VOID and not m[3].rstrip().endswith("/") or name in BLOCK and name not in VOID:
                 hints = " ".join((h[0].strip("\"'") if h[0] else h[1]) for h in HINTED.findall(m[3])) if m[3] else ""
                 inside_article = any(x[0] in ("article", "main") for x in stack)
-                off = bool(stack) and stack[-1][1] or name in FURNITURE and not (name == "header" and inside_article) or bool(hints) and name not in ("html", "body", "article", "main") and (bool(HINTS.search(hints)) or "hidden" in hints.split())
+                off = bool(stack) and stack[-1][1] or name in FURNITURE and not (name == "header" and inside_article) or bool(hints) and name not in ("html", "body", "article", "main") and "hidden" in hints.split()
+                if hints and name not in ("html", "body", "article", "main") and hinted(hints):
+                    told.add(count + 1)
                 if name in RAW:
                     close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
                     at = close.start() if close else (end if name in ("script", "style") else at)
@@ -123,9 +142,29 @@ def read(source: str) -> list[Node]:
                 count += 1
                 stack.append((name, off, count))
         path = "/".join([x[0] for x in stack if x[0] not in INLINE])  # inline elements are part of their block
+    veto(nodes, told)
     return nodes
 
 
+def veto(nodes: list[Node], told: set[int]) -> None:
+    """Words tell furniture unless the element holds most of the page's unlinked text, with all of its articles, or nothing would be left."""
+    held: dict[int, int] = defaultdict(int)
+    articles: dict[int, int] = defaultdict(int)  # of the text held
+    total = total_articles = 0
+    for n in nodes:
+        if not n.off and not n.linked and not n.text.isspace():
+            article = len(n.text) * (not {"article", "main"}.isdisjoint(n.path.split("/")))
+            total, total_articles = total + len(n.text), total_articles + article
+            for e in told.intersection(n.inside):
+                held[e] += len(n.text)
+                articles[e] += article
+    told = {e for e in told if held[e] <= WRAPS * total or articles[e] < total_articles}
+    off = [not told.isdisjoint(n.inside) for n in nodes]
+    if any(not o and not n.off and not n.text.isspace() and (not n.linked or not total) for n, o in zip(nodes, off, strict=True)):
+        for n, o in zip(nodes, off, strict=True):
+            n.off |= o
+
+
 def text_space(nodes: list[Node], block: int) -> None:
     """A line break inside a block is white space."""
     if nodes and nodes[-1].block == block:

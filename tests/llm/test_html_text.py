@@ -35,3 +35,25 @@ def test_rows(spark):
     assert len(out) == 5 and (None, None, "", 0) in out and (2, "v", "", 0) in out
     assert next(r for r in out if r[0] == 3)[2] == "\n".join(["some words, here."] * 20_000)
     assert all(r[3] == len(r[2]) for r in out) and H.extract(df.limit(0)).count() == 0
+
+
+def test_words_of_wrappers_do_not_lose_the_article():
+    text = "A first paragraph, with text. And more, of it.\nA second one, longer. With marks; many, many of them."
+    body = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    aside = "<div class='note'><p>Short, other.</p></div>"
+    for words in ("site has-sidebar", "layout no-sidebar", "wrapper header-fixed", "post comments-open", "search-results", "search", "share widget"):
+        assert H.main_text(f"<body><nav><a>Home</a></nav><div class='{words}'><div class='post'>{body}</div></div><footer>Foot, here.</footer>") == text
+        assert text in H.main_text(f"<body><div class='{words}'><div class='post'>{body}</div></div>{aside}")
+    halves = "".join(f"<div class='post comments-open'><p>{x}</p></div>" for x in text.split("\n"))
+    assert H.main_text(f"<body>{halves}") == text
+    assert H.main_text("<body><div class='widget'><p>All there is, here.</p></div><div class='promo'><p>And this, too. Yes.</p></div>") == "All there is, here.\nAnd this, too. Yes."
+
+
+def test_words_of_furniture_still_count():
+    body = "<p>A first paragraph, with text. And more, of it.</p><p>A second one, longer. With marks; many, many of them.</p>"
+    for words in ("site-footer", "left-sidebar", "comment-list", "nav_menu", "cookie-notice", "related-posts", "footer-1"):
+        assert "Other" not in H.main_text(f"<body><div class='post'>{body}</div><div class='{words}'><p>Other, text. Here.</p></div>")
+
+
+def test_a_long_advertisement_beside_a_short_article():
+    assert H.main_text("<body><div class='ad'>Long, long advertisement. With marks; many of them.</div><article><h1>Head.</h1><p>Short.</article>") == "Head.\nShort."
