@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 20
 #: Bounds of the training sample.
 PER_LANGUAGE = 900
 CROPS = 3
+#: Languages whose share is broadcast, at most (a name and a number each); beyond that what is cropped is shuffled.
+BROADCAST_LANGUAGES = 10_000
 #: Windows that go through the network at once: 10 MB of activations.
 BATCH = 512
 UNKNOWN = "und"
@@ -41,16 +45,20 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int = CROPS) -> list[tuple[str, bytes]]:
-    """(language, bytes) of windows of the training rows: at most per_language * crops for a language, of WINDOW characters."""
-    place_in = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), 11)  # 53 bits
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", place_in.alias("h"), "doc_id", "text")
-    # What can be among the first of a language, by its count: few rows meet in one task, however many it has.
-    reach = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("reach"))
-    rows = rows.join(reach, "lang").filter(F.col("h") <= F.col("reach") * F.lit(float(1 << 53))).drop("reach")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    """(language, bytes) of windows of the training rows: at most per_language * crops for a language, of WINDOW characters.
+
+    Only what is cropped from a text leaves its scan, and of it only what can be among the first of a language.
+    """
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.shiftrightunsigned(own, 11).alias("h"), "doc_id", "text")  # h: 53 bits
     starts = [(F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int") for k in range(crops)]
     cropped = rows.select("lang", "h", "doc_id", F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]).alias("parts"))
-    picked = cropped.withColumn("place", place).filter(F.col("place") <= per_language)
+    # Hashes are even, so by its count a language has some 4 * per_language rows below its reach, however many it has in all.
+    reach = Scratch(docs.sparkSession, "language").put(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("reach")), "reach")
+    few = reach.count() <= BROADCAST_LANGUAGES
+    near = cropped.join(F.broadcast(reach) if few else reach.hint("merge"), "lang").filter(F.col("h") <= F.col("reach") * F.lit(float(1 << 53)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = near.select("lang", "h", "doc_id", "parts").withColumn("place", place).filter(F.col("place") <= per_language)
     return sorted((r["lang"], p.encode("utf-8", "surrogatepass")) for r in picked.select("lang", "parts").collect() for p in r["parts"])
 
 
