@@ -2,17 +2,16 @@
 
 A line's spread is the number of distinct sites (sources) that have it. HyperLogLog sketches of sites, one
 for each line hash, merge by aggregation. A line whose estimate is clearly over or under the threshold is
-settled by it; for one near the threshold sites are counted exactly. Copies of one document spread over
-sites too, but their lines keep their neighbours: so a line must also stand between many different pairs of
-lines (at least ``varied`` of its documents), sketched and settled in the same way. What is boilerplate goes
-from every document. The test of neighbours is what the query's SQL states; it spares all but the first line of
-a block that always stands as one, and lines that many copies have too. With ``varied`` None sites alone decide:
-all copies of a text count for one of their sites, so copies of one document still aren't boilerplate.
-
-Defined results: a document counts once for a line, at its first place; blank lines stay and count for
-nothing; white space around a line doesn't count; null text stays null, with 0 lines; a null site is a site;
-very long texts come whole; repeated rows are documents of their own with the same result; an empty table
-gives an empty one. Other columns stay as they are in ``clean``.
+settled by it; for one near the threshold sites are counted exactly. What is boilerplate goes from every
+document, so a notice of several lines goes with all of them.
+
+Copies of one document spread over sites too. Where they haven't been removed before, ``once`` lets all copies
+of a text count for one of their sites alone.
+
+Defined results: a document counts once for a line; blank lines stay and count for nothing; white space
+around a line doesn't count; null text stays null, with 0 lines; a null site is a site; very long texts come
+whole; repeated rows are documents of their own with the same result; an empty table gives an empty one.
+Other columns stay as they are in ``clean``.
 """
 
 from __future__ import annotations
@@ -24,11 +23,9 @@ from .common import Scratch, packed, unpacked
 
 #: From so many sites on, a line may be boilerplate.
 SITES = 10
-#: The least share of a line's documents in which it stands between different lines.
-VARIED = 0.5
 #: 2 ** LG_K registers: a standard error of 1.6 %.
 LG_K = 12
-#: Estimates within this share of a threshold are counted exactly: over six standard errors.
+#: Estimates within this share of the threshold are counted exactly: over six standard errors.
 NEAR = 0.1
 #: Line hashes that are broadcast, at most (8 bytes each); beyond that the rows are shuffled.
 BROADCAST_LINES = 1_000_000
@@ -39,12 +36,9 @@ def lines_of(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, site: str) -> DataFrame:
-    """(line, site, around, th) as hashes, one for each document and distinct line of it; th is the text's."""
-    distinct = docs.select(F.col(site).alias("site"), F.xxhash64("text").alias("th"), F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: x != "").alias("lines"))
-    hashed = distinct.select(F.coalesce(F.xxhash64("site"), F.lit(0)).alias("site"), "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"))
-    return hashed.filter("size(lines) > 0").select("site", "th", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(
-        F.get("lines", i).alias("line"), F.xxhash64(F.get("lines", i - 1), F.get("lines", i + 1), i == 0).alias("around")
-    ))).alias("at")).select("at.line", "site", "at.around", "th")
+    """(line, site, th) as hashes, one for each document and distinct line of it; th is the text's."""
+    distinct = docs.select(F.xxhash64(site).alias("site"), F.xxhash64("text").alias("th"), F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: x != "").alias("lines"))
+    return distinct.select("site", "th", F.explode("lines").alias("line")).select(F.xxhash64("line").alias("line"), "site", "th")
 
 
 def among(rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -52,51 +46,28 @@ def among(rows: DataFrame, few: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_LINES else few, "line", "left_semi")
 
 
-def spread(rows: DataFrame, scratch: Scratch, sites: int) -> DataFrame:
-    """(line), the lines on so many sites, where a text counts for one of the sites that have it."""
-    # The site is drawn by text and site, or texts that all stand on the same sites would all count for the same one.
-    one = rows.groupBy("line", "th").agg(F.min_by("site", F.xxhash64("th", "site")).alias("site"))
-    one = scratch.put(one, "texts")
-    sketched = scratch.put(one.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")), "sketched")
-    clear = F.col("sites") >= sites * (1 + NEAR)
-    near = scratch.put(sketched.filter(~clear & (F.col("sites") >= sites * (1 - NEAR))).select("line"), "near")
-    exact = among(one, near).select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= sites)
-    return sketched.filter(clear).select("line").unionByName(exact.select("line"))
-
-
-def boilerplate(docs: DataFrame, scratch: Scratch, site: str = "source", sites: int = SITES, varied: float | None = VARIED) -> DataFrame:
-    """(line), the hashes of boilerplate lines."""
+def boilerplate(docs: DataFrame, scratch: Scratch, site: str = "source", sites: int = SITES, once: bool = False) -> DataFrame:
+    """(line), the hashes of lines on so many sites."""
     rows = occurrences(docs, site)
-    rows = scratch.put(rows.drop("th") if varied is not None else rows.drop("around"), "lines")
+    if once:
+        # The site is drawn by text and site, or texts that all stand on the same sites would all count for the same one.
+        rows = rows.groupBy("line", "th").agg(F.min_by("site", F.xxhash64("th", "site")).alias("site"))
+    rows = scratch.put(rows.select("line", "site"), "lines")
+    # Most lines stand in few documents; these need no sketch.
     often = scratch.put(rows.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= sites).select("line"), "often")
-    if varied is None:
-        return scratch.put(spread(among(rows, often), scratch, sites), "boilerplate")
-    sketched = among(rows, often).groupBy("line").agg(
-        F.count("*").alias("docs"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("around", F.lit(LG_K))).alias("arounds")
-    )
+    sketched = among(rows, often).groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     sketched = scratch.put(sketched, "sketched")
-    few, many = F.lit(sites), F.ceil(F.col("docs") * varied)
-    clear = lambda estimate, least: estimate >= least * (1 + NEAR)
-    out = lambda estimate, least: estimate < least * (1 - NEAR)
-    both = clear(F.col("sites"), few) & clear(F.col("arounds"), many)
-    neither = out(F.col("sites"), few) | out(F.col("arounds"), many)
-    near = scratch.put(sketched.filter(~both & ~neither).select("line"), "near")
+    clear, out = F.col("sites") >= sites * (1 + NEAR), F.col("sites") < sites * (1 - NEAR)
+    near = scratch.put(sketched.filter(~clear & ~out).select("line"), "near")
     # Exact counts: distinct pairs first, so that a line of many documents is many small groups.
-    close = among(rows, near)
-    exact = (
-        close.groupBy("line").agg(F.count("*").alias("docs"))
-        .join(close.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites")), "line")
-        .join(close.select("line", "around").distinct().groupBy("line").agg(F.count("*").alias("arounds")), "line")
-        .filter((F.col("sites") >= few) & (F.col("arounds") >= many))
-    )
-    found = scratch.put(sketched.filter(both).select("line").unionByName(exact.select("line")), "boilerplate")
-    return found
-
-
-def clean(docs: DataFrame, site: str = "source", sites: int = SITES, varied: float | None = VARIED) -> DataFrame:
+    exact = among(rows, near).distinct().groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= sites)
+    return scratch.put(sketched.filter(clear).select("line").unionByName(exact.select("line")), "boilerplate")
+
+
+def clean(docs: DataFrame, site: str = "source", sites: int = SITES, once: bool = False) -> DataFrame:
     """The documents with boilerplate lines taken out of text; adds n_lines and n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = boilerplate(docs, scratch, site, sites, varied)
+    found = boilerplate(docs, scratch, site, sites, once)
     key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")]
     hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)))
     hit = among(docs.select(*key, F.explode(hashes).alias("line")), found).groupBy("_id", "_th").agg(F.collect_set("line").alias("_gone"))

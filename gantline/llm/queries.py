@@ -68,19 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Line dedup counted exactly, in DuckDB's SQL.
 OP3_SQL = r"""
-WITH texts AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce(source, '') AS site FROM documents),
-lines AS (
-    SELECT k, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce(source, chr(1)) AS site FROM documents),
+told AS (
+    SELECT k, site, raw, trim(raw) AS line, i
+    FROM (SELECT k, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts)
 ),
-told AS (SELECT k, site, i, raw, trim(raw) AS line FROM lines),
-firsts AS (SELECT k, site, line, min(i) AS i FROM told WHERE line <> '' GROUP BY k, site, line),
-around AS (
-    SELECT site, line, lag(line) OVER w AS before, lead(line) OVER w AS after FROM firsts WINDOW w AS (PARTITION BY k ORDER BY i)
-),
-gone AS (
-    SELECT line FROM around GROUP BY line
-    HAVING count(DISTINCT site) >= 10 AND count(DISTINCT struct_pack(b := coalesce(before, chr(0)), a := coalesce(after, chr(0)))) >= ceil(count(*) * 0.5)
-)
+gone AS (SELECT line FROM told WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10)
 SELECT t.doc_id,
     CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(string_agg(x.raw, chr(10) ORDER BY x.i) FILTER (WHERE g.line IS NULL), '') END AS text,
     CAST(count(x.i) AS BIGINT) AS n_lines, CAST(count(g.line) AS BIGINT) AS n_removed
