@@ -3,9 +3,10 @@
 Documents are tokenized once; one over ``room`` tokens is cut into pieces of ``room`` with the shorter
 piece first, so all other pieces fill a sequence by themselves. The rest are dealt by hash into groups
 of a bounded size and packed best-fit decreasing. A group's count of sequences is certified when it
-equals a lower bound from dual feasible functions. Groups with a gap give up the pieces of sequences
-that aren't full; these are dealt anew, into fewer groups, and packed again, until all is certified
-or one group holds what is left.
+equals a lower bound from dual feasible functions. A group with a gap gives up the pieces of all sequences
+that aren't full, a certified one those of its emptiest alone; these are dealt anew, into fewer groups, and
+packed again. Once an exchange doesn't lower the count, all groups give up only their emptiest, until one
+group holds what is left. A packing that takes more sequences than the one before it is dropped.
 
 Defined results: null text is empty and packs as the end-of-document id alone; repeated rows and
 copies are documents of their own; a null doc_id stays null; an empty table gives an empty one. Texts
@@ -34,6 +35,8 @@ END = 0
 VOCABULARY = "byte_bpe_50k"
 #: Pieces that one task packs; the memory of a task follows it, whatever the corpus.
 GROUP_PIECES = 100_000
+#: Sequences that a certified group gives up, the emptiest, and at most half of its own.
+EMPTIEST = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -144,37 +147,49 @@ def best_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, li
     return bins, offsets, left
 
 
-def _packer(room: int, last: bool):
+PACKED = "rid long, grp int, length long, bin long, offset long, certified boolean, rest int"
+
+
+def _packer(room: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One group: what stays has a bin; pieces of bins that aren't full are given up while the count isn't certified."""
+        """One group. ``rest`` is 0 for pieces of full bins, 2 for those of the emptiest, else 1."""
         pdf = pdf.sort_values(["length", "rid"], ascending=[False, True], ignore_index=True)
         lengths = pdf["length"].to_numpy()
         bins, offsets, left = best_fit(lengths, room)
+        space = np.array(left)
+        rest = (space > 0).astype(np.int32)
+        emptiest = np.argsort(-space, kind="stable")[: min(EMPTIEST, len(space) // 2)]
+        rest[emptiest] *= 2
         certified = len(left) <= bound(np.bincount(lengths, minlength=room + 1), room)
-        kept = np.ones(len(pdf), bool) if certified or last else np.array(left)[bins] == 0
-        return pdf.assign(bin=np.where(kept, bins, -1), offset=offsets)[["rid", "grp", "length", "bin", "offset"]]
+        return pdf.assign(bin=bins, offset=offsets, certified=certified, rest=rest[bins])[["rid", "grp", "length", "bin", "offset", "certified", "rest"]]
 
     return run
 
 
-def pack(cut_pieces: DataFrame, room: int = ROOM, group_pieces: int = GROUP_PIECES, rounds: int = 4) -> DataFrame:
+def pack(cut_pieces: DataFrame, room: int = ROOM, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add sequence_id and offset to rows that have a length of 1 to ``room``."""
     spark = cut_pieces.sparkSession
     scratch = Scratch(spark, "packing")
     numbered = scratch.put(cut_pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    todo, placed, n = numbered.filter(F.col("length") < room).select("rid", "length"), [], None
-    for turn in range(rounds):
-        n = todo.count()
-        groups = -(-n // group_pieces) if turn else max(-(-n // group_pieces), min(8, n // 2000))
-        groups, last = max(1, groups), groups <= 1 or turn == rounds - 1
+    placed = [numbered.filter(F.col("length") == room).select("rid", F.lit(0).cast("long").alias("offset"), F.col("rid").alias("sequence_id"))]
+    todo, before, fewest, settled, turn = numbered.filter(F.col("length") < room).select("rid", "length"), None, 0, False, 0
+    while True:
+        turn += 1
+        groups = max(1, -(-todo.count() // group_pieces))
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(groups)).cast("int"))
-        out = scratch.put(dealt.groupBy("grp").applyInPandas(_packer(room, last), "rid long, grp int, length long, bin long, offset long"), "packed")
-        placed.append(out.filter("bin >= 0").select("rid", "offset", F.expr(f"{turn + 1}L * {1 << 56}L + grp * {1 << 28}L + bin").alias("sequence_id")))
-        if last or not n:
+        out = scratch.put(dealt.groupBy("grp").applyInPandas(_packer(room), PACKED), "packed")
+        out = out.withColumn("sequence_id", F.expr(f"{turn}L * {1 << 56}L + grp * {1 << 28}L + bin"))
+        count = out.select("sequence_id").distinct().count()
+        if before is not None and count >= fewest:
+            settled, out = True, before if count > fewest else out
+        given = F.lit(False) if groups == 1 else F.col("rest") > F.when(F.col("certified") | F.lit(settled), 1).otherwise(0)
+        placed.append(out.filter(~given).select("rid", "offset", "sequence_id"))
+        if groups == 1:
             break
-        todo = out.filter("bin < 0").select("rid", "length")
-    whole = numbered.filter(F.col("length") == room).select("rid", F.lit(0).cast("long").alias("offset"), F.col("rid").alias("sequence_id"))
-    for p in placed:
+        before = out.filter(given)
+        fewest, todo = before.select("sequence_id").distinct().count(), before.select("rid", "length")
+    whole = placed[0]
+    for p in placed[1:]:
         whole = whole.unionByName(p)
     return numbered.join(whole, "rid").drop("rid")
 

@@ -13,7 +13,7 @@ FULL = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t\r'sdtrelvm.,!?aé1日") + ["<|endoftext|>", "\xa0", "  ", "\n\n"]), st.characters(exclude_categories=["Cs"])), max_size=40))
+@given(st.lists(st.one_of(st.sampled_from(list(" \n\t\r'sdtrelvm.,!?aé1日") + ["<|endoftext|>", "\xa0", "  ", "\n\n"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
 def test_ids_are_the_tokenizers(text):
     assert packing.token_ids(text) == np.array(FULL.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -84,5 +84,15 @@ def test_groups_exchange_what_does_not_fit(spark):
     assert max(r[1] for r in out) <= 64 and len(out) <= -(-total // 64) + 2
 
 
+def test_groups_reach_what_one_group_reaches(spark):
+    rng = random.Random(4)
+    for lengths in ([rng.choice([3, 5, 8, 21, 34, 40]) for _ in range(1200)], [rng.randint(33, 63) for _ in range(500)], [rng.choice([22, 23, 11]) for _ in range(700)]):
+        df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+        count = lambda n: packing.pack(df, 64, group_pieces=n).select("sequence_id").distinct().count()  # noqa: B023, E731
+        assert packing.bound(np.bincount(lengths, minlength=65), 64) <= count(150) <= count(10_000) + 1
+    df = spark.createDataFrame([(i, 40) for i in range(50)], "doc_id long, length long")
+    assert packing.pack(df, 64, group_pieces=1).select("sequence_id").distinct().count() == 50
+
+
 def test_empty_table(spark, documents):
     assert packing.pack_documents(documents([(1, "x")]).limit(0)).count() == 0
