@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, packed, unpacked
+from .hashing import BYTES, FACTOR, U, mix64, powers, run_hashes
 
 SHINGLE = 5
 #: Similarity is at least PERCENT / 100.
@@ -48,6 +49,8 @@ VERIFY_COST = 8.0
 HUBS = 3
 #: From so many classes on, those of a token have sketches and meet more of its smallest classes first.
 CROWD, CROWD_HUBS = 16, 64
+#: A token's classes are dealt to tasks in lots of about so many.
+LOT = 4096
 #: A sketch is so many numbers of 64 bits.
 SKETCH = 8
 #: Classes whose documents are told to the scan that makes their sets by broadcast, at most (16 bytes each).
@@ -55,48 +58,20 @@ BROADCAST_CLASSES = 2_000_000
 #: Bytes of text that go through numpy at once.
 CHUNK_BYTES = 1 << 21
 
-U = np.uint64
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finalizer of a 64-bit hash: all bits of the input reach all of the output."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-#: A random number for each byte, so that words are sums of products of unlike numbers; A-Z as a-z.
-BYTES = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BYTES[65:91] = BYTES[97:123]
+#: A-Z as a-z.
+LOWER = BYTES.copy()
+LOWER[65:91] = BYTES[97:123]
+FACTORS = powers(FACTOR, SHINGLE + 3)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-FACTOR = U(0xD6E8FEB86659FD93)
-#: Its inverse modulo 2 ** 64.
-INVERSE = U(pow(int(FACTOR), -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-POWERS, INVERSES = powers(FACTOR, CHUNK_BYTES + 2), powers(INVERSE, CHUNK_BYTES + 2)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word in bytes that begin and end with white space."""
-    global POWERS, INVERSES
-    if len(data) > len(POWERS):  # a text longer than a chunk
-        POWERS, INVERSES = powers(FACTOR, len(data)), powers(INVERSE, len(data))
     space = SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     begin, end = edge[0::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTES[data] * POWERS[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[begin]) * INVERSES[begin] + (end - begin).astype(U)), begin
+    return run_hashes(data, begin, end, LOWER), begin
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -115,7 +90,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
         at = np.searchsorted(begin, starts)
         runs = np.zeros(max(0, len(words) - SHINGLE + 1), U)
         for k in range(SHINGLE):
-            runs += words[k : len(words) - SHINGLE + 1 + k] * POWERS[k + 3] if len(runs) else U(0)
+            runs += words[k : len(words) - SHINGLE + 1 + k] * FACTORS[k + 3] if len(runs) else U(0)
         runs = mix64(runs)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
@@ -222,14 +197,17 @@ def token_counts(docs: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
     return table
 
 
-def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS) -> DataFrame:
-    """(token, cls, n, need, place): the prefix of each class once a task, need being its l, place from 0 in the order of tokens."""
+def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS, lot: int = LOT) -> DataFrame:
+    """(token, cls, n, need, place, lots, lot): the prefix of each class once a task, need being its l, place from 0 in the order of tokens.
+
+    A token's cell in the table of counts tells how many documents have it at most, and so in how many lots its classes are to be dealt.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for b in _slices(batches):
-            tokens, classes, sizes, needs, places = [], [], [], [], []
+            tokens, classes, sizes, needs, places, lots = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist()):
                 cls = class_of(s)
                 if cls in seen:
@@ -242,10 +220,13 @@ def postings(docs: DataFrame, counts: np.ndarray, bits: int = COUNT_BITS) -> Dat
                     sizes.append(np.full(len(part), len(s), np.int32))
                     needs.append(np.full(len(part), m, np.int8))
                     places.append(np.arange(len(part), dtype=np.int32))
+                    lots.append(table[cells(part, bits)] // lot + 1)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, needs, places)], names=["token", "cls", "n", "need", "place"])
+                columns = [np.concatenate(x) for x in (tokens, classes, sizes, needs, places, lots)]
+                own = (columns[1].view(U) % columns[5].astype(U)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, own)], names=["token", "cls", "n", "need", "place", "lots", "lot"])
 
-    return _texts(docs).mapInArrow(run, "token long, cls long, n int, need byte, place int")
+    return _texts(docs).mapInArrow(run, "token long, cls long, n int, need byte, place int, lots int, lot int")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -259,6 +240,18 @@ def class_sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "cls long, tokens array<long>")
 
 
+def meeting(first: DataFrame, second: DataFrame, lot: int = LOT) -> DataFrame:
+    """Pairs of rows (token, classes, cls, ...) that share a token, the smaller class first; columns get _a and _b.
+
+    What many classes share is met in lots: the second side's rows are dealt, and the first side's go to all lots.
+    """
+    half = lambda df, k: df.select("token", "lot", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "lot", "classes")])
+    lots = F.floor(F.col("classes") / lot)
+    everywhere = first.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots)))
+    dealt = second.withColumn("lot", F.pmod("cls", lots + 1))
+    return half(everywhere, "a").join(half(dealt, "b"), ["token", "lot"]).filter("cls_a < cls_b")
+
+
 def promising(met: DataFrame) -> DataFrame:
     """(a, b, met) of the pairs in rows (token, cls_a, n_a, need_a, place_a, cls_b, ...) that may be similar enough.
 
@@ -277,13 +270,11 @@ def promising(met: DataFrame) -> DataFrame:
     return pairs.filter("met >= least").select("a", "b", "met")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. The sets are made again from the text of one document of each class."""
     pairs = scratch.put(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    member = F.min(F.struct(key.alias("id"), "th")).alias("m")
-    members = scratch.put(classed.join(wanted, "cls", "left_semi").groupBy("cls").agg(member).select("m.id", "m.th"), "members")
+    members = scratch.put(classes.join(wanted, "cls", "left_semi").select("m.id", "m.th"), "members")
     few = members.count() <= BROADCAST_CLASSES
     chosen = docs.select("doc_id", "text").withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
     sets = scratch.put(class_sets(chosen.join(F.broadcast(members) if few else members, ["id", "th"], "left_semi")), "sets")
@@ -315,37 +306,46 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("cls", "label")
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, lot: int = LOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, component, th) of each document; component is a key that documents without words lack."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     classed = scratch.put(document_classes(docs), "classes")
     counts = token_counts(docs)
-    # Copies are dropped within a task already, so one exchange by token does for both the classes and their count.
-    listed = postings(docs, counts).repartition("token").groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
+    # A row for each class: its smallest id, one document of it, and its sketch. Copies come together before they are exchanged.
+    member = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "th")).alias("m")
+    sketch = [F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]
+    classes = scratch.put(classed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), member, *sketch), "members")
+    # Copies are dropped within a task already, so one exchange by token and lot does for both the classes and their count.
+    listed = postings(docs, counts, lot=lot).repartition("token", "lot").groupBy("token", "lot", "lots", "cls").agg(*[F.first(c).alias(c) for c in ("n", "need", "place")])
     # A token that one class has joins nothing. What is left is a few hundredths of the postings.
-    here = Window.partitionBy("token")
-    shared = listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1")
-    shared = scratch.put(shared, "postings")
-    sketches = classed.filter("cls IS NOT NULL").groupBy("cls").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)])
+    here = Window.partitionBy("token", "lot")
+    listed = scratch.put(listed.withColumn("classes", F.count("*").over(here)).filter("classes > 1 OR lots > 1"), "postings")
+    whole = listed.filter("lots = 1").drop("lot", "lots")
+    parted = listed.filter("lots > 1").drop("lot", "lots", "classes")
+    totals = scratch.put(parted.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1"), "tokens")
+    shared = scratch.put(whole.unionByName(parted.join(totals, "token")), "shared")
+    scratch.drop(listed)
+    sketches = classes.select("cls", *[f"s{k}" for k in range(SKETCH)])
     crowded = scratch.put(shared.filter(F.col("classes") >= CROWD).join(sketches, "cls"), "crowded")
     shared = shared.filter(F.col("classes") < CROWD).unionByName(crowded, allowMissingColumns=True)
-    # First each class and the smallest classes of its tokens, where what they share there is enough already.
-    half = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("token", "classes")])
-    hubs = shared.withColumn("nth", F.row_number().over(here.orderBy("cls"))).filter((F.col("nth") <= CROWD_HUBS) & ((F.col("nth") <= HUBS) | (F.col("classes") >= CROWD))).drop("nth")
+    # First each class and the smallest classes of its tokens, where what they share there is enough already. Tasks send on no more than these of a token.
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("cls"))
+    hubs = shared.withColumn("nth", nth).filter((F.col("nth") <= CROWD_HUBS) & ((F.col("nth") <= HUBS) | (F.col("classes") >= CROWD))).drop("nth")
     first = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
-    near = promising(half(hubs, "a").join(half(shared, "b"), "token").filter("cls_a < cls_b")).withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b")
-    edges = verified(near, docs, classed, scratch)
+    near = promising(meeting(hubs, shared, lot)).withColumn("first", first).filter(F.col("first") <= HUBS).select("a", "b")
+    edges = verified(near, docs, classes, scratch)
     labels = components(edges, scratch)
     # Then all candidates across components: tokens whose classes are of two components or more.
-    labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    crossing = labelled.withColumn("lo", F.min("label").over(here)).withColumn("hi", F.max("label").over(here)).filter("lo < hi").drop("lo", "hi")
-    crossing = scratch.put(crossing, "crossing")
-    rest = promising(half(crossing, "a").join(half(crossing, "b"), "token").filter("cls_a < cls_b AND label_a <> label_b")).select("a", "b")
-    more = verified(rest, docs, classed, scratch)
+    labelled = scratch.put(shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    several = scratch.put(labelled.groupBy("token").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("token"), "several")
+    crossing = scratch.put(labelled.join(several, "token", "left_semi"), "crossing")
+    scratch.drop(labelled)
+    rest = promising(meeting(crossing, crossing, lot).filter("label_a <> label_b")).select("a", "b")
+    more = verified(rest, docs, classes, scratch)
     if more.limit(1).count():
         labels = components(edges.unionByName(more), scratch)
-    mapped = classed.groupBy("cls").agg(F.min("doc_id").alias("least")).filter("cls IS NOT NULL").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mapped = classes.select("cls", "least").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mapped = scratch.put(mapped, "mapped")
     least = mapped.groupBy("label").agg(F.min("least").alias("component_id"))
     whole = scratch.put(mapped.join(least, "label").select("cls", "component_id", F.col("label").alias("component")), "components")

@@ -77,8 +77,18 @@ def test_a_crowd_about_the_threshold(spark, documents):
         for at in rng.sample(range(110), rng.randint(1, 4)):
             copy[at] = f"n{k}-{at}"
         rows.append((k, " ".join(copy)))
-    out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link(documents(rows)).collect()), key=str)
-    assert out == brute(rows)
+    for lot in (jaccard_join.LOT, 7):  # in lots of 7, the crowd is dealt to a dozen
+        out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link(documents(rows), lot).collect()), key=str)
+        assert out == brute(rows)
+
+
+def test_rows_meet_once_whatever_the_lots(spark):
+    rng = random.Random(6)
+    rows = [(t, n, rng.getrandbits(60) - (1 << 59)) for t, n in ((1, 40), (2, 3), (3, 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "token long, classes long, cls long")
+    want = sorted((t, *sorted(p)) for t in (1, 2, 3) for p in itertools.combinations([r[2] for r in rows if r[0] == t], 2))
+    for lot in (1, 5, 100):
+        assert sorted(map(tuple, jaccard_join.meeting(df, df, lot).select("token", "cls_a", "cls_b").collect())) == want
 
 
 def test_long_text_and_empty_table(spark, documents):
