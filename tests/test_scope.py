@@ -7,21 +7,14 @@ from gantline.plans.compare import compare
 from gantline.sources.feed import read_feed
 from gantline.sources.scratch import Scratch
 
-CALENDAR = "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\n"
-
-
-def timetable(service, prefix, hours):
-    trips = "".join(f"R1,{service},{prefix}{h},Harbour\n" for h in hours)
-    times = "".join(f"{prefix}{h},{h:02d}:{m:02d}:00,{h:02d}:{m:02d}:00,S{i},{i}\n" for h in hours for i, m in ((1, 0), (2, 5), (3, 10)))
-    return trips, times
 
 
 def feed(tmp_path, name, *parts):
     """Parts are (service, start, end, prefix, hours)."""
-    made = [timetable(s, p, h) for s, _, _, p, h in parts]
     return feeds.write(
-        tmp_path, name, calendar=CALENDAR + "".join(f"{s},1,1,1,1,1,0,0,{a},{b}\n" for s, a, b, _, _ in parts),
-        trips="route_id,service_id,trip_id,trip_headsign\n" + "".join(t for t, _ in made), stop_times="trip_id,arrival_time,departure_time,stop_id,stop_sequence\n" + "".join(t for _, t in made),
+        tmp_path, name, calendar=feeds.BASE["calendar"].split("\n")[0] + "\n" + "".join(f"{s},1,1,1,1,1,0,0,{a},{b}\n" for s, a, b, _, _ in parts),
+        trips="route_id,service_id,trip_id,trip_headsign\n" + "".join(f"bay,{s},{p}{h},Cape\n" for s, _, _, p, hours in parts for h in hours),
+        stop_times=feeds.times(*((f"{p}{h}", 60 * h, list(feeds.PIERS)) for _, _, _, p, hours in parts for h in hours)),
     )
 
 
@@ -34,5 +27,6 @@ def test_a_bundled_next_period_is_left_out(spark, tmp_path):
     # The old period's two trips are found again in the new one and one comes on top; the bundled period isn't counted.
     assert "SERVICE_INCREASED" in kinds and "SERVICE_REDUCED" not in kinds
     assert sorted(r["new_id"] for r in result.delta.pairs.collect()) == ["b8", "b9"] and [r["trip_id"] for r in result.delta.added.collect()] == ["b10"]
-    assert '"switch_date":"20260711"' in kinds["GENERATION_SCOPE"]["quantification"]
+    # The next period begins on a Saturday; its first day of service is the Monday after.
+    assert '"switch_date":"20260713"' in kinds["GENERATION_SCOPE"]["quantification"]
     assert result.delta.old.count() == 2 and result.explained().first()["ratio"] == 1
