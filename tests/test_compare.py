@@ -4,7 +4,7 @@ import feeds
 import pytest
 from pyspark.sql import functions as F
 
-from gantline.plans import report
+from gantline.plans import report, timetables
 from gantline.plans.compare import compare
 from gantline.sources.feed import read_feed
 from gantline.sources.scratch import Scratch
@@ -27,14 +27,14 @@ def times(rows):
 
 
 OLD = dict(
-    stops=STOPS, routes=ROUTES, trips=trips([("R1", "WD", f"a{i}", "East") for i in range(4)] + [("R2", "WD", f"b{i}", "West") for i in range(3)] + [("R3", "WD", "c0", "North")]),
+    stops=STOPS, routes=ROUTES, trips=trips([("R1", "week", f"a{i}", "East") for i in range(4)] + [("R2", "week", f"b{i}", "West") for i in range(3)] + [("R3", "week", "c0", "North")]),
     stop_times=times([(f"a{i}", 420 + 60 * i, [0, 1, 2, 3]) for i in range(4)] + [(f"b{i}", 450 + 90 * i, [4, 5, 6]) for i in range(3)] + [("c0", 600, [1, 4, 7])]),
     fare_attributes="fare_id,price\nF1,200\nF2,300\n", feed_info="feed_publisher_name,feed_version\nTown,1\n",
 )
 NEW = dict(
     stops=STOPS.replace("S3,Stop ま,35.03,139.03,0", "S3,Stop New,35.03,139.03,1"), routes=ROUTES.replace("R3,A,30,Thirty,3\n", "R4,A,40,Forty,3\n"),
     # a0, a1 stay (a1 under another id), a2 is 10 minutes later, a3 is gone; b's run on to stop 7; 40 is new
-    trips=trips([("R1", "WD", "a0", "East"), ("R1", "WD", "x1", "East"), ("R1", "WD", "a2", "Far East")] + [("R2", "WD", f"b{i}", "West") for i in range(3)] + [("R4", "WD", "d0", "South")]),
+    trips=trips([("R1", "week", "a0", "East"), ("R1", "week", "x1", "East"), ("R1", "week", "a2", "Far East")] + [("R2", "week", f"b{i}", "West") for i in range(3)] + [("R4", "week", "d0", "South")]),
     stop_times=times([("a0", 420, [0, 1, 2, 3]), ("x1", 480, [0, 1, 2, 3]), ("a2", 550, [0, 1, 2, 3])] + [(f"b{i}", 450 + 90 * i, [4, 5, 6, 7]) for i in range(3)] + [("d0", 700, [0, 7])]),
     fare_attributes="fare_id,price\nF1,210\nF3,300\n", feed_info="feed_publisher_name,feed_version\nTown,2\n",
 )
@@ -87,3 +87,28 @@ def test_reports(result):
     assert report.get_events(result, severity="major", most=2).first()["total"] == result.events.count() and report.map_ids(result, "x1").count() == 1
     text = report.markdown(result)
     assert "ROUTE_ADDED: 1" in text and "## Unexplained" in text
+
+
+def test_timetables_side_by_side(result):
+    labels = {(r["old_id"], r["new_id"]): r["label"] for r in timetables.trip_labels(result).collect()}
+    assert labels == {("a0", "a0"): "unchanged", ("a1", "x1"): "unchanged", ("a2", "a2"): "retimed", ("b0", "b0"): "extended", ("b1", "b1"): "extended", ("b2", "b2"): "extended", ("a3", None): "removed", ("c0", None): "removed", (None, "d0"): "added"}
+    assert {r["label"] for r in timetables.trip_labels(result, 10).filter("old_id = 'a2'").collect()} == {"retimed_minor"}
+    cells = timetables.day_cells(result).collect()
+    old, new = result.delta.old, result.delta.new
+    stops = lambda df: df.agg(F.sum(F.size("base_seq"))).first()[0]
+    assert sum(r["old_place"] is not None for r in cells) == stops(old) and sum(r["new_place"] is not None for r in cells) == stops(new)
+    assert {r["moved_min"] for r in cells if r["old_id"] == "a2"} == {10.0} and {r["moved_min"] for r in cells if r["old_id"] == "a0"} == {0.0}
+    assert sum(r["old_id"] == "b0" and r["old_place"] is None for r in cells) == 1 and all(r["group"] for r in cells)
+    assert timetables.label_counts(result).agg(F.sum("trips")).first()[0] == 9
+
+
+def test_stop_changes(result):
+    told = {(r["kind"], r["name"]): r for r in timetables.stop_changes(result).collect()}
+    (renamed,) = [r for (kind, _), r in told.items() if kind == "STOP_RENAMED"]
+    assert renamed["was"] == "Stop ま" and renamed["lat"] and renamed["groups"]
+
+
+def test_order_of_day_types(spark):
+    names = ["weekday", "saturday", "saturday@2", "saturday@10", "sunday_holiday", "weekend", "daily", "dow_1100000", "dow_1010000", "dow_0000110", "irregular", "inactive", "other"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "t string")
+    assert [r["t"] for r in df.orderBy(timetables.day_order(F.col("t"))).collect()] == names
