@@ -214,7 +214,7 @@ def link_families(old: DataFrame, new: DataFrame, old_stops: DataFrame, new_stop
     same = names(old).join(names(new), "family")
     moved = old_stops.join(translation.withColumnRenamed("old_base", "stop"), "stop", "left").select("family", F.coalesce("new_base", "stop").alias("stop")).distinct()
     item = lambda df, side: df.join(same, "family", "left_anti").select(F.lit(side).alias("side"), F.col("family").alias("name"), F.col("stop").alias("item"))
-    pairs = set_jaccard(item(moved, "old").unionByName(item(new_stops, "new"))).filter(F.col("jaccard") >= c["link_floor"] - 1e-12)
+    pairs = set_jaccard(item(moved, "old").unionByName(item(new_stops, "new")), c["link_floor"])
     rid = lambda df, n: df.select(F.col("family").alias(n), "route_id")
     shared = rid(old, "a").join(rid(new, "b"), "route_id").select("a", "b").distinct().withColumn("shared", F.lit(True))
     least = F.when(F.col("shared"), c["link_min_similarity"] - c["id_bonus"]).otherwise(c["link_min_similarity"])
@@ -224,11 +224,39 @@ def link_families(old: DataFrame, new: DataFrame, old_stops: DataFrame, new_stop
     return same.select(F.col("family").alias("old_id"), F.col("family").alias("new_id"), F.lit(1.0).alias("confidence"), F.lit(NAME).alias("method")).unionByName(by_content)
 
 
-def family_components(edges: DataFrame, groups: DataFrame, most_groups: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def commonest_sequence(found: DataFrame) -> DataFrame:
+    """(family, seq): the stops of each family's pattern with the most trips."""
+    return found.groupBy("family").agg(F.min_by("base_seq", F.struct(-F.col("trip_count"), F.col("pattern_id"))).alias("seq"))
+
+
+def tied_first(edges: DataFrame, old_seqs: DataFrame, new_seqs: DataFrame) -> DataFrame:
+    """Each old family's best edge. Of edges as confident, the one whose commonest stops stand in the same order comes first (0.5 where fewer
+    than two are shared), then the likeliest name, then a new family that is no other's, then the smaller id."""
+
+    @F.pandas_udf("double")
+    def order(a: pd.Series, b: pd.Series) -> pd.Series:
+        shares = (order_share([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True))
+        return pd.Series([0.5 if s is None else round(s, 4) for s in shares], dtype="float64")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(T.likeness(x, y), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    top = F.max("confidence").over(Window.partitionBy("old_id"))
+    tied = edges.withColumn("_top", top).filter("confidence = _top").drop("_top")
+    seq = lambda df, end: df.select(F.col("family").alias(end), F.col("seq").alias(f"_{end}"))
+    told = tied.join(seq(old_seqs, "old_id"), "old_id", "left").join(seq(new_seqs, "new_id"), "new_id", "left")
+    told = told.withColumn("_order", order("_old_id", "_new_id")).withColumn("_alike", alike("old_id", "new_id"))
+    wanted = F.count("*").over(Window.partitionBy("new_id"))
+    place = F.row_number().over(Window.partitionBy("old_id").orderBy(F.desc("_order"), F.desc("_alike"), "_wanted", "new_id"))
+    return told.withColumn("_wanted", wanted).withColumn("_p", place).filter("_p = 1").drop("_old_id", "_new_id", "_order", "_alike", "_wanted", "_p")
+
+
+def family_components(edges: DataFrame, groups: DataFrame, most_groups: int, scratch: Scratch, old_seqs: DataFrame, new_seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(components, edges): families that content edges tie together, their shape, and edges with too large components cut.
 
     A component over ``most_groups`` route groups keeps each old family's best content edge; where it is too large even so,
-    it is demoted and its edges are candidates. groups is (gen, family, group).
+    it is demoted and its edges are candidates. groups is (gen, family, group), sequences are (family, seq).
     """
     linked = edges.filter(F.col("method") != CANDIDATE)
 
@@ -247,13 +275,7 @@ def family_components(edges: DataFrame, groups: DataFrame, most_groups: int, scr
     sizes = scratch.put(sized(whole), "sizes")
     fits = whole.join(sizes.filter((F.col("n_groups") <= most_groups) & (F.col("content") == 1)).select("component"), "component", "left_semi")
     large = whole.join(sizes.filter((F.col("n_groups") > most_groups) & (F.col("content") == 1)).select("component"), "component", "left_semi")
-    place = F.row_number().over(Window.partitionBy("old_id").orderBy(F.desc("confidence"), F.desc("alike"), "new_id"))
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([T.likeness(x, y) for x, y in zip(a, b, strict=True)])
-
-    one_each = large.filter(F.col("method") == CONTENT).withColumn("alike", alike("old_id", "new_id")).withColumn("_p", place).filter("_p = 1").drop("_p", "alike")
+    one_each = tied_first(large.filter(F.col("method") == CONTENT), old_seqs, new_seqs)
     pruned = scratch.put(one_each.unionByName(large.filter(F.col("method") == NAME)).drop("component"), "pruned")
     rest = grouped(pruned)
     again = scratch.put(sized(rest).filter("content = 1").withColumn("demoted", F.col("n_groups") > most_groups).drop("content", "n_groups"), "sizes")
@@ -337,7 +359,7 @@ def build(old_feed: Feed, new_feed: Feed, old_types: DataFrame, new_types: DataF
     groups = scratch.put(route_groups({"old": old.families, "new": new.families}, c["route_group"]), "groups")
     translation = stop_translation(old.clusters, new.clusters, stop_edges, c["route_family"]["stop_link_min"])
     edges = scratch.put(link_families(old.families, new.families, family_stops(old.patterns), family_stops(new.patterns), translation, c["route_family"]), "family-edges")
-    found, edges = family_components(edges, groups, c["route_family"]["max_component_groups"], scratch)
+    found, edges = family_components(edges, groups, c["route_family"]["max_component_groups"], scratch, commonest_sequence(old.patterns), commonest_sequence(new.patterns))
     edges = scratch.put(edges, "family-edges")
     pattern_edges = scratch.put(link_patterns(old.pattern_clusters, new.pattern_clusters, edges, c["pattern_clustering"]), "pattern-edges")
     labels = old_types.select("day_type").intersect(new_types.select("day_type"))

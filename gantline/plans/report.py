@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import time_band
 from ..operators import ledger
 from ..operators.diff import top_k
+from ..operators.groups import search, subtotals
 from . import identity as I
 from .compare import Comparison, by_route_group
 
@@ -39,7 +40,7 @@ def band_matrix(c: Comparison) -> DataFrame:
     groups = c.identity.groups.select("gen", "family", "group")
     rows = both_sides(c).join(groups, ["gen", "family"], "left").select("gen", F.coalesce("group", "family").alias("group"), "day_type", "direction", F.array_join("base_seq", ">").alias("system"), band.alias("band"))
     sets = [["group", "day_type", "direction", "system", "band"], ["group", "day_type", "direction", "band"], ["group", "day_type", "band"]]
-    return rows.groupingSets([[F.col(x) for x in s] for s in sets], *sets[0]).agg(*old_new_counts())
+    return subtotals(rows, sets, *old_new_counts())
 
 
 def day_totals(c: Comparison) -> DataFrame:
@@ -89,6 +90,19 @@ def file_overview(c: Comparison) -> DataFrame:
     return told.join(c.residual(), "file", "left").withColumn("residual", F.coalesce("residual", F.lit(0)))
 
 
+def id_rows(entity: str, pairs: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """(entity, old_ids, new_ids, relation, confidence) from pairs (old_id, new_id, relation, confidence) and the ids of what has no partner.
+
+    Pairs of the same id are exact and of others id_churn, unless they are modified.
+    """
+    none, no_figure = F.array().cast("array<string>"), F.lit(None).cast("double")
+    relation = F.when(F.col("relation") == "modified", "modified").when(F.col("old_id") == F.col("new_id"), "exact").otherwise("id_churn")
+    row = lambda df, old, new, relation, figure: df.select(F.lit(entity).alias("entity"), old.alias("old_ids"), new.alias("new_ids"), relation.alias("relation"), figure.alias("confidence"))
+    out = row(pairs, F.array("old_id"), F.array("new_id"), relation, F.col("confidence"))
+    out = out.unionByName(row(gone.toDF("id"), F.array("id"), none, F.lit("removed"), no_figure))
+    return out.unionByName(row(come.toDF("id"), none, F.array("id"), F.lit("added"), no_figure))
+
+
 def mapping(c: Comparison) -> DataFrame:
     """(entity, old_ids, new_ids, relation, confidence) of stops, routes, trips and day types; several to several stay arrays."""
     ident, accept = c.identity, c.config["events"]["accept_confidence"]
@@ -112,9 +126,7 @@ def mapping(c: Comparison) -> DataFrame:
     out = out.unionByName(same.select(F.lit("route").alias("entity"), one("family").alias("old_ids"), one("family").alias("new_ids"), F.lit("continued").alias("relation"), F.lit(1.0).alias("confidence")))
     out = out.unionByName(alone(old.join(new, "family", "left_anti").join(in_comp("old"), "family", "left_anti"), "route", "family", True))
     out = out.unionByName(alone(new.join(old, "family", "left_anti").join(in_comp("new"), "family", "left_anti"), "route", "family", False))
-    relation = F.when(F.col("relation") == "modified", "modified").when(F.col("old_id") == F.col("new_id"), "exact").otherwise("id_churn")
-    out = out.unionByName(c.delta.pairs.select(F.lit("trip").alias("entity"), one("old_id").alias("old_ids"), one("new_id").alias("new_ids"), relation.alias("relation"), F.lit(1.0).alias("confidence")))
-    out = out.unionByName(alone(c.delta.removed, "trip", "trip_id", True)).unionByName(alone(c.delta.added, "trip", "trip_id", False))
+    out = out.unionByName(id_rows("trip", c.delta.pairs.withColumn("confidence", F.lit(1.0)), c.delta.removed.select("trip_id"), c.delta.added.select("trip_id")))
     labels = {g: c.types[g].select(F.col("day_type").alias("d")).distinct() for g in c.types}
     kept = labels["old"].join(labels["new"], "d").select(F.lit("day_type").alias("entity"), one("d").alias("old_ids"), one("d").alias("new_ids"), F.lit("continued").alias("relation"), F.lit(1.0).alias("confidence"))
     return out.unionByName(kept).unionByName(alone(labels["old"].subtract(labels["new"]), "day_type", "d", True)).unionByName(alone(labels["new"].subtract(labels["old"]), "day_type", "d", False))
@@ -122,20 +134,15 @@ def mapping(c: Comparison) -> DataFrame:
 
 def map_ids(c: Comparison, text: str, most: int = 20) -> DataFrame:
     """Rows of the mapping that name an id or part of one, how many there are, and whether some aren't shown."""
-    found = mapping(c).filter(F.exists(F.concat("old_ids", "new_ids"), lambda x: x.contains(text)))
-    total = found.agg(F.count("*").alias("total"))
-    return found.orderBy("entity", "old_ids", "new_ids").limit(most).join(F.broadcast(total)).withColumn("truncated", F.col("total") > most)
+    named = F.exists(F.concat("old_ids", "new_ids"), lambda x: x.contains(text))
+    found = search(mapping(c), [named], ["entity", "old_ids", "new_ids"], most).drop("total").withColumnRenamed("matched", "total")
+    return found.withColumn("truncated", F.col("total") > most)
 
 
 def get_events(c: Comparison, type_: str | None = None, severity: str | None = None, route: str | None = None, most: int = 50) -> DataFrame:
     """Events by type, severity and part of a subject, at most 200, with how many match and how many there are."""
-    rows = c.events
-    total = rows.agg(F.count("*").alias("total"))
-    for value, column in ((type_, "type"), (severity, "severity")):
-        rows = rows.filter(F.col(column) == value) if value else rows
-    rows = rows.filter(F.col("subject").contains(route)) if route else rows
-    matched = rows.agg(F.count("*").alias("matched"))
-    return rows.orderBy("event_seq").limit(min(200, max(1, most))).join(F.broadcast(matched)).join(F.broadcast(total))
+    wanted = [F.col(column) == value for value, column in ((type_, "type"), (severity, "severity")) if value] + ([F.col("subject").contains(route)] if route else [])
+    return search(c.events, wanted, ["event_seq"], min(200, max(1, most)))
 
 
 def route_digest(c: Comparison) -> DataFrame:
@@ -145,6 +152,11 @@ def route_digest(c: Comparison) -> DataFrame:
     return told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("majors"), F.desc("events"), "route_group")))
 
 
+def group_events(c: Comparison, group: str) -> DataFrame:
+    """The events of one route group, in order."""
+    return by_route_group(c.events, c.identity.groups).filter(F.col("route_group") == group).orderBy("event_seq").select("event_id", "type", "severity", "subject", "quantification")
+
+
 def unchanged_groups(c: Comparison) -> DataFrame:
     """Route groups of both generations of which no event tells."""
     changed = by_route_group(c.events, c.identity.groups).select(F.col("route_group").alias("group")).dropna()
