@@ -55,9 +55,3 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
     return 2 * EARTH_M * F.asin(F.sqrt(a))
-
-
-def nearest_rank(values: Column, share: float) -> Column:
-    """The element at floor(share * n) of the sorted array, at most the last."""
-    n = F.size(values)
-    return F.element_at(F.array_sort(values), F.least(n, F.floor(n * share) + 1).cast("int"))

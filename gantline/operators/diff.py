@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 ROW_REMOVED, ROW_ADDED, FIELD_CHANGED = "row_removed", "row_added", "field_changed"
 COLUMN_REMOVED, COLUMN_ADDED = "column_removed", "column_added"
 FILE_REMOVED, FILE_ADDED = "file_removed", "file_added"
@@ -75,8 +77,9 @@ def multiset_diff(old: DataFrame, new: DataFrame, columns: list[str] | None = No
     )
 
 
-def collapse(rows: DataFrame, threshold: int) -> DataFrame:
-    """At most three count rows in place of more than ``threshold`` row differences; changed rows count, not cells."""
+def collapse(rows: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """At most three count rows in place of more than ``threshold`` row differences; changed rows count, not cells. The differences are written, and so found once."""
+    rows = scratch.put(rows, "differences")
     n = rows.groupBy("kind").agg(F.count_distinct("key").alias("n")).collect()  # three rows at most
     counts = {r["kind"]: r["n"] for r in n}
     if not threshold or sum(counts.values()) <= threshold:

@@ -53,15 +53,23 @@ def greedy_assignment(candidates: DataFrame, scratch: Scratch, order: list[str])
     return out
 
 
-def set_jaccard(sets: DataFrame, left: str = "old", right: str = "new") -> DataFrame:
-    """(a, b, both, jaccard) of set rows (side, name, item) that share an item: an inverted-index join, no cross join."""
+def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "new") -> DataFrame:
+    """(a, b, both, jaccard) of sets of two sides, from rows (side, name, item), with a similarity of at least ``least`` over 0.
+
+    Items stand rarest first. Of sets that similar the first n - ceil(least * n) + 1 items share one, and their sizes differ by no
+    more than the factor ``least``; so only these prefixes meet, in an equi-join, and each pair that meets is then counted whole.
+    """
     rows = sets.select("side", "name", "item").distinct()
     sizes = rows.groupBy("side", "name").agg(F.count("*").alias("size"))
-    a = rows.filter(F.col("side") == left).select(F.col("name").alias("a"), "item")
-    b = rows.filter(F.col("side") == right).select(F.col("name").alias("b"), "item")
-    met = a.join(b, "item").groupBy("a", "b").agg(F.count("*").alias("both"))
-    size = lambda side, name: sizes.filter(F.col("side") == side).select(F.col("name").alias(name), F.col("size").alias(f"n_{name}"))
-    return met.join(size(left, "a"), "a").join(size(right, "b"), "b").select("a", "b", "both", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
+    common = rows.groupBy("item").agg(F.count("*").alias("sets"))
+    place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
+    prefix = rows.join(common, "item").join(sizes, ["side", "name"]).withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), "item", *more)
+    met = half(prefix, left, "a", F.col("size").alias("n_a")).join(half(prefix, right, "b", F.col("size").alias("n_b")), "item")
+    met = met.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b", "n_a", "n_b").distinct()
+    both = met.join(half(rows, left, "a"), "a").join(half(rows, right, "b"), ["b", "item"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    jaccard = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
+    return both.select("a", "b", "both", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
 
 
 def grid_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:

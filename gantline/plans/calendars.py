@@ -159,7 +159,10 @@ def active_services(feed: Feed, intervals: DataFrame) -> DataFrame:
     dated = exceptions(feed, "1").join(exceptions(feed, "2"), ["service_id", "text"], "left_anti").select("service_id", ymd(F.col("text")).alias("day")).filter("day IS NOT NULL")
     found = days.join(runs.unionByName(dated).distinct(), "day").select("lo", "hi", "service_id").distinct()
     always = flagged(feed).filter(F.exists("flags", lambda x: x) & (F.col("start").isNull() | F.col("end").isNull())).select("service_id").distinct()
-    return found.unionByName(intervals.join(F.broadcast(always)).select("lo", "hi", "service_id")).distinct()
+    # The intervals of a feed pair, as an array, go to each such service.
+    spans = intervals.agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    everywhere = always.join(F.broadcast(spans)).select("service_id", F.explode("spans").alias("i")).select("i.lo", "i.hi", "service_id")
+    return found.unionByName(everywhere).distinct()
 
 
 def comparison_units(old: Feed, new: Feed) -> tuple[tuple[str, str] | None, DataFrame | None]:

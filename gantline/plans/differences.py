@@ -21,10 +21,12 @@ KEYS: dict[str, tuple[str, ...]] = {
     "pathways": ("pathway_id",), "attributions": ("attribution_id",), "booking_rules": ("booking_rule_id",), "location_groups": ("location_group_id",),
 }
 #: Tables of which rules need every row, so that they never collapse into counts.
-WHOLE = frozenset("agency agency_jp stops routes routes_jp trips stop_times calendar calendar_dates shapes frequencies transfers feed_info office_jp".split())
+WHOLE = {
+    "agency", "agency_jp", "stops", "routes", "routes_jp", "trips", "stop_times", "calendar", "calendar_dates", "shapes", "frequencies", "transfers", "feed_info", "office_jp",
+}
 
 
-def table_diff(name: str, old: Feed, new: Feed, bulk: int) -> list[DataFrame]:
+def table_diff(name: str, old: Feed, new: Feed, bulk: int, scratch: Scratch) -> list[DataFrame]:
     """The differences of one table, as parts to be put together."""
     spark = old.spark
     said = lambda rows: spark.createDataFrame(rows, diff.SCHEMA)
@@ -47,7 +49,7 @@ def table_diff(name: str, old: Feed, new: Feed, bulk: int) -> list[DataFrame]:
     else:
         rows = diff.multiset_diff(left, right, shared)
     if bulk and name not in WHOLE:
-        rows = diff.collapse(rows, bulk)
+        rows = diff.collapse(rows, bulk, scratch)
     return [*parts, rows]
 
 
@@ -55,7 +57,7 @@ def enumerate_diffs(old: Feed, new: Feed, scratch: Scratch, bulk: int = 0) -> Da
     """(rawdiff_id, seq, file, kind, key, column, old_value, new_value) of everything that differs."""
     parts = []
     for name in sorted(old.tables.keys() | new.tables.keys()):
-        for part in table_diff(name, old, new, bulk):
+        for part in table_diff(name, old, new, bulk, scratch):
             parts.append(part.select(F.lit(f"{name}.txt").alias("file"), *[p.split(" ")[0] for p in diff.SCHEMA.split(", ")]))
     whole = scratch.put(functools.reduce(DataFrame.unionByName, parts), "differences")
     ranked = global_rank(whole, scratch, [F.col(c) for c in ("file", "phase", "sort", "column")], "seq")

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.columns import clock_seconds, haversine, nearest_rank, time_band
+from ..functions.columns import clock_seconds, haversine, time_band
 from ..functions.events import EVENT_TYPES
 from ..functions.sequences import edits
+from ..operators import groups
 from ..sources.feed import Feed
 from ..sources.scratch import Scratch
 from . import identity as I
@@ -249,7 +250,7 @@ def frequency(ctx: Context) -> None:
     side = lambda what, name: [F.count(F.when(is_old, 1)).alias(f"old_{name}"), F.count(F.when(~is_old, 1)).alias(f"new_{name}")]
     by_band = every.groupBy("slot", *CELL, "band").agg(*side(every, "n"))
     by_cell = every.groupBy("slot", *CELL).agg(
-        *side(every, "total"), *[f(F.when(is_old if g == "old" else ~is_old, F.col("departure"))).alias(f"{g}_{n}") for g in ("old", "new") for n, f in (("first", F.min), ("last", F.max))]
+        *side(every, "total"), *groups.ends(F.col("departure"), is_old)
     )
     by_cell = ctx.scratch.put(by_cell, "cells")
     pooled = pool.groupBy("slot", *CELL, "band").agg(F.count(F.when(is_old, 1)).alias("changed"))
@@ -272,7 +273,7 @@ def frequency(ctx: Context) -> None:
     if spoken is not None:
         ends = ends.join(spoken, ["slot", *CELL], "left_anti")
     first, last = (F.col("new_first") - F.col("old_first")) / 60, (F.col("new_last") - F.col("old_last")) / 60
-    ends = ends.filter((F.abs(first) >= c["first_last_threshold_min"]) | (F.abs(last) >= c["first_last_threshold_min"]))
+    ends = groups.moved_ends(ends, 60 * c["first_last_threshold_min"])
     shift = json(first_shift_min=F.round(first, 1), last_shift_min=F.round(last, 1), old_first=clock(F.col("old_first")), new_first=clock(F.col("new_first")), old_last=clock(F.col("old_last")), new_last=clock(F.col("new_last")))
     told = told.unionByName(ends.select(
         key(F.lit("ends")).alias("key"), F.array(F.col("family"), F.col("direction"), F.col("day_type"), F.col("slot"), F.lit("1"), F.lit("")).alias("ord"),
@@ -335,12 +336,10 @@ def times(ctx: Context) -> None:
     found = ctx.scratch.put(found.unionByName(ctx.cascade(other.select(pair.alias("key"), F.col("old_id").alias("trip_id")).union(other.select(pair, "new_id")))), "pair-evidence")
     shift = F.zip_with("new_at", "old_at", lambda a, b: a - b)
     known = (F.size("old_at") == F.size("new_at")) & F.forall(shift, lambda x: x.isNotNull())
-    n = F.size("shift")
-    mean = F.aggregate("shift", F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate(F.transform("shift", lambda x: F.pow(x - F.col("mean"), 2)), F.lit(0.0), lambda s, x: s + x) / n)
-    rows = rows.withColumn("key", pair).join(found.select("key").distinct(), "key", "left_semi").withColumn("shift", F.when(known, shift).otherwise(F.array().cast("array<int>"))).withColumn("mean", mean)
-    uniform = (n > 0) & (spread <= ctx.config["events"]["timetable"]["uniform_shift_max_std_sec"])
-    rows = rows.withColumn("uniform", uniform).withColumn("minutes", F.when(F.col("uniform"), F.bround(F.col("mean") / 60).cast("long")).otherwise(0))
+    rows = rows.withColumn("key", pair).join(found.select("key").distinct(), "key", "left_semi").withColumn("shift", F.when(known, shift).otherwise(F.array().cast("array<int>")))
+    mean, spread = groups.mean_and_spread(F.col("shift"))
+    uniform = F.coalesce(spread <= ctx.config["events"]["timetable"]["uniform_shift_max_std_sec"], F.lit(False))
+    rows = rows.withColumn("mean", mean).withColumn("uniform", uniform).withColumn("minutes", F.when(F.col("uniform"), F.bround(F.col("mean") / 60).cast("long")).otherwise(0))
     rows = ctx.scratch.put(rows.withColumn("pair", F.col("key")).withColumn("key", F.concat_ws("\x1f", *CELL, F.col("uniform").cast("string"), F.col("minutes").cast("string"))), "time-pairs")
     stats = segment_stats(rows.filter("NOT uniform"))
     grouped = rows.groupBy("key", *CELL, "uniform", "minutes").agg(F.count("*").alias("n")).join(stats, "key", "left")
@@ -360,8 +359,9 @@ def segment_stats(rows: DataFrame, most: int = 5) -> DataFrame:
         return rows.filter(F.size(seq) > 1).select("key", F.explode(step).alias("x")).select("key", "x.segment", "x.s").filter("s IS NOT NULL").withColumn("side", F.lit(side))
 
     whole = runs("old_seq", "old_times", "old").unionByName(runs("new_seq", "new_times", "new"))
-    of = lambda g: F.when(F.col("side") == g, F.col("s"))
-    agg = whole.groupBy("key", "segment").agg(*[F.percentile(of(g), F.lit(0.5)).cast("int").alias(f"{g}_median_sec") for g in ("old", "new")], *[nearest_rank(F.collect_list(of(g)), 0.9).alias(f"{g}_p90") for g in ("old", "new")])
+    of = lambda g, c: F.max(F.when(F.col("side") == g, F.col(c)))
+    ranked = groups.middle_and_rank(whole, ["key", "segment", "side"], "s")
+    agg = ranked.groupBy("key", "segment").agg(*[of(g, "middle").cast("int").alias(f"{g}_median_sec") for g in ("old", "new")], *[of(g, "ranked").alias(f"{g}_p90") for g in ("old", "new")])
     changed = agg.filter("old_median_sec <> new_median_sec")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.abs(F.col("new_median_sec") - F.col("old_median_sec"))), "segment"))
     top = changed.withColumn("place", place).filter(F.col("place") <= most)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions.sequences import lcs_length
-from .operators import diff, graphs, ledger
+from .operators import diff, graphs, groups, ledger
+from .plans import calendars, report
+from .sources.feed import Feed
 from .sources.scratch import Scratch, global_rank
 
 BANDS = ["05:00-07:00", "07:00-09:00", "09:00-16:00", "16:00-19:00", "19:00-22:00", "22:00-29:00"]
@@ -116,7 +118,7 @@ def bulk_collapse(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
     new = lines.filter("l_orderkey % 13 <> 0").withColumn("l_returnflag", F.when(F.expr("l_orderkey % 7 = 0"), "X").otherwise(F.col("l_returnflag")))
     found = diff.keyed_diff(lines.filter("l_orderkey % 11 <> 0"), new, ["l_orderkey", "l_linenumber"], ["l_returnflag"])
-    return diff.collapse(found, 100).select("kind", "old_value", "new_value")
+    return diff.collapse(found, 100, Scratch(spark, "bulk")).select("kind", "old_value", "new_value")
 
 
 @query("""
@@ -162,9 +164,9 @@ SELECT lo, hi, count(DISTINCT o_custkey) AS customers FROM spans JOIN orders ON
 def active_interval(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
     spans = orders.select(F.trunc("day", "month").alias("lo")).distinct().withColumn("hi", F.date_add("lo", 14))
-    # An interval becomes its days, so that dates meet intervals in an equi-join.
-    days = spans.withColumn("day", F.explode(F.sequence("lo", "hi")))
-    return orders.distinct().join(days, "day").groupBy("lo", "hi").agg(F.count_distinct("o_custkey").alias("customers"))
+    # A customer is a service that runs on the days of its orders, as a feed would tell it.
+    dates = orders.select(F.col("o_custkey").cast("string").alias("service_id"), F.date_format("day", "yyyyMMdd").alias("date"), F.lit("1").alias("exception_type"))
+    return calendars.active_services(Feed({"calendar_dates": dates}, spark), spans).groupBy("lo", "hi").agg(F.count("*").alias("customers"))
 
 
 @query("""
@@ -184,27 +186,19 @@ SELECT user_id, old_first, old_last, new_first, new_last FROM b WHERE abs(new_fi
 def first_last_departure(spark, sf_dir):
     m = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
     old = F.to_date("ts") < F.lit("2024-01-16").cast("date")
-    ends = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min(F.when(old, m)).alias("old_first"), F.max(F.when(old, m)).alias("old_last"), F.min(F.when(~old, m)).alias("new_first"), F.max(F.when(~old, m)).alias("new_last")
-    )
-    return ends.filter("abs(new_first - old_first) >= 15 OR abs(new_last - old_last) >= 15")
+    return groups.moved_ends(table(spark, sf_dir, "events").groupBy("user_id").agg(*groups.ends(m, old)), 15)
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount > 0.09),
-ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS reached FROM ends UNION SELECT r.node, ends.b FROM reach r JOIN ends ON ends.a = r.reached)
-SELECT node, min(reached) AS component FROM reach GROUP BY node""")
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+ends AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (
+    SELECT a, a FROM ends GROUP BY a
+    UNION
+    (SELECT b, min(cc.component) FROM cc JOIN ends ON ends.a = cc.node JOIN recurring.cc AS k ON k.node = ends.b WHERE cc.component < k.component GROUP BY ends.b))
+SELECT node, component FROM cc""")
 def family_components(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09").select("l_orderkey", "l_partkey")
-    pairs = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
-    return graphs.components(edges, Scratch(spark, "components"))
-
-
-@query()
-def family_components_whole(spark, sf_dir):
-    """The components of all customers and parts that orders join. Recursive SQL keeps every reached pair, which is too much here."""
+    """The components of all customers and parts that orders join."""
     pairs = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return graphs.components(edges, Scratch(spark, "components"))
@@ -218,7 +212,7 @@ WHERE 20 * common >= x.n + y.n - common""")
 def set_jaccard_link(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     sets = lines.select(F.when(F.expr("l_orderkey % 2 = 0"), "old").otherwise("new").alias("side"), F.col("l_suppkey").alias("name"), F.col("l_partkey").alias("item"))
-    return graphs.set_jaccard(sets).filter("jaccard >= 0.05").select("a", "b", F.col("both").alias("common"), F.round("jaccard", 6).alias("jaccard"))
+    return graphs.set_jaccard(sets, 0.05).select("a", "b", F.col("both").alias("common"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""
@@ -265,10 +259,11 @@ def lcs_similarity(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_partkey % 100 AS part, l_returnflag, l_linestatus, l_linenumber, l_orderkey, l_orderkey % 2 AS side,
-           row_number() OVER (PARTITION BY l_partkey % 100, l_returnflag, l_linestatus, l_linenumber, l_orderkey % 2 ORDER BY l_orderkey, l_partkey, l_suppkey) AS i FROM lineitem)
-SELECT a.part, a.l_returnflag, a.l_linestatus, a.l_linenumber, a.l_orderkey AS old_order, b.l_orderkey AS new_order
-FROM s a JOIN s b ON a.part = b.part AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus AND a.l_linenumber = b.l_linenumber AND a.i = b.i AND a.side = 0 AND b.side = 1""")
+WITH o AS MATERIALIZED (SELECT l_partkey % 100 AS part, l_returnflag, l_linestatus, l_linenumber, l_orderkey,
+    row_number() OVER (PARTITION BY l_partkey % 100, l_returnflag, l_linestatus, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_orderkey % 2 = 0),
+n AS MATERIALIZED (SELECT l_partkey % 100 AS part, l_returnflag, l_linestatus, l_linenumber, l_orderkey,
+    row_number() OVER (PARTITION BY l_partkey % 100, l_returnflag, l_linestatus, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_orderkey % 2 = 1)
+SELECT part, l_returnflag, l_linestatus, l_linenumber, o.l_orderkey AS old_order, n.l_orderkey AS new_order FROM o JOIN n USING (part, l_returnflag, l_linestatus, l_linenumber, i)""")
 def exact_signature_pairs(spark, sf_dir):
     by = ["part", "l_returnflag", "l_linestatus", "l_linenumber"]
     lines = table(spark, sf_dir, "lineitem").select(F.expr("l_partkey % 100").alias("part"), *by[1:], "l_orderkey", "l_partkey", "l_suppkey")
@@ -323,13 +318,7 @@ def segment_stats(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seconds = F.unix_timestamp(F.date_trunc("second", "ts"))
     gaps = table(spark, sf_dir, "events").select(F.lag("event_type").over(w).alias("from_type"), F.col("event_type").alias("to_type"), (seconds - F.lag(seconds).over(w)).alias("gap")).filter("from_type IS NOT NULL")
-    # One row for each gap length and how often it occurs, so that no group gathers all its gaps.
-    counted = gaps.groupBy("from_type", "to_type", "gap").agg(F.count("*").alias("c"))
-    by = Window.partitionBy("from_type", "to_type").orderBy("gap")
-    placed = counted.withColumn("upto", F.sum("c").over(by)).withColumn("n", F.sum("c").over(Window.partitionBy("from_type", "to_type")))
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("gap")))
-    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
-    return placed.groupBy("from_type", "to_type", "n").agg(F.floor(middle).cast("long").alias("median_s"), at(F.least(F.col("n"), F.floor(F.col("n") * 0.9) + 1)).alias("p90_s"))
+    return groups.middle_and_rank(gaps, ["from_type", "to_type"], "gap").select("from_type", "to_type", "n", F.floor("middle").cast("long").alias("median_s"), F.col("ranked").alias("p90_s"))
 
 
 @query("""
@@ -342,13 +331,26 @@ def uniform_shift(spark, sf_dir):
     return moved.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("mean_days"), F.round(spread, 6).alias("spread_days"), (spread <= 2).alias("uniform"))
 
 
+@query("""
+WITH m AS (SELECT o_orderkey, count(*) AS n, avg(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS mean, stddev_pop(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS spread
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey, n, round(mean, 4) AS mean_days, round(spread, 4) AS spread_days, spread <= 20 AS uniform FROM m""")
+def order_shift(spark, sf_dir):
+    """How evenly an order's lines are moved from its date, as a trip's times are."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("shipped"))
+    moved = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).join(lines, "o_orderkey")
+    shifts = moved.groupBy("o_orderkey").agg(F.collect_list(F.datediff("shipped", "day")).alias("shift"))
+    mean, spread = groups.mean_and_spread(F.col("shift"))
+    return shifts.select("o_orderkey", F.size("shift").cast("long").alias("n"), F.round(mean, 4).alias("mean_days"), F.round(spread, 4).alias("spread_days"), (spread <= 20).alias("uniform"))
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem
 GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus), (l_returnflag))""")
 def subtotals(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    sets = [[F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")], [F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")]]
-    return lines.groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+    sets = [["l_returnflag", "l_linestatus", "l_linenumber"], ["l_returnflag", "l_linestatus"], ["l_returnflag"]]
+    return groups.subtotals(lines, sets, F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
 @query("""
@@ -364,9 +366,11 @@ def topk_per_group(spark, sf_dir):
 SELECT o.k AS old_id, n.k AS new_id, CASE WHEN n.k IS NULL THEN 'removed' WHEN o.k IS NULL THEN 'added' WHEN o.p <> n.p THEN 'modified' ELSE 'exact' END AS relation FROM old o FULL JOIN new n ON o.k = n.k""")
 def id_mapping(spark, sf_dir):
     old, new = order_generations(spark, sf_dir)
-    both = old.alias("o").join(new.alias("n"), "o_orderkey", "full_outer")
-    relation = F.when(F.col("n.o_custkey").isNull(), "removed").when(F.col("o.o_custkey").isNull(), "added").when(F.col("o.o_orderpriority") != F.col("n.o_orderpriority"), "modified").otherwise("exact")
-    return both.select(F.when(F.col("o.o_custkey").isNotNull(), F.col("o_orderkey")).alias("old_id"), F.when(F.col("n.o_custkey").isNotNull(), F.col("o_orderkey")).alias("new_id"), relation.alias("relation"))
+    pairs = old.alias("o").join(new.alias("n"), "o_orderkey").select(
+        F.col("o_orderkey").alias("old_id"), F.col("o_orderkey").alias("new_id"), F.when(F.col("o.o_orderpriority") != F.col("n.o_orderpriority"), "modified").otherwise("exact").alias("relation"), F.lit(1.0).alias("confidence")
+    )
+    gone, come = (a.join(b, "o_orderkey", "left_anti").select("o_orderkey") for a, b in ((old, new), (new, old)))
+    return report.id_rows("order", pairs, gone, come).select(F.get("old_ids", F.lit(0)).alias("old_id"), F.get("new_ids", F.lit(0)).alias("new_id"), "relation")
 
 
 @query("""
@@ -374,6 +378,5 @@ WITH m AS (SELECT event_id, user_id, event_type, value, count(*) OVER () AS matc
 SELECT event_id, user_id, event_type, value, matched FROM m ORDER BY value DESC, event_id LIMIT 200""")
 def events_filter_search(spark, sf_dir):
     """The first 200 of what a filter finds, in a total order, and how many there are."""
-    found = table(spark, sf_dir, "events").filter(F.col("event_type").contains("c") & (F.col("value") > 10)).select("event_id", "user_id", "event_type", "value")
-    matched = found.agg(F.count("*").alias("matched"))  # one row
-    return found.orderBy(F.desc("value"), "event_id").limit(200).join(F.broadcast(matched))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return groups.search(events, [F.col("event_type").contains("c"), F.col("value") > 10], [F.desc("value"), F.col("event_id")], 200).drop("total")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gantline.functions import columns as C
 from gantline.functions import geo, sequences, text
-from gantline.operators import diff, graphs, ledger
+from gantline.operators import diff, graphs, groups, ledger
 from gantline.plans.calendars import label_dates
 from gantline.sources.scratch import Scratch, global_rank
 
@@ -27,8 +27,8 @@ def test_multiset_diff_and_collapse(spark):
     new = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
     found = diff.multiset_diff(old, new)
     assert rows(found, "kind", F.col("key")[1], F.coalesce("old_value", "new_value")) == [("row_added", "0", "c"), ("row_removed", "0", "a"), ("row_removed", "1", "a")]
-    assert rows(diff.collapse(found, 2), "kind", "old_value", "new_value") == [("rows_added_bulk", None, "1"), ("rows_removed_bulk", "2", None)]
-    assert diff.collapse(found, 3).count() == 3
+    assert rows(diff.collapse(found, 2, Scratch(spark, "bulk")), "kind", "old_value", "new_value") == [("rows_added_bulk", None, "1"), ("rows_removed_bulk", "2", None)]
+    assert diff.collapse(found, 3, Scratch(spark, "bulk")).count() == 3
 
 
 def test_global_rank(spark):
@@ -105,3 +105,44 @@ def test_lines_on_the_map():
     detour = [(35.0 + (0.005 if 8 < i < 12 else 0), 139.0 + i / 1000) for i in range(20)]
     assert geo.frechet(a, a) == 0 and 500 < geo.frechet(a, detour) < 600 and len(geo.thin(a, 5)) == 5 and geo.thin(a, 5)[-1] == a[-1]
     assert 500 < geo.deviation(a, detour)[0] < 600
+
+
+def test_platform_marks_at_the_end_of_names():
+    names = {"Station A": "Station", " Hall 3番線 ": "Hall", "駅前　のりば①": "駅前", "A": "A", "のりば": "のりば", "1番線": "1", "B A": "B", "Mall１２": "Mall", "": "", "Quay 10": "Quay 10", "Dock\n2": "Dock"}
+    assert {n: text.base_name(n) for n in names} == names
+
+    def rounds(name):
+        """Mark by mark, until none is left."""
+        base = name.strip()
+        while found := [m for m in text.PLATFORM_MARKS if base.endswith(m) and base != m]:
+            base = base.removesuffix(found[0]).strip()
+        return base
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        name = "".join(rng.choice([*text.PLATFORM_MARKS, " ", "　", "駅", "x", "0"]) for _ in range(rng.randint(0, 7)))
+        assert text.base_name(name) == rounds(name)
+
+
+def test_similar_sets_by_prefixes(spark):
+    rng = random.Random(4)
+    sets = {(side, name): {rng.choice(range(12 if rng.random() < 0.5 else 60)) for _ in range(rng.randint(1, 12))} for side in ("old", "new") for name in range(25)}
+    sets[("old", 99)], sets[("new", 98)] = {1, 2, 3, 4}, {1, 2, 3, 4}
+    df = spark.createDataFrame([(*k, i) for k, v in sets.items() for i in v] * 2, "side string, name int, item int")
+    for least in (0.05, 0.3, 0.5, 0.8, 1.0):
+        want = sorted((a[1], b[1], len(x & y)) for a, x in sets.items() for b, y in sets.items() if a[0] == "old" and b[0] == "new" and len(x & y) / len(x | y) >= least - 1e-12)
+        assert rows(graphs.set_jaccard(df, least), "a", "b", "both") == sorted(want, key=str)
+
+
+def test_figures_of_groups(spark):
+    rng = random.Random(7)
+    data = [(g, rng.randint(0, 30)) for g in range(6) for _ in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(data, "g int, v int")
+    got = {r["g"]: (r["n"], r["middle"], r["ranked"]) for r in groups.middle_and_rank(df, ["g"], "v").collect()}
+    for g in range(6):
+        v = sorted(x for h, x in data if h == g)
+        assert got[g] == (len(v), (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, v[min(len(v) - 1, int(len(v) * 0.9))])
+    (found,) = spark.createDataFrame([([1, 2, 3, 6],)], "a array<int>").select(*groups.mean_and_spread(F.col("a"))).collect()
+    assert found[0] == 3 and abs(found[1] - 3.5**0.5) < 1e-12
+    assert tuple(spark.createDataFrame([([],)], "a array<int>").select(*groups.mean_and_spread(F.col("a"))).first()) == (None, None)
+    assert [tuple(r) for r in groups.search(df, [F.col("g") == 0], [F.col("v"), F.col("g")], 2).select("matched", "total").collect()] == [(got[0][0], len(data))] * min(2, got[0][0])

@@ -59,7 +59,7 @@ def union_find(edges):
 
 def test_whole_components_agree_with_union_find(spark, duck):
     edges = duck.execute("SELECT 'c' || o_custkey, 'p' || l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall()
-    got = queries.QUERIES["family_components_whole"](spark, SF).collect()
+    got = queries.QUERIES["family_components"](spark, SF).collect()
     want = union_find(edges)
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
 
@@ -69,6 +69,6 @@ def test_whole_components_of_hubs_chains_and_islands(spark, tmp_path):
     pairs += [(c, 7000 + c // 3) for c in range(300, 400)] + [(c, 9000) for c in range(400, 700)]  # islands, and a hot part
     spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(i, p, 1.0, 0.0) for i, (_, p) in enumerate(pairs)], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = queries.QUERIES["family_components_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["family_components"](spark, str(tmp_path)).collect()
     want = union_find([(f"c{c}", f"p{p}") for c, p in pairs])
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want and len(set(want.values())) == 36
