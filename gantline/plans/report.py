@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import time_band
+from ..functions.columns import day_order, time_band
 from ..operators import ledger
 from ..operators.diff import top_k
 from ..operators.groups import search, subtotals
@@ -181,13 +181,33 @@ def write(c: Comparison, path: str) -> None:
         rows.write.mode("overwrite").json(f"{path}/{name}", compression="gzip")
 
 
+def chapters(c: Comparison, most: int, most_events: int = 20) -> list[str]:
+    """Lines of a chapter for each of the first route groups: its first events, and trips by day type and time band where their number changed."""
+    names = [r["route_group"] for r in route_digest(c).orderBy("rank").limit(most).collect()]
+    told = by_route_group(c.events, c.identity.groups).filter(F.col("route_group").isin(names))
+    events: dict[str, list] = {n: [] for n in names}
+    for r in top_k(told, ["route_group"], [F.col("event_seq")], most_events).orderBy("event_seq").collect():
+        events[r["route_group"]].append(r)
+    bands: dict[str, list] = {n: [] for n in names}
+    changed = band_matrix(c).filter("direction IS NULL AND system IS NULL AND old_count <> new_count").filter(F.col("group").isin(names))
+    for r in changed.orderBy("group", day_order(F.col("day_type")), "band").collect():  # day types times bands of the named groups
+        bands[r["group"]].append(r)
+    lines = []
+    for name in names:
+        lines += ["", f"### {name}", "", *[f"- {r['type']}{' (' + r['severity'] + ')' if r['severity'] else ''}: {r['quantification'] or r['subject']}" for r in events[name]]]
+        if bands[name]:
+            lines += ["", "| day type | time band | before | after |", "|-|-|-|-|", *[f"| {r['day_type']} | {r['band']} | {r['old_count']} | {r['new_count']} |" for r in bands[name]]]
+    return lines
+
+
 def markdown(c: Comparison, most: int = 200) -> str:
-    """A short report: figures, then route groups with a major event first, unchanged ones by name, and what is unexplained."""
+    """A report: figures, route groups with those with a major event first, a chapter for each, unchanged ones by name, and what is unexplained."""
     total, explained, ratio = c.explained().first()
     lines = ["# Changes", "", f"{total} differences, {explained} explained ({ratio:.4f}).", "", "## By type", ""]
     lines += [f"- {r['type']}: {r['count']}" for r in c.events.groupBy("type").count().orderBy("type").collect()]
     lines += ["", "## Route groups", ""]
     lines += [f"- {r['route_group']}: {r['events']} events, {r['majors']} major ({', '.join(r['types'])})" for r in route_digest(c).orderBy("rank").limit(most).collect()]
+    lines += chapters(c, most)
     lines += ["", "Unchanged: " + (", ".join(r[0] for r in unchanged_groups(c).orderBy("group").limit(most).collect()) or "none"), "", "## Unexplained", ""]
     lines += [f"- {r['file']}: {r['residual']}" for r in c.residual().orderBy("file").collect()] or ["none"]
     return "\n".join(lines) + "\n"

@@ -4,6 +4,7 @@ import feeds
 import pytest
 from pyspark.sql import functions as F
 
+from gantline.functions import columns
 from gantline.plans import report, timetables
 from gantline.plans.compare import compare
 from gantline.sources.feed import read_feed
@@ -87,6 +88,7 @@ def test_reports(result):
     assert report.get_events(result, severity="major", most=2).first()["total"] == result.events.count() and report.map_ids(result, "x1").count() == 1
     text = report.markdown(result)
     assert "ROUTE_ADDED: 1" in text and "## Unexplained" in text
+    assert "\n### 10\n" in text and "- SERVICE_REDUCED (" in text and "| weekday | 09:00-16:00 | 2 | 1 |" in text
 
 
 def test_timetables_side_by_side(result):
@@ -111,4 +113,4 @@ def test_stop_changes(result):
 def test_order_of_day_types(spark):
     names = ["weekday", "saturday", "saturday@2", "saturday@10", "sunday_holiday", "weekend", "daily", "dow_1100000", "dow_1010000", "dow_0000110", "irregular", "inactive", "other"]
     df = spark.createDataFrame([(n,) for n in reversed(names)], "t string")
-    assert [r["t"] for r in df.orderBy(timetables.day_order(F.col("t"))).collect()] == names
+    assert [r["t"] for r in df.orderBy(columns.day_order(F.col("t"))).collect()] == names
