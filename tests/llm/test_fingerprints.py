@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from gantline.llm import fingerprints as P
 
 
@@ -20,6 +23,26 @@ def test_equality_and_likeness():
         assert 0.4 < P.likeness(p, q) < 0.8 and P.likeness(p, r) < 0.2 and P.likeness(p, q) == P.likeness(q, p)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab \nwords."), st.characters(exclude_categories=["Cs"])), max_size=400), st.integers(1, 60))
+def test_pieces_hold_all_characters_of_their_paragraph(text, times):
+    text *= times
+    paragraphs = text.split("\n")
+    told = list(P.paragraph_leaves([x.encode() for x in paragraphs]))
+    assert [sum(int(v[8:], 36) for v in x.split(".") if v) for x in told] == [len(x) for x in paragraphs]
+    assert told == [P.leaves(x.encode())[0] for x in paragraphs]  # a paragraph's leaves are its own
+
+
+def test_likeness_does_not_depend_on_the_place_of_an_edit():
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900))
+    print_ = P.fingerprint(text)
+    at = [P.likeness(print_, P.fingerprint(text[:i] + "ZZZ" + text[i:])) for i in (0, 1, 40, 500, 2500, len(text))]
+    assert min(at) > 0.97
+    short = [P.likeness(P.fingerprint(text[i : i + 200]), P.fingerprint(text[i : i + 150] + text[3000 + i : 3050 + i])) for i in range(0, 2000, 100)]
+    assert sum(short) / len(short) > 0.5 and P.likeness(P.fingerprint("word " * 5000), P.fingerprint("word " * 3750 + text[:6250])) > 0.5
+
+
 def test_differing_branches():
     lines = [f"line {i} has a few words of its own" for i in range(40)]
     other = list(lines)
