@@ -118,6 +118,7 @@ class Reader:
         self.block = 0
         self._read(source)
         self._close(1)
+        self.root.last = len(self.elements) - 1
 
     def _text(self, part: str) -> None:
         if not part.isspace():

@@ -76,6 +76,11 @@ def test_a_form_or_hinted_wrapper_of_the_article_stays():
     assert H.main_text(f"<body><form><div>{BODY}</div><div class='comments'><p>I, too. Like it!</p></div><footer>Foot, here.</footer></form>") == TEXT
 
 
+def test_a_page_without_a_body_keeps_its_heading():
+    prose = "Very long, very long prose; it goes on, and on: with marks, of all kinds! " * 8
+    assert H.main_text(f"<h1>T</h1><p>{prose}</p><p>{prose}</p><p>x</p>").startswith("T\nVery")
+
+
 def test_what_an_article_keeps():
     article = lambda x: H.main_text(f"<body><nav>x</nav><article>{BODY}{x}</article>").removeprefix(TEXT + "\n")
     assert article("<div class='search results'><p>The results, in short. They are good; very, very good.</p></div>") == "The results, in short. They are good; very, very good."
@@ -236,7 +241,7 @@ def slow_main_text(source):
 
 TAGS = ["<div>", "</div>", "<div class='comments'>", "<div class=search>", "<form>", "</form>", "<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<b>", "</b>", "<br>"]
 TAGS += ["<h2 id=related>", "</h2>", "<header>", "</header>", "<table>", "<tr>", "<td>", "</table>", "<script>", "</script>", "<span class='ad'>", "</span>", "<title>", "</title>", "<section class='share results'>", "</section>", "<p hidden>", "<body>", "<img/>"]
-TEXTS = [" ", "a", "Some words, here. And more; of them, yes!", "Short.", "menu entry", "Other text, long. With marks, too, of all kinds; see: it goes on, and on.", "\n", "&amp;x"]
+TEXTS = [" ", "a", "Very long, very long prose; it goes on, and on: with marks, of all kinds! " * 8, "Some words, here. And more; of them, yes!", "Short.", "menu entry", "Other text, long. With marks, too, of all kinds; see: it goes on, and on.", "\n", "&amp;x"]
 
 
 @settings(max_examples=400, deadline=None)
