@@ -25,3 +25,14 @@ def test_stages_keep_clean_documents_and_one_of_each(spark, tmp_path):
     assert sorted(r["doc_id"] for r in whole if r["piece"] == 0) == kept[3]
     want = sum(len(packing.token_ids(texts[i])) // 4 + 1 for i in kept[3])
     assert sum(r["length"] for r in whole) == want
+
+
+def test_empty_table_and_a_very_long_text(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["kato", "lose", "miva", "rupa"]) + str(i % 50_000) for i in range(200_000))
+    spark.createDataFrame([(1, long, "aa", "s", 1), (2, long + " end", "aa", "s", 1), (3, "kato lose miva rupa of another kind", "aa", "s", 1)], schema).write.parquet(str(tmp_path / "long" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "long")).collect()
+    assert {r["doc_id"] for r in out} <= {1, 3} and sum(r["length"] for r in out if r["doc_id"] == 1) % (len(packing.token_ids(long)) // 4 + 1) == 0
