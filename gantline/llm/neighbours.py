@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Nodes in a shard, at most about: the memory of a task follows it, whatever the corpus.
+#: Nodes in a shard, at most about: the memory of a task follows it, whatever the corpus. Larger ones took longer and found less.
 SHARD_ROWS = 4096
 #: Queries that one task takes to a shard.
 QUERY_ROWS = 20_000
 #: Edges from a node, beam while building, beam of a query, and the factor by which a nearer edge may be longer and still prune.
 DEGREE, BUILD_BEAM, BEAM, RELAXED = 24, 48, 96, 1.2
+#: Distances up to this are noise in single precision.
+ALIKE = 1e-6
 BLOCK = 256
 
 
@@ -56,8 +58,9 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
         at = np.where(done[active], np.inf, far[active]).argmin(axis=1)
         node = ids[active, at]
         done[active, at] = True
-        near = edges[node]
+        near = np.sort(edges[node], axis=1)
         fresh = (near >= 0) & ~seen[active[:, None], near]
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # edges drawn at random may be named twice
         seen[active[:, None], np.where(fresh, near, node[:, None])] = True
         d = np.where(fresh, 1 - np.einsum("qrd,qd->qr", points[near], queries[active]), np.inf).astype(np.float32)
         all_far, all_ids = np.concatenate([far[active], d], axis=1), np.concatenate([ids[active], near], axis=1)
@@ -71,18 +74,29 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
 
 
 def prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, relaxed: float, degree: int) -> np.ndarray:
-    """The edges of each node out of its candidates (-1: none): the nearest goes in and strikes out what it is nearer to than the node, by the factor."""
-    candidates = np.where(candidates == nodes[:, None], -1, candidates)
-    d = np.where(candidates >= 0, 1 - np.einsum("ncd,nd->nc", points[candidates], points[nodes]), np.inf)
+    """The edges of each node out of its candidates (-1: none): the nearest goes in and strikes out what it is nearer to than the node, by the factor.
+
+    Candidates that single precision can't tell from the node would strike each other out by chance. The next of them in a ring of
+    numbers get a third of the edges, so that a group of near copies stays connected.
+    """
+    candidates = np.sort(np.where(candidates == nodes[:, None], -1, candidates), axis=1)
+    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1  # named twice
+    d = np.where(candidates >= 0, np.maximum(0, 1 - np.einsum("ncd,nd->nc", points[candidates], points[nodes])), np.inf)
+    out = np.full((len(nodes), degree), -1, np.int64)
+    rows = np.arange(len(nodes))
+    alike = d <= ALIKE
+    ring = np.where(alike, (candidates - nodes[:, None]) % len(points), len(points))
+    count = np.minimum(alike.sum(axis=1), degree // 3)
+    if count.any():
+        nearest = np.take_along_axis(candidates, ring.argsort(axis=1, kind="stable")[:, : degree // 3], axis=1)
+        out[:, degree - nearest.shape[1] :] = np.where(np.arange(nearest.shape[1]) < count[:, None], nearest, -1)
+        d[alike] = np.inf
     order = d.argsort(axis=1, kind="stable")
     d, candidates = np.take_along_axis(d, order, axis=1), np.take_along_axis(candidates, order, axis=1)
-    d[:, 1:][(candidates[:, 1:] == candidates[:, :-1])] = np.inf  # named twice
     between = 1 - np.einsum("ncd,nkd->nck", points[candidates], points[candidates])
-    out = np.full((len(nodes), degree), -1, np.int64)
-    rows = np.arange(len(nodes))
     for k in range(degree):
         at = d.argmin(axis=1)
-        left = np.isfinite(d[rows, at])
+        left = np.isfinite(d[rows, at]) & ((count == 0) | (k < degree - degree // 3))
         if not left.any():
             break
         out[left, k] = candidates[rows, at][left]
@@ -174,7 +188,7 @@ def search(graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, query
                 part = qs.iloc[i : i + BLOCK]
                 vectors = np.array(part["embedding"].tolist())
                 found, _ = beam_search(points, edges, start, unit(vectors), min(beam, max(k + 1, len(points))))
-                for q, v, near in zip(part["query_id"], vectors, found[:, : 2 * k + 2], strict=True):
+                for q, v, near in zip(part["query_id"], vectors, found, strict=True):  # all that the beam holds: vectors almost alike are told apart by double precision alone
                     near = near[near >= 0]
                     scores = cosine(np.broadcast_to(v, (len(near), len(v))), original[near])
                     mine = sorted((-s, int(x)) for node, s in zip(near, scores, strict=True) for x in ids[node] if x != q)

@@ -47,3 +47,17 @@ def test_rows_that_take_no_part(spark):
     out = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in N.nearest(df).collect())
     assert out == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
     assert N.nearest(df.limit(0)).count() == 0
+
+
+def test_near_and_scaled_copies_are_told_apart_in_double_precision(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)]
+    rows += [(1000 + i, (base + rng.normal(size=16) * 1e-6).tolist()) for i in range(40)]  # float32 can't order these
+    rows += [(2000 + i, (base * 2.0**i).tolist()) for i in range(12)]
+    found = {}
+    for r in N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = brute(rows, 50, 5)
+    for q in (1000, 2000):
+        assert [found[q][k] for k in range(1, 6)] == [i for i, _ in want[q]]
