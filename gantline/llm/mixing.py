@@ -9,7 +9,7 @@ over, so a source ends within about half its smallest document of the target.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents
 of size 0 take 0 words; an empty table gives an empty one; repeated rows are documents of their own;
-ties are broken by a hash of the id, then the id. Other columns are ignored.
+ties are broken by a hash of the id (of the text, where there is none), then the id, then the text's hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     """Rows of (doc_id, size, source, source_size, target, rate, copies, taken, th), one for each document; th is a hash of its text."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.put(
-        docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")), "sizes"
+        docs.select("doc_id", "source", word_count().alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), F.xxhash64("text").alias("th")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")), "sizes"
     )
     salted = scratch.put(sizes.groupBy("source", "size", "salt").agg(F.count("*").alias("n_salt")), "histogram")
     histogram = scratch.put(salted.groupBy("source", "size").agg(F.sum("n_salt").alias("n")), "sizes")
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
         .select("a.source", "a.size", "a.salt", "before", "b.n", "m", "rate", "source_size", "target")
     )
     classes = scratch.put(classes, "classes")
-    k = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id")).cast("long")
+    k = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id", "th")).cast("long")
     dealt = sizes.withColumn("k", k).alias("d").join(classes.alias("c"), F.expr("d.source <=> c.source AND d.size = c.size AND d.salt = c.salt"))
     copies = F.expr("((before + k) * m) div n - ((before + k - 1) * m) div n")
     return dealt.select("doc_id", "d.size", "d.source", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"), "th")

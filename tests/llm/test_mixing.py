@@ -69,3 +69,9 @@ def test_documents_are_taken_as_often_as_told(spark, documents):
 
 def test_empty_table(spark, documents):
     assert mixing.mix(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_repeated_ids_take_the_same_texts_again(spark, documents):
+    rows = [(i % 3 if i % 4 else None, f"text number {i} " + "w " * (i % 5), None, "ab"[i % 2]) for i in range(200)]  # few ids, many texts, many of one size
+    told = [sorted(str(r["text"]) for r in mixing.take(documents(random.Random(seed).sample(rows, len(rows))).repartition(3 + seed)).select("text").collect()) for seed in (1, 2)]
+    assert told[0] == told[1] and len(told[0]) > 50
