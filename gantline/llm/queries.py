@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, jaccard_join, language, licenses, line_dedup, mixing, neighbours, packing, warc
+from . import centroids, fingerprints, html_text, jaccard_join, language, lexical, licenses, line_dedup, mixing, neighbours, packing, simhash, warc
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_document_fingerprints,
         op9_nearest_neighbours,
         op10_warc_derivatives,
+        op11_centroid_clustering,
+        op12_lexical_search,
+        op13_simhash_near_dedup,
     )
 }
 
@@ -81,4 +96,4 @@ FROM texts t LEFT JOIN told x ON x.k = t.k LEFT JOIN gone g ON g.line = x.line
 GROUP BY t.k, t.doc_id, t.text
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_centroid_clustering": centroids.sql(), "op12_lexical_search": lexical.SQL}
