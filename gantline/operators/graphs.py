@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
@@ -53,25 +53,73 @@ def greedy_assignment(candidates: DataFrame, scratch: Scratch, order: list[str])
     return out
 
 
-def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "new") -> DataFrame:
+def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "new", scratch: Scratch | None = None, counted: bool | None = None) -> DataFrame:
     """(a, b, both, jaccard) of sets of two sides, from rows (side, name, item), with a similarity of at least ``least`` over 0.
 
-    Items stand rarest first. Of sets that similar the first n - ceil(least * n) + 1 items share one, and their sizes differ by no
-    more than the factor ``least``; so only these prefixes meet, in an equi-join, and each pair that meets is then counted whole.
+    Items stand rarest first. Of sets that similar the first n - ceil(least * n) + 1 items share one. Either all shared items are
+    counted, in one equi-join by item; or only those first items meet and each pair that meets is compared as a whole. Both give the same
+    pairs. What they cost is summed up over items beforehand: with a low threshold nearly all items are first ones, and comparing pairs again is waste,
+    while with a high one the common items never meet. ``counted`` takes one of the ways without asking.
     """
+    scratch = scratch or Scratch(sets.sparkSession, "jaccard")
     rows = sets.select("side", "name", "item").distinct()
-    sizes = rows.groupBy("side", "name").agg(F.count("*").alias("size"))
     common = rows.groupBy("item").agg(F.count("*").alias("sets"))
     place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
-    prefix = rows.join(common, "item").join(sizes, ["side", "name"]).withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), "item", *more)
-    met = half(prefix, left, "a", F.col("size").alias("n_a")).join(half(prefix, right, "b", F.col("size").alias("n_b")), "item")
-    met = met.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b", "n_a", "n_b").distinct()
-    both = met.join(half(rows, left, "a"), "a").join(half(rows, right, "b"), ["b", "item"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    size = F.count("*").over(Window.partitionBy("side", "name"))
+    placed = rows.join(common, "item").withColumn("place", place).withColumn("size", size)
+    placed = scratch.put(placed.select("side", "name", "item", "size", (F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).alias("early")), "sets")
+    if counted is None:
+        of = lambda side, which=F.lit(True): F.sum(((F.col("side") == side) & which).cast("double"))
+        by_item = placed.groupBy("item").agg(of(left).alias("l"), of(right).alias("r"), of(left, F.col("early")).alias("el"), of(right, F.col("early")).alias("er"))
+        whole, met, items = by_item.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("el") * F.col("er")), F.sum(F.col("l") + F.col("r"))).first()
+        names = placed.select("side", "name").distinct().count()
+        counted = not names or (whole or 0) <= (met or 0) * (1 + items / names)
+    half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), *more)
+    alike = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    sides = lambda df: half(df, left, "a", "item", F.col("size").alias("n_a")).join(half(df, right, "b", "item", F.col("size").alias("n_b")), "item").filter(alike)
+    if counted:
+        both = sides(placed).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    else:
+        met = sides(placed.filter("early")).select("a", "b", "n_a", "n_b").distinct()
+        whole = placed.groupBy("side", "name").agg(F.collect_list("item").alias("items"))
+        both = met.join(half(whole, left, "a", F.col("items").alias("_a")), "a").join(half(whole, right, "b", F.col("items").alias("_b")), "b")
+        both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both"))
     jaccard = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     return both.select("a", "b", "both", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
 
 
+def similar_sets(sets: DataFrame, least: float, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b, both, jaccard) with a < b, of sets (name, item) of one kind."""
+    twice = sets.select(F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side"), "name", "item")
+    return set_jaccard(twice, least, scratch=scratch).filter("a < b")
+
+
+def walk(claims: DataFrame, scratch: Scratch, order: list[str], prefer: list[Column]) -> DataFrame:
+    """(old_id, new_id): each old id's first claim, as a walk over old ids in ``order`` picks it: what no old id has picked yet comes before the
+    rest where ``prefer`` ties.
+
+    claims is (old_id, new_id, *) where order names columns of the old id. In a round all old ids pick of which no earlier old id with a
+    common claim is left; what such ids have picked is all that the walk knows of when it comes to them.
+    """
+    left = scratch.put(claims.withColumn("_taken", F.lit(False)), "claims")
+    picked = []
+    while left.limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("new_id").orderBy(*order, "old_id"))
+        ready = F.max("_turn").over(Window.partitionBy("old_id")) == 1
+        place = F.row_number().over(Window.partitionBy("old_id").orderBy(*prefer, "_taken", "new_id"))
+        first = left.withColumn("_turn", turn).withColumn("_ready", ready).filter("_ready").withColumn("_place", place).filter("_place = 1")
+        now = scratch.put(first.select("old_id", "new_id"), "picked")
+        picked.append(now)
+        rest = left.join(now.select("old_id"), "old_id", "left_anti").join(now.select("new_id", F.lit(True).alias("_now")), "new_id", "left")
+        after = scratch.put(rest.withColumn("_taken", F.col("_taken") | F.coalesce("_now", F.lit(False))).drop("_now"), "claims")
+        scratch.drop(left)
+        left = after
+    out = left.select("old_id", "new_id")
+    for p in picked:
+        out = out.unionByName(p)
+    return out
+
+
 def grid_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of points (lat, lon and lat2, lon2) whose grid cells touch: each left point goes to nine cells, then an equi-join."""
     floor = lambda c: F.floor(F.col(c) / cell).cast("long")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.columns import EARTH_M, haversine
 from ..functions.sequences import lcs_length, order_share
-from ..operators.graphs import components, grid_join, set_jaccard
+from ..operators.graphs import components, grid_join, set_jaccard, walk
 from ..sources.feed import Feed
 from ..sources.scratch import Scratch
 
@@ -224,14 +224,14 @@ def link_families(old: DataFrame, new: DataFrame, old_stops: DataFrame, new_stop
     return same.select(F.col("family").alias("old_id"), F.col("family").alias("new_id"), F.lit(1.0).alias("confidence"), F.lit(NAME).alias("method")).unionByName(by_content)
 
 
-def commonest_sequence(found: DataFrame) -> DataFrame:
-    """(family, seq): the stops of each family's pattern with the most trips."""
-    return found.groupBy("family").agg(F.min_by("base_seq", F.struct(-F.col("trip_count"), F.col("pattern_id"))).alias("seq"))
+def longest_sequence(found: DataFrame) -> DataFrame:
+    """(family, seq): the stops of each family's longest pattern, of several the greatest by name."""
+    return found.groupBy("family").agg(F.max_by("base_seq", F.struct(F.size("base_seq"), F.col("base_seq"))).alias("seq"))
 
 
-def tied_first(edges: DataFrame, old_seqs: DataFrame, new_seqs: DataFrame) -> DataFrame:
-    """Each old family's best edge. Of edges as confident, the one whose commonest stops stand in the same order comes first (0.5 where fewer
-    than two are shared), then the likeliest name, then a new family that is no other's, then the smaller id."""
+def tied_first(edges: DataFrame, old_seqs: DataFrame, new_seqs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Each old family's best edge. Of edges as confident, the one whose stops stand in the same order comes first (0.5 where fewer than two are
+    shared), then the likeliest name, then a new family that no old one before it has taken, the surest first, then the smaller id."""
 
     @F.pandas_udf("double")
     def order(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -243,13 +243,12 @@ def tied_first(edges: DataFrame, old_seqs: DataFrame, new_seqs: DataFrame) -> Da
         return pd.Series([round(T.likeness(x, y), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     top = F.max("confidence").over(Window.partitionBy("old_id"))
-    tied = edges.withColumn("_top", top).filter("confidence = _top").drop("_top")
+    tied = edges.withColumn("_top", top).filter("confidence = _top").select("old_id", "new_id", (-F.col("confidence")).alias("_unsure")).distinct()
     seq = lambda df, end: df.select(F.col("family").alias(end), F.col("seq").alias(f"_{end}"))
     told = tied.join(seq(old_seqs, "old_id"), "old_id", "left").join(seq(new_seqs, "new_id"), "new_id", "left")
-    told = told.withColumn("_order", order("_old_id", "_new_id")).withColumn("_alike", alike("old_id", "new_id"))
-    wanted = F.count("*").over(Window.partitionBy("new_id"))
-    place = F.row_number().over(Window.partitionBy("old_id").orderBy(F.desc("_order"), F.desc("_alike"), "_wanted", "new_id"))
-    return told.withColumn("_wanted", wanted).withColumn("_p", place).filter("_p = 1").drop("_old_id", "_new_id", "_order", "_alike", "_wanted", "_p")
+    told = told.select("old_id", "new_id", "_unsure", order("_old_id", "_new_id").alias("_order"), alike("old_id", "new_id").alias("_alike"))
+    picked = walk(told, scratch or Scratch(edges.sparkSession, "tied"), ["_unsure"], [F.desc("_order"), F.desc("_alike")])
+    return edges.join(picked, ["old_id", "new_id"], "left_semi")
 
 
 def family_components(edges: DataFrame, groups: DataFrame, most_groups: int, scratch: Scratch, old_seqs: DataFrame, new_seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +274,7 @@ def family_components(edges: DataFrame, groups: DataFrame, most_groups: int, scr
     sizes = scratch.put(sized(whole), "sizes")
     fits = whole.join(sizes.filter((F.col("n_groups") <= most_groups) & (F.col("content") == 1)).select("component"), "component", "left_semi")
     large = whole.join(sizes.filter((F.col("n_groups") > most_groups) & (F.col("content") == 1)).select("component"), "component", "left_semi")
-    one_each = tied_first(large.filter(F.col("method") == CONTENT), old_seqs, new_seqs)
+    one_each = tied_first(large.filter(F.col("method") == CONTENT), old_seqs, new_seqs, scratch)
     pruned = scratch.put(one_each.unionByName(large.filter(F.col("method") == NAME)).drop("component"), "pruned")
     rest = grouped(pruned)
     again = scratch.put(sized(rest).filter("content = 1").withColumn("demoted", F.col("n_groups") > most_groups).drop("content", "n_groups"), "sizes")
@@ -359,7 +358,7 @@ def build(old_feed: Feed, new_feed: Feed, old_types: DataFrame, new_types: DataF
     groups = scratch.put(route_groups({"old": old.families, "new": new.families}, c["route_group"]), "groups")
     translation = stop_translation(old.clusters, new.clusters, stop_edges, c["route_family"]["stop_link_min"])
     edges = scratch.put(link_families(old.families, new.families, family_stops(old.patterns), family_stops(new.patterns), translation, c["route_family"]), "family-edges")
-    found, edges = family_components(edges, groups, c["route_family"]["max_component_groups"], scratch, commonest_sequence(old.patterns), commonest_sequence(new.patterns))
+    found, edges = family_components(edges, groups, c["route_family"]["max_component_groups"], scratch, longest_sequence(old.patterns), longest_sequence(new.patterns))
     edges = scratch.put(edges, "family-edges")
     pattern_edges = scratch.put(link_patterns(old.pattern_clusters, new.pattern_clusters, edges, c["pattern_clustering"]), "pattern-edges")
     labels = old_types.select("day_type").intersect(new_types.select("day_type"))

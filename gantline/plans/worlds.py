@@ -39,17 +39,18 @@ def world_patterns(trips: DataFrame, worlds: DataFrame, dates: DataFrame) -> Dat
     return held.withColumn("place", place)
 
 
-def match_patterns(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(cell, old_place, new_place, signal): patterns with one content, then those of the same days in order, then the rest alone."""
-    side = lambda df, n: df.select(*CELL, F.col("digest").alias(f"{n}_digest"), F.col("dates").alias(f"{n}_dates"), F.col("place").alias(f"{n}_place"))
+def match_patterns(old: DataFrame, new: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """(cell, old_place, new_place, signal): patterns with one content, the first of several on either side, then those of the same days in order, then the rest alone."""
+    side = lambda df, n: df.select(*cell, F.col("digest").alias(f"{n}_digest"), F.col("dates").alias(f"{n}_dates"), F.col("place").alias(f"{n}_place"))
     a, b = side(old, "old"), side(new, "new")
-    content = a.join(b.withColumnRenamed("new_digest", "old_digest"), [*CELL, "old_digest"]).select(*CELL, "old_place", "new_place", F.lit("content").alias("signal"))
-    rest = lambda df, n: df.join(content.select(*CELL, f"{n}_place"), [*CELL, f"{n}_place"], "left_anti")
-    number = lambda df, n: df.filter(F.size(f"{n}_dates") > 0).withColumn("_i", F.row_number().over(Window.partitionBy(*CELL, f"{n}_dates").orderBy(f"{n}_place"))).withColumnRenamed(f"{n}_dates", "_dates")
+    first = lambda df, n: df.withColumn("_i", F.row_number().over(Window.partitionBy(*cell, f"{n}_digest").orderBy(f"{n}_place"))).filter("_i = 1").drop("_i")
+    content = first(a, "old").join(first(b, "new").withColumnRenamed("new_digest", "old_digest"), [*cell, "old_digest"]).select(*cell, "old_place", "new_place", F.lit("content").alias("signal"))
+    rest = lambda df, n: df.join(content.select(*cell, f"{n}_place"), [*cell, f"{n}_place"], "left_anti")
+    number = lambda df, n: df.filter(F.size(f"{n}_dates") > 0).withColumn("_i", F.row_number().over(Window.partitionBy(*cell, f"{n}_dates").orderBy(f"{n}_place"))).withColumnRenamed(f"{n}_dates", "_dates")
     ra, rb = rest(a, "old"), rest(b, "new")
-    by_dates = number(ra, "old").join(number(rb, "new"), [*CELL, "_dates", "_i"]).select(*CELL, "old_place", "new_place", F.lit("dates").alias("signal"))
+    by_dates = number(ra, "old").join(number(rb, "new"), [*cell, "_dates", "_i"]).select(*cell, "old_place", "new_place", F.lit("dates").alias("signal"))
     paired = content.unionByName(by_dates)
     none = F.lit(None)
-    alone_a = ra.join(by_dates.select(*CELL, "old_place"), [*CELL, "old_place"], "left_anti").select(*CELL, "old_place", none.cast("int").alias("new_place"), none.cast("string").alias("signal"))
-    alone_b = rb.join(by_dates.select(*CELL, "new_place"), [*CELL, "new_place"], "left_anti").select(*CELL, none.cast("int").alias("old_place"), "new_place", none.cast("string").alias("signal"))
+    alone_a = ra.join(by_dates.select(*cell, "old_place"), [*cell, "old_place"], "left_anti").select(*cell, "old_place", none.cast("int").alias("new_place"), none.cast("string").alias("signal"))
+    alone_b = rb.join(by_dates.select(*cell, "new_place"), [*cell, "new_place"], "left_anti").select(*cell, none.cast("int").alias("old_place"), "new_place", none.cast("string").alias("signal"))
     return paired.unionByName(alone_a).unionByName(alone_b)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import page_queries
 from .functions import columns as C
 from .functions.sequences import lcs_length
 from .operators import diff, graphs, groups, ledger
@@ -57,8 +58,8 @@ d AS (
     UNION ALL SELECT 'field_changed', o.k, 'o_orderpriority', o.p, n.p, 4 FROM old o JOIN new n ON o.k = n.k WHERE o.p <> n.p
 )"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(page_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(page_queries.ORACLE_SQL)
 
 
 def query(sql: str | None = None):

@@ -32,6 +32,10 @@ DEFAULT = {
         "shape": {"frechet_threshold_m": 150, "max_polyline_points": 200},
         "timetable": {"uniform_shift_max_std_sec": 120},
     },
+    "presentation": {
+        "system_min_trips": 2, "full_coverage": 0.9, "direction_pair_jaccard": 0.6, "direction_reversed_max_agreement": 0.2, "direction_same_min_agreement": 0.8,
+        "direction_min_shared_stops": 3, "hub_min_groups": 3, "sheet_max_gap_per_trip": 1.5, "retime_minor_max_min": 5,
+    },
     "diff0": {"bulk_row_threshold": 100_000},
 }
 
