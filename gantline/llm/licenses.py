@@ -38,6 +38,47 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license"),
     ("reserved", "all rights reserved"),
+    ("gpl-or-later", "either version 3 of the license or at your option any later version"),
+    ("gpl-copy", "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"),
+    ("lgpl-notice", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("apache-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not "
+        "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an "
+        "action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of "
+        "merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or "
+        "tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    ("bsd-3rd-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+        "software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with "
+        "the use or performance of this software",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+    ),
+    ("cc0-notice", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
 ]
 
 #: Runs of at least so many words are chained, or a whole template of fewer.
@@ -89,6 +130,19 @@ class Automaton:
                 u = self.link[u]
             self.phrases.append(found)
 
+        # Shorter runs that end with a state's, in other places: those of its suffix links, each with its longest run.
+        self.least = min([LONG, *(len(tokens) for _, tokens in self.templates)])
+        self.places = [[(t, end) for t, ends in found.items() for end in ends] for found in self.ends]
+        self.shorter: list[list[tuple[tuple[int, int], int]]] = [[] for _ in self.next]
+        for v in sorted(range(1, len(self.next)), key=lambda v: self.length[v]):
+            u, own = self.link[v], set(self.places[v])
+            if u > 0:
+                self.shorter[v] = [(p, self.length[u]) for p in self.places[u] if p not in own and self.length[u] >= self.least] + [(p, n) for p, n in self.shorter[u] if p not in own]
+
+    def held(self, v: int, n: int) -> dict[tuple[int, int], int]:
+        """(template, place) at which a run of n words in state v or one of its suffixes ends, with the longest such run."""
+        return dict.fromkeys(self.places[v], n) | dict(self.shorter[v])
+
     def walk(self, tokens: list[bytes]) -> int:
         v = 0
         for w in tokens:
@@ -197,25 +251,25 @@ def scan_words(automaton: Automaton, tokens: list[bytes]) -> dict:
     places: list[int] = []
     base: set[str] = set()
     runs: dict[int, list[tuple[int, int, int]]] = {}
-    before: tuple[int, int, int] | None = None
+    open_: dict[tuple[int, int], int] = {}  # the places in templates at which the text's last words stand, with the length of each run
+    last = -1
 
-    def ended(run: tuple[int, int, int]) -> None:
-        i, n, v = run
-        for t, ends in automaton.ends[v].items():
+    def ended(over: dict[tuple[int, int], int], at: int) -> None:
+        for (t, end), n in over.items():
             if n >= min(LONG, len(automaton.templates[t][1])):
-                runs.setdefault(t, []).extend((i - n + 1, end - n + 1, n) for end in ends)
+                runs.setdefault(t, []).append((at - n + 1, end - n + 1, n))
 
-    for run in automaton.statistics(ids):
-        i, n, v = run
+    for i, n, v in automaton.statistics(ids):
         for size, label in automaton.phrases[v]:
             if size <= n:
                 places.append(i - size + 1)
                 base.add(label)
-        if before and (before[0] + 1 != i or n <= before[1]) and before[1] > 1:  # the run before can't be longer
-            ended(before)
-        before = run
-    if before:
-        ended(before)
+        # A run ends, for its template, where the next word of the text isn't the template's, whatever other templates go on.
+        held = automaton.held(v, n) if n >= automaton.least else {}
+        if open_:
+            ended(open_ if i != last + 1 else {(t, end): size for (t, end), size in open_.items() if (t, end + 1) not in held}, last)
+        open_, last = held, i
+    ended(open_, last)
     labels, spans, score = set(base), [], 1.0 if places else 0.0
     for t, found in runs.items():
         label, template = automaton.templates[t]

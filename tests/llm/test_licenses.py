@@ -81,3 +81,38 @@ def test_many_copies_are_found_in_one_go():
     automaton = licenses.Automaton(licenses.TEMPLATES, licenses.BASE)
     r = licenses.scan_words(automaton, licenses.words(dict(licenses.TEMPLATES)["as-is"] + " ") * 3000)
     assert len(r["spans"]) == 3000
+
+
+def test_wording_of_other_templates_before_a_licence_does_not_hide_it():
+    automaton = licenses.Automaton(licenses.TEMPLATES, licenses.BASE)
+    for before in ("", "this work is ", "permission is hereby ", "this work is licensed under "):
+        r = licenses.scan_words(automaton, licenses.words(before + "licensed under the foo Apache License, version 2.0"))
+        n = len(before.split())
+        assert ("apache-notice", n, n + 9, 1.0) in r["spans"]
+    body = dict(licenses.TEMPLATES)["mit"]
+    assert {"mit", "mit-grant"} <= licenses.scan_words(automaton, licenses.words("This work is. " + body.replace(" subject ", ", subject ").upper()))["labels"]
+
+
+def test_every_template_is_told_all_its_runs(monkeypatch):
+    told = {}
+    monkeypatch.setattr(licenses, "copies", lambda runs, long: (told.update({len(told): sorted(runs)}), (0.0, []))[1])
+    rng = random.Random(7)
+    for _ in range(400):
+        told.clear()
+        templates = [(str(t), " ".join(rng.choice("abcd") for _ in range(rng.randint(2, 9)))) for t in range(4)]
+        tokens = [rng.choice("abcde") for _ in range(rng.randint(0, 25))]
+        licenses.scan_words(licenses.Automaton(templates, {}), licenses.words(" ".join(tokens)))
+        want = []
+        for _, template in templates:
+            t = template.split()
+            same = lambda i, j, t=t: 0 <= i < len(tokens) and 0 <= j < len(t) and tokens[i] == t[j]
+            runs = []
+            for i in range(len(tokens)):
+                for j in range(len(t)):
+                    if same(i, j) and not same(i - 1, j - 1):
+                        n = next(n for n in range(1, 30) if not same(i + n, j + n))
+                        if n >= min(licenses.LONG, len(t)):
+                            runs.append((i, j, n))
+            if runs:
+                want.append(sorted(runs))
+        assert sorted(told.values()) == sorted(want)
