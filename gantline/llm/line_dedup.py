@@ -29,10 +29,16 @@ LG_K = 12
 NEAR = 0.1
 #: Line hashes that are broadcast, at most (8 bytes each); beyond that the rows are shuffled.
 BROADCAST_LINES = 1_000_000
+#: White space that doesn't count around a line: line feeds part lines, all other characters of that property are here.
+WHITE = "\t\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
 
 
 def lines_of(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.btrim(x))
+    return F.transform(F.split(text, "\n"), bare)
 
 
 def occurrences(docs: DataFrame, site: str) -> DataFrame:
@@ -76,7 +82,7 @@ def clean(docs: DataFrame, site: str = "source", sites: int = SITES, once: bool
     # The same plan at every size: what is known of documents grows with them, so it isn't broadcast.
     joined = whole.join(hit.hint("merge"), F.expr("doc_id <=> _id AND _th2 = _th"), "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x: ~F.array_contains("_gone", F.xxhash64(F.btrim(x))))
+    kept = F.filter(parts, lambda x: ~F.array_contains("_gone", F.xxhash64(bare(x))))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     n_removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(parts) - F.size(kept))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -82,10 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Line dedup counted exactly, in DuckDB's SQL.
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce(source, chr(1)) AS site FROM documents),
 told AS (
-    SELECT k, site, raw, trim(raw) AS line, i
+    SELECT k, site, raw, trim(raw, '{line_dedup.WHITE}') AS line, i
     FROM (SELECT k, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts)
 ),
 gone AS (SELECT line FROM told WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10)

@@ -7,12 +7,12 @@ def brute(rows, sites):
     seen = defaultdict(set)
     for _, text, _, source in rows:
         for line in (text or "").split("\n"):
-            seen[line.strip(" ")].add(source)
+            seen[line.strip(line_dedup.WHITE)].add(source)
     gone = {x for x, s in seen.items() if x and len(s) >= sites}
     out = []
     for i, text, _, _ in rows:
         parts = text.split("\n") if text is not None else []
-        kept = [p for p in parts if p.strip(" ") not in gone]
+        kept = [p for p in parts if p.strip(line_dedup.WHITE) not in gone]
         out.append((i, None if text is None else "\n".join(kept), len(parts), len(parts) - len(kept)))
     return sorted(out, key=str)
 
@@ -61,3 +61,25 @@ def test_pipeline_takes_whole_blocks_of_boilerplate(spark, documents):
 
     docs = documents([(i, f"body {i}\nfoot one\nfoot two", "en", f"s{i % 12}") for i in range(60)])
     assert {r["text"] for r in corpus_pipeline.without_boilerplate(spark, docs, "").collect()} == {f"body {i}" for i in range(60)}
+
+
+def test_white_space_around_lines(spark, documents):
+    ends = ["", "\r", "\t", " \u00a0", "\u3000\r", "\x0b"]
+    rows = [(i, f"body {i}{ends[i % 6]}\n{ends[(i + 1) % 6]}All rights reserved, as ever.{ends[i % 6]}\ntail {i}", "en", f"s{i}") for i in range(18)]
+    got = cleaned(documents(rows))
+    assert got == brute(rows, 10)
+    assert got[0][1] == "body 0\ntail 0" and all(r[3] == 1 for r in got)
+
+
+def test_the_sql_trims_alike(spark, documents):
+    import duckdb
+
+    from gantline.llm.queries import ORACLE_SQL
+
+    space = line_dedup.WHITE
+    rows = [(i, f"{space[i % len(space)]}one line{space[(i + 5) % len(space)]}\nown {i}\u200b\n\u200bzero", "en", f"s{i % 12}") for i in range(36)]
+    docs = documents(rows)
+    table = docs.select("doc_id", "text", "source").toArrow()
+    duck = duckdb.connect()
+    duck.register("documents", table)
+    assert sorted(duck.execute(ORACLE_SQL["op3_line_dedup"]).fetchall(), key=str) == cleaned(docs) == brute(rows, 10)
