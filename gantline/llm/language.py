@@ -52,13 +52,13 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int = CROPS
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)))
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.shiftrightunsigned(own, 11).alias("h"), "doc_id", "text")  # h: 53 bits
     starts = [(F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int") for k in range(crops)]
-    cropped = rows.select("lang", "h", "doc_id", F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]).alias("parts"))
+    cropped = rows.select("lang", "h", "doc_id", F.xxhash64("text").alias("th"), F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]).alias("parts"))
     # Hashes are even, so by its count a language has some 4 * per_language rows below its reach, however many it has in all.
     reach = Scratch(docs.sparkSession, "language").put(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("reach")), "reach")
     few = reach.count() <= BROADCAST_LANGUAGES
     near = cropped.join(F.broadcast(reach) if few else reach.hint("merge"), "lang").filter(F.col("h") <= F.col("reach") * F.lit(float(1 << 53)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = near.select("lang", "h", "doc_id", "parts").withColumn("place", place).filter(F.col("place") <= per_language)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th"))  # rows that share an id go by their texts
+    picked = near.select("lang", "h", "doc_id", "th", "parts").withColumn("place", place).filter(F.col("place") <= per_language)
     return sorted((r["lang"], p.encode("utf-8", "surrogatepass")) for r in picked.select("lang", "parts").collect() for p in r["parts"])
 
 

@@ -59,3 +59,9 @@ def test_filter_keeps_columns(spark, documents):
     docs = documents(corpus(120) + [(900, "123", "aa"), (901, None, None)])
     kept = language.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == 120
+
+
+def test_rows_that_share_an_id_are_drawn_by_their_texts(spark, documents):
+    rows = [(1, f"some words of text number {i}, in one language", "en") for i in range(60)] + [(2, f"und andere worte der nummer {i}, in einer sprache", "de") for i in range(60)]
+    one, two = (language.sample(documents(r), per_language=10) for r in (rows, rows[::-1]))
+    assert one == two and len(one) > 10
