@@ -61,8 +61,10 @@ WEAKENED = 0.25
 #: Parts of class words that may follow a hint in it (comment-list), and those that make it a state of the page (has-sidebar).
 PARTS = frozenset("area bar block blocks body bottom box button buttons col column container content form group holder icon icons inner inline item items left link links list main menu module outer panel posts right row section text title top unit wrap wrapper".split())
 STATES = frozenset("has have hide hides is js no not show shows with without".split())
-#: A form, or an element whose words tell furniture, with more than this share of the high-ratio text around it is no furniture.
+#: A form, or an element whose words tell furniture, with more than this share of the high-ratio text around it is no furniture,
 WRAPS = 2 / 3
+#: unless so many blocks of prose, or so many characters of it, stand beside it: then they are the page's content, however much longer it is. What holds the page's first h1 stays even so.
+PROSE_BLOCKS, PROSE_CHARS = 2, 200
 #: Paths with this share of the best score are content, or with the mean, if that is less.
 THRESHOLD = 0.1
 #: Attributes end at the first > outside of quotes; quotes only count after =.
@@ -251,11 +253,11 @@ def path_scores(keys: list, nodes: list[Node]) -> list[float]:
     return [c * p * ratio[k][2] for k, c, p in zip(keys, chars, marks, strict=True)]
 
 
-def furniture(elements: list[Element], nodes: list[Node], mass: list[float]) -> list[bool]:
-    """Whether each element lies in furniture: in a suspect without most of the mass around it.
+def furniture(elements: list[Element], nodes: list[Node], mass: list[float], prose: list[bool]) -> list[bool]:
+    """Whether each element lies in furniture: in a suspect without most of the mass around it, or beside prose.
 
     Around a suspect is the mass of the suspect (or page) that it lies in. From the innermost out, each keeps its own mass
-    and that of suspects in it which hold over two thirds of it all; where it would keep nothing, it keeps them all.
+    and that of suspects in it which hold over two thirds of it all, if it has hardly any prose of its own; where it would keep nothing, it keeps them all.
     """
     near = [0] * len(elements)  # the suspect that an element is or lies in
     inner: dict[int, list[int]] = defaultdict(list)
@@ -265,13 +267,21 @@ def furniture(elements: list[Element], nodes: list[Node], mass: list[float]) ->
             inner[near[e.order]].append(e.order)
             near[e.order] = e.order
     held: dict[int, float] = defaultdict(float)
-    for n, m in zip(nodes, mass, strict=True):
-        held[near[n.element.order]] += m
+    beside: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    for n, m, p in zip(nodes, mass, prose, strict=True):
+        at = near[n.element.order]
+        held[at] += m
+        if p:
+            beside[at][n.block] += len(n.text)
+    title = next((n.element.order for n in nodes if n.element.name == "h1"), -1)
     gone: set[int] = set()
     for e in reversed(elements):
         if within := inner.get(e.order):
             whole = held[e.order] + sum(held[s] for s in within)
-            stay = {s for s in within if held[s] > WRAPS * whole} or (set(within) if held[e.order] == 0 and whole else set())
+            own = beside[e.order]
+            told = len(own) >= PROSE_BLOCKS or sum(own.values()) >= PROSE_CHARS
+            stay = {s for s in within if held[s] > WRAPS * whole and (not told or s <= title <= elements[s].last)}
+            stay = stay or (set(within) if held[e.order] == 0 and whole and not told else set())
             gone.update(s for s in within if s not in stay or not held[s])
             held[e.order] += sum(held[s] for s in stay)
     off = [False] * len(elements)
@@ -291,9 +301,11 @@ def select(elements: list[Element], nodes: list[Node]) -> list[bool]:
     scores = path_scores(keys, told)
     high = over_threshold(mean_scores(keys, scores))
     mass = [len(n.text) * (k in high and not n.element.linked) for n, k in zip(told, keys, strict=True)]
+    prose = [not (n.element.linked or n.element.weak or n.element.name in HEADINGS) and any(p in n.text for p in PUNCTUATION) for n in told]
     if any(m and n.element.main for n, m in zip(told, mass, strict=True)):
         mass = [m * n.element.main for n, m in zip(told, mass, strict=True)]
-    off = furniture(elements, told, mass)
+        prose = [p and n.element.main for n, p in zip(told, prose, strict=True)]
+    off = furniture(elements, told, mass, prose)
     left = [(n, k, s) for n, k, s in zip(told, keys, scores, strict=True) if not off[n.element.order]]
     content = over_threshold(mean_scores([k for _, k, _ in left], [s for _, _, s in left]))
     links: dict = defaultdict(lambda: [0, 0])

@@ -76,6 +76,20 @@ def test_a_form_or_hinted_wrapper_of_the_article_stays():
     assert H.main_text(f"<body><form><div>{BODY}</div><div class='comments'><p>I, too. Like it!</p></div><footer>Foot, here.</footer></form>") == TEXT
 
 
+def test_comments_and_sidebars_beside_the_article_go_however_long_they_are():
+    short = "<div class='post'><h2>Title</h2><p>One short paragraph, here.</p><p>Another one.</p><p>And a third.</p></div>"
+    one = "<div class='post'><p>" + "A single paragraph, of some length. " * 6 + "</p></div>"
+    other = "<p>I like it, really; very much so. Me too, and so on, and on!</p>"
+    for words in ("comments", "sidebar", "comment-list", "related-posts"):
+        for many in (1, 12, 200):
+            assert H.main_text(f"<body>{short}<div class='{words}'>{other * many}</div>") == "Title\nOne short paragraph, here.\nAnother one.\nAnd a third."
+            assert "I like" not in H.main_text(f"<body><div class='{words}'>{other * many}</div>{one}")
+            assert "I like" not in H.main_text(f"<body><form>{short}<div class='{words}'>{other * many}</div></form>")
+    wrapped = f"<div class='content sidebar'><h1>Title</h1>{BODY * 4}</div>"  # a wrapper with a furniture word, and some text of the site beside it
+    for around in ("<p>Site, slogan.</p>", "<p>Site, slogan.</p><p>Call us, now. Or write.</p>"):
+        assert H.main_text(f"<body>{around}{wrapped}").count("A first paragraph") == 4
+
+
 def test_a_page_without_a_body_keeps_its_heading():
     prose = "Very long, very long prose; it goes on, and on: with marks, of all kinds! " * 8
     assert H.main_text(f"<h1>T</h1><p>{prose}</p><p>{prose}</p><p>x</p>").startswith("T\nVery")
@@ -196,9 +210,12 @@ def slow_main_text(source):
 
     high = content_of(range(len(nodes)))
     mass = [len(t) * (k in high and not linked(a)) for (_, a, t), k in zip(nodes, keys, strict=True)]
+    prose = [not (linked(a) or weak(a) or a[-1][0] in H.HEADINGS) and any(p in t for p in H.PUNCTUATION) for _, a, t in nodes]
     if any(m and main(a) for (_, a, _), m in zip(nodes, mass, strict=True)):
         mass = [m * main(a) for (_, a, _), m in zip(nodes, mass, strict=True)]
+        prose = [p and main(a) for (_, a, _), p in zip(nodes, prose, strict=True)]
     gone = set()
+    title = next((a[-1][2] for _, a, _ in nodes if a[-1][0] == "h1"), None)
 
     def keeps(place, depth):
         """The mass that suspect ``place``, the depth-th around its text, keeps; marks those in it that go."""
@@ -206,7 +223,10 @@ def slow_main_text(source):
         own = sum(m for s, m in mine if len(s) == depth + 1)
         inner = {x: keeps(x, depth + 1) for x in {s[depth + 1] for s, m in mine if len(s) > depth + 1}}
         whole = own + sum(inner.values())
-        stay = {x for x, m in inner.items() if m > H.WRAPS * whole} or (set(inner) if not own and whole else set())
+        here = [(b, len(t)) for (b, a, t), p in zip(nodes, prose, strict=True) if p and len([0, *suspects(a)]) == depth + 1 and [0, *suspects(a)][depth] == place]
+        told = len({b for b, _ in here}) >= H.PROSE_BLOCKS or sum(n for _, n in here) >= H.PROSE_CHARS
+        titled = {x for _, a, _ in nodes if title is not None and title in [e[2] for e in a] for x in suspects(a)}
+        stay = {x for x, m in inner.items() if m > H.WRAPS * whole and (not told or x in titled)} or (set(inner) if not own and whole and not told else set())
         gone.update(x for x, m in inner.items() if x not in stay or not m)
         return own + sum(inner[x] for x in stay)
 
@@ -240,7 +260,7 @@ def slow_main_text(source):
 
 
 TAGS = ["<div>", "</div>", "<div class='comments'>", "<div class=search>", "<form>", "</form>", "<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<b>", "</b>", "<br>"]
-TAGS += ["<h2 id=related>", "</h2>", "<header>", "</header>", "<table>", "<tr>", "<td>", "</table>", "<script>", "</script>", "<span class='ad'>", "</span>", "<title>", "</title>", "<section class='share results'>", "</section>", "<p hidden>", "<body>", "<img/>"]
+TAGS += ["<h1>", "</h1>", "<h2 id=related>", "</h2>", "<header>", "</header>", "<table>", "<tr>", "<td>", "</table>", "<script>", "</script>", "<span class='ad'>", "</span>", "<title>", "</title>", "<section class='share results'>", "</section>", "<p hidden>", "<body>", "<img/>"]
 TEXTS = [" ", "a", "Very long, very long prose; it goes on, and on: with marks, of all kinds! " * 8, "Some words, here. And more; of them, yes!", "Short.", "menu entry", "Other text, long. With marks, too, of all kinds; see: it goes on, and on.", "\n", "&amp;x"]
 
 
