@@ -43,9 +43,9 @@ CRLF = "\r\n"
 BATCH_BYTES = 1 << 24
 #: Bytes that are inflated at once.
 STEP = 1 << 20
-#: Header lines of a record take no more than this.
+#: A record whose header lines take more than this is broken.
 MOST_HEADER = 1 << 20
-#: Content types of marked-up and plain text; what has none is told by its first bytes.
+#: Content types of marked-up and plain text; what has none is told by the tags in it.
 MARKUP = ("text/html", "application/xhtml+xml")
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content_length long, headers string, block string"
 NAMES = [part.split(" ")[0] for part in DERIVED.split(", ")]
@@ -60,8 +60,14 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join('' if p is None else str(p) for p in parts))}>"
 
 
+def field_lines(fields: list[tuple[str, object]]) -> str:
+    """A line for each field that has a value; control characters in it are percent-encoded, or they would begin lines of their own."""
+    value = lambda v: re.sub(r"[\x00-\x08\x0A-\x1F\x7F]", lambda m: f"%{ord(m[0]):02X}", str(v))
+    return "".join(f"{k}: {value(v)}{CRLF}" for k, v in fields if v is not None)
+
+
 def header_block(fields: list[tuple[str, object]]) -> str:
-    return "WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in fields if v is not None)
+    return "WARC/1.1" + CRLF + field_lines(fields)
 
 
 def http_block(html: str | None, content_type: str = "text/html; charset=utf-8") -> bytes:
@@ -134,6 +140,8 @@ def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline(MOST_HEADER)) not in (b"\r\n", b"\n", b"") and size < MOST_HEADER:
             lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
             size += len(line)
+        if size >= MOST_HEADER:
+            continue  # no header has that much
         headers = {name.lower(): value for name, value in header_lines(lines)}
         length = headers.get("content-length", "")
         if not re.fullmatch(r"[0-9]{1,18}", length):
@@ -196,7 +204,8 @@ def inflated(body: bytes, encoding: str) -> bytes | None:
 
 def charset_of(content_type: str, body: bytes) -> str | None:
     """The codec that a body names, where Python has it."""
-    meta = re.search(rb"<meta[^>]{0,500}?charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:2048], re.I)
+    end = re.search(rb"</head\s*>|<body[\s>]", body, re.I)
+    meta = re.search(rb"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", body[: end.start()] if end else body, re.I)
     marks = [name for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")) if body.startswith(mark)]
     named = re.search(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", content_type, re.I)
     for name in ([named[1]] if named else []) + marks + ([meta[1].decode("ascii", "replace")] if meta else []):
@@ -220,14 +229,14 @@ def text_of(headers: list[tuple[str, str]], body: bytes) -> str:
             return ""
     content_type = first.get("content-type", "")
     kind = content_type.partition(";")[0].strip().lower()
-    if kind and kind not in MARKUP and not kind.startswith("text/") or not kind and b"\0" in body[:1024]:
+    if kind and kind not in MARKUP and not kind.startswith("text/") or not kind and b"\0" in body and not body.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
         return ""
     codec = charset_of(content_type, body)
     try:
         text = body.decode(codec or "utf-8", "replace" if codec else "strict")
     except (UnicodeDecodeError, LookupError, TypeError):  # no charset told, or a codec that isn't one of text
         text = body.decode("cp1252", "replace")
-    if kind in MARKUP or not kind and re.search(r"<[a-zA-Z!]", text[:1024]):
+    if kind in MARKUP or not kind and re.search(r"\A\s*<[a-zA-Z!?]|<(?:html|head|body|div|p|br)[\s/>]", text, re.I):
         return visible_text(text)
     return text
 
@@ -240,7 +249,7 @@ def derive_one(headers: dict[str, str], block: bytes) -> list[tuple]:
     text = text_of(http, body).encode("utf-8", "replace")
     kept = [*(("sourceWarcHeader-" + k, v) for k, v in headers.items()), *(("sourceHeader-" + k, v) for k, v in http)]
     fields = [("sourcePayloadDigest", source), ("sourceBlockDigest", headers.get("warc-block-digest") or digest(block)), ("sourceContentLength", len(body)), *kept]
-    meta = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode("utf-8", "replace")
+    meta = field_lines(fields).encode("utf-8", "replace")
     out = []
     for kind, mime, data in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
         own = record_id(kind, refers, target)

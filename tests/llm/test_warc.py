@@ -120,3 +120,25 @@ def test_files_of_records(spark, tmp_path):
     (tmp_path / "c.warc.gz").write_bytes(b"")
     out = warc.derive(warc.read_warcs(spark.read.format("binaryFile").load(f"file://{tmp_path}/*"))).filter("record_type = 'conversion'").collect()
     assert sorted((r["refers_to"], r["block"]) for r in out) == sorted([(f"<urn:{i}>", f"page {i}") for i in range(30)] + [("<urn:p>", "plain")])
+
+
+def test_an_address_writes_no_header_lines(spark):
+    df = spark.createDataFrame([(1, "http://a.example/\r\nX-Evil: 1\n\tb", "<p>text</p>")], "page_id long, url string, html string")
+    for r in warc.derive(warc.responses(df)).collect():
+        assert not re.search(r"^X-Evil", r["headers"] + "\n" + r["block"], re.M) and "WARC-Target-URI: http://a.example/%0D%0AX-Evil: 1%0A\tb\r\n" in r["headers"]
+
+
+def test_what_tells_a_body_may_stand_anywhere():
+    far = "<!-- " + "x" * 5000 + " -->"
+    body = f"<html><head>{far}<meta http-equiv=content-type content='text/html; {'y' * 800} charset=shift_jis'></head><body>日本語".encode("shift_jis")
+    assert warc.text_of([("Content-Type", "text/html")], body) == "日本語"
+    assert warc.charset_of("", b"<head></head><body><meta charset=koi8-r>") is None
+    assert warc.text_of([], ("words " * 1000 + "<p>One</p><p>two").encode()).endswith("One\ntwo") and warc.text_of([], b"1 < 2, and a<b") == "1 < 2, and a<b"
+    assert warc.text_of([], b"plain " * 1000 + b"\0") == "" and warc.text_of([], "text".encode("utf-16")) == "text"
+
+
+def test_a_record_with_endless_headers_is_passed_over(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_HEADER", 200)
+    good = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    bad = b"WARC/1.1\r\nContent-Length: 1\r\n" + b"A: " + b"b" * 150 + b"\r\nC: " + b"d" * 150 + b"\r\nE: f\r\n\r\nz\r\n\r\n"
+    assert [b for _, b in warc.parse(good + bad + good)] == [b"ok", b"ok"]
