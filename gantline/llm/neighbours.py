@@ -3,7 +3,8 @@
 Equal vectors are one node. Nodes are dealt by hash into shards of a bounded size. In a shard, greedy searches
 on the graph so far propose neighbours for each node, and relaxed distance pruning keeps a diverse few of them,
 with edges back. A query walks every shard's graph with a beam, the shards' findings meet, and the best by cosine,
-computed in double precision on the original vectors, are its result.
+computed in double precision on the original vectors, are its result. Where rounding can't tell the nearest of a shard apart, all of the shard
+are scored for the query.
 
 Defined results: rows with a null id, a null, empty or zero vector, or a null or non-finite component take no
 part; vectors are only compared with those of their own length; a query's own row is no candidate, its equals
@@ -26,15 +27,15 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 20_000
 #: Edges from a node, beam while building, beam of a query, and the factor by which a nearer edge may be longer and still prune.
 DEGREE, BUILD_BEAM, BEAM, RELAXED = 24, 48, 96, 1.2
-#: Distances up to this are noise in single precision.
-ALIKE = 1e-6
+#: Distances up to this are noise in double precision.
+ALIKE = 1e-13
 BLOCK = 256
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,7 +50,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
     rows = np.arange(q)
     seen = np.zeros((q, n), bool)
     ids = np.full((q, beam), -1, np.int64)
-    far = np.full((q, beam), np.inf, np.float32)
+    far = np.full((q, beam), np.inf)
     done = np.ones((q, beam), bool)
     ids[:, 0], far[:, 0], done[:, 0] = start, 1 - queries @ points[start], False
     seen[:, start] = True
@@ -62,7 +63,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
         fresh = (near >= 0) & ~seen[active[:, None], near]
         fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # edges drawn at random may be named twice
         seen[active[:, None], np.where(fresh, near, node[:, None])] = True
-        d = np.where(fresh, 1 - np.einsum("qrd,qd->qr", points[near], queries[active]), np.inf).astype(np.float32)
+        d = np.where(fresh, 1 - np.einsum("qrd,qd->qr", points[near], queries[active]), np.inf)
         all_far, all_ids = np.concatenate([far[active], d], axis=1), np.concatenate([ids[active], near], axis=1)
         all_done = np.concatenate([done[active], ~fresh], axis=1)
         order = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
@@ -73,10 +74,21 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
     return np.where(np.isfinite(far), ids, -1), far
 
 
+def candidates_of(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, k: int, beam: int) -> list[np.ndarray]:
+    """The nodes that each query's beam holds. Where two of the k nearest and the next, or the k-th and the furthest of a full beam, are as near as rounding can tell,
+    others as near may not have been reached or held: such queries get all nodes instead, so that exact scores decide."""
+    beam = min(beam, max(k + 1, len(points)))
+    found, far = beam_search(points, edges, start, queries, beam)
+    near = np.where(np.isfinite(far), far, 2.0 + np.arange(beam))  # where fewer were found, all are clear
+    unclear = (np.diff(near[:, : k + 1], axis=1) <= ALIKE).any(axis=1) | ((found[:, -1] >= 0) & (near[:, -1] - near[:, min(k, beam) - 1] <= ALIKE))
+    everyone = np.arange(len(points))
+    return [everyone if u else f[f >= 0] for f, u in zip(found, unclear, strict=True)]
+
+
 def prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, relaxed: float, degree: int) -> np.ndarray:
     """The edges of each node out of its candidates (-1: none): the nearest goes in and strikes out what it is nearer to than the node, by the factor.
 
-    Candidates that single precision can't tell from the node would strike each other out by chance. The next of them in a ring of
+    Candidates that double precision can't tell from the node would strike each other out by chance. The next of them in a ring of
     numbers get a third of the edges, so that a group of near copies stays connected.
     """
     candidates = np.sort(np.where(candidates == nodes[:, None], -1, candidates), axis=1)
@@ -187,9 +199,8 @@ def search(graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, query
             for i in range(0, len(qs), BLOCK):
                 part = qs.iloc[i : i + BLOCK]
                 vectors = np.array(part["embedding"].tolist())
-                found, _ = beam_search(points, edges, start, unit(vectors), min(beam, max(k + 1, len(points))))
-                for q, v, near in zip(part["query_id"], vectors, found, strict=True):  # all that the beam holds: vectors almost alike are told apart by double precision alone
-                    near = near[near >= 0]
+                found = candidates_of(points, edges, start, unit(vectors), k + 1, beam)
+                for q, v, near in zip(part["query_id"], vectors, found, strict=True):  # all that were found are scored: vectors almost alike are told apart by the measure itself
                     scores = cosine(np.broadcast_to(v, (len(near), len(v))), original[near])
                     mine = sorted((-s, int(x)) for node, s in zip(near, scores, strict=True) for x in ids[node] if x != q)
                     out += [(q, x, -s) for s, x in mine[:k]]

@@ -61,3 +61,29 @@ def test_near_and_scaled_copies_are_told_apart_in_double_precision(spark):
     want = brute(rows, 50, 5)
     for q in (1000, 2000):
         assert [found[q][k] for k in range(1, 6)] == [i for i, _ in want[q]]
+
+
+def test_groups_larger_than_the_beam(spark):
+    """Near copies at three scales of noise and scaled ones, over several shards; a query in each."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=64)) for i in range(1, 2000) if i % 50]
+    for g, (size, noise) in enumerate([(300, 1e-2), (300, 1e-4), (300, 1e-6), (300, 1e-9), (5000, 1e-4), (5000, 1e-7)]):
+        base = rng.normal(size=64)
+        rows += [((g + 1) * 10_000 + i, base + noise * rng.normal(size=64)) for i in range(size) if i % 500 == 0 or i % 50]
+    base = rng.normal(size=64)
+    scaled = [(100_000 + i, base * rng.uniform(0.3, 3)) for i in range(1200) if i % 300 == 0 or i % 50]
+    rows += scaled
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for r in N.nearest(df).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ids, whole = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = {}
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = N.cosine(np.broadcast_to(v, whole.shape), whole)
+            order = [k for k in np.lexsort((ids, -scores)) if ids[k] != q][:5]
+            if q >= 100_000:
+                assert [found[q][k] for k in range(1, 6)] == [(ids[k], scores[k]) for k in order]
+            hits.setdefault(q // 10_000, []).append(len({int(ids[k]) for k in order} & {x for x, _ in found[q].values()}) / 5)
+    assert min(np.mean(h) for h in hits.values()) >= 0.95, {g: np.mean(h) for g, h in hits.items()}
