@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.axis import is_within, stop_axis
 from ..functions.sequences import order_share
@@ -25,7 +26,7 @@ LOOP, BOTH_WAYS, ONE_WAY, FIRST_AROUND, SECOND = "%s 循環", "%s ⇄ %s", "%s 
 LEG = ["page", "dgroup", "leg"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of pairs of common stops that stand in the same order; null with under two common stops."""
     return pd.Series([order_share(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -77,7 +78,7 @@ def systems(c: Comparison, pages: DataFrame, scratch: Scratch) -> Systems:
     count = lambda gen: F.count(F.when(F.col("gen") == gen, 1))
     figures = placed.groupBy("page", "system").agg(count("old").alias("trips_old"), count("new").alias("trips_new"), F.count("*").alias("trips"), F.min("departure").alias("earliest"))
     # A system is drawn as its new cluster, or as the old one that it was.
-    shown = whole.groupBy("page", "system").agg(F.min_by(F.struct("family", "direction", "stops"), F.struct("gen", "cluster_id")).alias("o"), F.max_by(F.struct("family", "direction", "stops"), F.struct("gen", "cluster_id")).alias("n"), F.collect_set("gen").alias("gens"))
+    shown = whole.groupBy("page", "system").agg(F.min_by(F.struct("family", "direction", "stops"), F.struct("gen", "cluster_id")).alias("n"), F.collect_set("gen").alias("gens"))  # new before old
     status = F.when(F.size("gens") == 2, "continued").when(F.array_contains("gens", "new"), "added").otherwise("removed")
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     told = shown.join(figures, ["page", "system"], "left").select("page", "system", "n.family", "n.direction", "n.stops", status.alias("status"), zero("trips_old"), zero("trips_new"), zero("trips"), "earliest")

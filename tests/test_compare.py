@@ -114,3 +114,31 @@ def test_order_of_day_types(spark):
     names = ["weekday", "saturday", "saturday@2", "saturday@10", "sunday_holiday", "weekend", "daily", "dow_1100000", "dow_1010000", "dow_0000110", "irregular", "inactive", "other"]
     df = spark.createDataFrame([(n,) for n in reversed(names)], "t string")
     assert [r["t"] for r in df.orderBy(columns.day_order(F.col("t"))).collect()] == names
+
+
+def test_pages_of_a_comparison(result, spark):
+    from gantline.plans import cells, pages
+
+    scratch = Scratch(spark, "pages")
+    of = pages.family_pages(result, scratch)
+    assert {(r["gen"], r["family"]): r["page"] for r in of.collect()} == {("old", "10"): "10", ("old", "20"): "20", ("old", "30"): "30", ("new", "10"): "10", ("new", "20"): "20", ("new", "40"): "40"}
+    found = pages.systems(result, of, scratch)
+    told = {r["page"]: (r["status"], r["trips_old"], r["trips_new"], len(r["stops"])) for r in found.systems.collect()}
+    assert told == {"10": ("continued", 4, 3, 4), "20": ("continued", 3, 3, 4), "30": ("removed", 1, 0, 3), "40": ("added", 0, 1, 2)}
+    groups = pages.direction_groups(found.systems, result.config["presentation"], scratch)
+    assert rows_of(groups, "page", "dgroup", "leg", "kind") == [(p, "dg0", "forward", "one_way") for p in ("10", "20", "30", "40")]
+    views = {r["page"]: len(r["axis"]) for r in pages.leg_views(groups, found.patterns, scratch).collect()}
+    assert views == {"10": 4, "20": 4, "30": 3, "40": 2}
+    labels = found.trips.select("gen", "trip_id", F.col("day_type").alias("label"))
+    shown = found.trips.select("gen", "page", F.col("day_type").alias("label"), "trip_id")
+    pairs = scratch.put(cells.page_pairs(shown, result.delta.pairs), "shown")
+    assert cells.unlike_totals(shown, pairs).count() == 0
+    table = pages.page_timetables(result, found, groups, labels, pairs)
+    ten = [(r["old_id"], r["new_id"], r["changed"]) for r in table.filter("page = '10'").orderBy("number").collect()]
+    assert ten == [("a0", "a0", []), ("a1", "x1", []), ("a2", "a2", [0, 1, 2, 3]), ("a3", None, [])]
+    (longer, *_) = table.filter("page = '20'").orderBy("number").collect()
+    assert longer["old_times"][3] is None and longer["new_times"][3] == "07:45:00" and longer["changed"] == [3]
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
