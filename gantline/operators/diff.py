@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, global_rank
 
 ROW_REMOVED, ROW_ADDED, FIELD_CHANGED = "row_removed", "row_added", "field_changed"
 COLUMN_REMOVED, COLUMN_ADDED = "column_removed", "column_added"
@@ -96,9 +96,20 @@ def count_by(diffs: DataFrame, *columns: str) -> DataFrame:
     return diffs.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def rank_zip(left: DataFrame, right: DataFrame, by: list[str], order_left: list[str], order_right: list[str]) -> DataFrame:
-    """Pair the i-th row of each side in each group. Columns of both sides must differ but for ``by``."""
-    number = lambda df, order: df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+#: A group with more rows on a side than this is numbered by ranges of a sort, not in one task.
+LARGE_GROUP = 100_000
+
+
+def rank_zip(left: DataFrame, right: DataFrame, by: list[str], order_left: list[str], order_right: list[str], scratch: Scratch | None = None, large: int = LARGE_GROUP) -> DataFrame:
+    """Pair the i-th row of each side in each group. Columns of both sides must differ but for ``by``. With a scratch, large groups are dealt to many tasks."""
+
+    def number(df: DataFrame, order: list[str]) -> DataFrame:
+        if scratch is not None and df.groupBy(*by).count().filter(F.col("count") > large).limit(1).count():
+            ranked = global_rank(df, scratch, [F.col(c) for c in (*by, *order)], "_rank")
+            first = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"))
+            return ranked.join(first, by).withColumn("_i", F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+        return df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
     return number(left, order_left).join(number(right, order_right), [*by, "_i"]).drop("_i")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import EARTH_M, haversine
 from ..sources.scratch import Scratch
 
 
@@ -134,3 +135,40 @@ def date_runs(dates: DataFrame, by: list[str], day: str = "day") -> DataFrame:
     numbered = dates.select(*by, day).distinct().withColumn("_run", F.date_sub(F.col(day), F.row_number().over(w)))
     grouped = numbered.groupBy(*by, F.year(day).alias("_year"), "_run").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count("*").alias("days"))
     return grouped.drop("_year", "_run")
+
+
+def leaders(points: DataFrame, radius: float, scratch: Scratch) -> DataFrame:
+    """(grp, ord, leader) of points (grp, ord, lat, lon): in the order of ``ord``, a point joins the first leader of its group within ``radius`` metres, or becomes one.
+
+    Points lie in cubes of the radius' size, so that what is near lies in the same cube or one beside it. In a round the first open point of a cube leads if the first ones of all
+    cubes beside it come later; then all open points near a new leader are settled. Leaders stand apart, so each point meets few of them.
+    """
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = {"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)}
+    cubes = ["grp", *at]
+    left = scratch.put(points.select("grp", "ord", "lat", "lon", *[F.floor(v * EARTH_M / radius).alias(k) for k, v in at.items()]), "points")
+    whole, found = left, None
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Each row in its own cube and those beside it."""
+        for k in at:
+            rows = rows.withColumn("_d", F.explode(step)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
+        return rows
+
+    near = lambda heads: around(heads.select("grp", *at, F.col("ord").alias("leader"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+    within = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= radius
+    while left.limit(1).count():
+        first = left.groupBy(*cubes).agg(F.min("ord").alias("ord"))
+        least = around(first).groupBy(*cubes).agg(F.min("ord").alias("least"))
+        heads = first.join(least, cubes).filter("ord = least").select(*cubes, "ord").join(left.select("grp", "ord", "lat", "lon"), ["grp", "ord"])
+        heads = scratch.put(heads, "leaders")
+        found = heads if found is None else found.unionByName(heads)
+        settled = left.join(near(heads), cubes).filter(within).select("grp", "ord").distinct()
+        after = scratch.put(left.join(settled, ["grp", "ord"], "left_anti"), "points")
+        if left is not whole:
+            scratch.drop(left)
+        left = after
+    if found is None:
+        return points.select("grp", "ord", F.col("ord").alias("leader"))
+    return whole.join(near(found), cubes).filter(within).groupBy("grp", "ord").agg(F.min("leader").alias("leader"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.columns import EARTH_M, haversine
 from ..functions.sequences import lcs_length, order_share
-from ..operators.graphs import components, grid_join, set_jaccard, walk
+from ..operators.graphs import components, grid_join, leaders, set_jaccard, walk
 from ..sources.feed import Feed
 from ..sources.scratch import Scratch
 
@@ -32,48 +32,67 @@ def route_families(feed: Feed) -> DataFrame:
     return feed.table("routes").select("route_id", F.coalesce(*names, F.trim("route_id")).alias("family")).dropDuplicates(["route_id"])
 
 
-def stop_clusters(feed: Feed, families: DataFrame, radius: float) -> DataFrame:
-    """(cluster_id, name, base_name, lat, lon, platforms, families): stations with their platforms, and stops of one base name near each other.
+#: Places of one base name that one task looks through; more of them are looked through in rounds of joins.
+PLACES = 1000
 
-    Stops of a base name join, in id order, the first cluster whose first stop is within the radius. A base name's
-    stops are one task's: a name is a place's, so a group is small.
-    """
-
-    @F.pandas_udf("string")
-    def base(names: pd.Series) -> pd.Series:
-        return names.map(T.base_name)
 
-    stops = feed.table("stops").select(
-        "stop_id", "stop_name", F.coalesce(F.col("stop_lat").try_cast("double"), F.lit(0.0)).alias("lat"), F.coalesce(F.col("stop_lon").try_cast("double"), F.lit(0.0)).alias("lon"),
-        F.trim(column(feed, "stops", "location_type")).alias("kind"), F.trim(column(feed, "stops", "parent_station")).alias("parent"), "_line",
-    )
-    names = stops.select("stop_name").distinct().withColumn("base_name", base("stop_name"))
-    stops = stops.join(names, "stop_name")
-    stations = stops.filter("kind = '1'").select(F.col("stop_id").alias("parent"), F.col("stop_name").alias("name"), "base_name", "lat", "lon")
-    boarding = stops.filter("kind IN ('', '0')")
-    in_station = boarding.select("stop_id", "parent").join(stations, "parent").select("stop_id", F.concat(F.lit("parent:"), "parent").alias("cluster_id"), "name", "base_name", "lat", "lon")
+def near_leaders(stops: DataFrame, radius: float, scratch: Scratch, places: int = PLACES) -> DataFrame:
+    """(base_name, stop_id, number, leader_id, leader_line) of stops (base_name, stop_id, _line, lat, lon): stops of a base name join, in id order, the first
+    cluster whose first stop is within the radius; clusters are numbered in that order. Stops of one place are one."""
+    order = F.struct("stop_id", "_line")
+    spots = scratch.put(stops.groupBy("base_name", "lat", "lon").agg(F.min(order).alias("ord")), "places")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values(["stop_id", "_line"], ignore_index=True)
         heads: list[int] = []
-        owner = np.zeros(len(pdf), int)
+        of = np.zeros(len(pdf), int)
         lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
         for i in range(len(pdf)):
             h = np.array(heads, int)
             a = np.sin((lat[h] - lat[i]) / 2) ** 2 + np.cos(lat[h]) * np.cos(lat[i]) * np.sin((lon[h] - lon[i]) / 2) ** 2
             near = np.flatnonzero(2 * EARTH_M * np.arcsin(np.sqrt(a)) <= radius)
-            owner[i] = near[0] if len(near) else len(heads)
+            of[i] = h[near[0]] if len(near) else i
             if not len(near):
                 heads.append(i)
-        of = [heads[k] for k in owner]
-        return pd.DataFrame({
-            "stop_id": pdf["stop_id"], "cluster_id": [f"{b}#{k}" for b, k in zip(pdf["base_name"], owner, strict=True)], "name": pdf["stop_name"].to_numpy()[of],
-            "base_name": pdf["base_name"], "lat": pdf["lat"].to_numpy()[of], "lon": pdf["lon"].to_numpy()[of],
-        })
+        return pd.DataFrame({"base_name": pdf["base_name"], "stop_id": pdf["stop_id"], "_line": pdf["_line"], "leader_id": pdf["stop_id"].to_numpy()[of], "leader_line": pdf["_line"].to_numpy()[of]})
+
+    crowded = spots.groupBy("base_name").count().filter(F.col("count") > places).select("base_name")
+    few = spots.join(crowded, "base_name", "left_anti").select("base_name", "lat", "lon", "ord.stop_id", "ord._line")
+    led = few.groupBy("base_name").applyInPandas(gather, "base_name string, stop_id string, _line long, leader_id string, leader_line long")
+    led = led.select("base_name", F.struct("stop_id", "_line").alias("ord"), F.struct(F.col("leader_id").alias("stop_id"), F.col("leader_line").alias("_line")).alias("leader"))
+    if crowded.limit(1).count():
+        many = leaders(spots.join(crowded, "base_name").select(F.col("base_name").alias("grp"), "ord", "lat", "lon"), radius, scratch)
+        led = led.unionByName(many.select(F.col("grp").alias("base_name"), "ord", "leader"))
+    led = scratch.put(led, "led")
+    number = F.row_number().over(Window.partitionBy("base_name").orderBy("leader")) - 1
+    numbered = led.select("base_name", "leader").distinct().withColumn("number", number)
+    of = spots.join(led, ["base_name", "ord"]).join(numbered, ["base_name", "leader"]).select("base_name", "lat", "lon", "number", F.col("leader.stop_id").alias("leader_id"), F.col("leader._line").alias("leader_line"))
+    return stops.select("base_name", "stop_id", "lat", "lon").join(of, ["base_name", "lat", "lon"]).select("base_name", "stop_id", "number", "leader_id", "leader_line")
+
+
+def stop_clusters(feed: Feed, families: DataFrame, radius: float, scratch: Scratch | None = None) -> DataFrame:
+    """(cluster_id, name, base_name, lat, lon, platforms, families): stations with their platforms, and stops of one base name near each other, as ``near_leaders`` gathers them."""
+
+    @F.pandas_udf("string")
+    def base(names: pd.Series) -> pd.Series:
+        return names.map(T.base_name)
+
+    stops = feed.table("stops").select(
+        "stop_id", "stop_name", F.coalesce(F.col("stop_lat").try_cast("double"), F.lit(0.0)).alias("lat"), F.coalesce(F.col("stop_lon").try_cast("double"), F.lit(0.0)).alias("lon"),
+        F.trim(column(feed, "stops", "location_type")).alias("kind"), F.trim(column(feed, "stops", "parent_station")).alias("parent"), "_line",
+    )
+    names = stops.select("stop_name").distinct().withColumn("base_name", base("stop_name"))
+    stops = stops.join(names, "stop_name")
+    stations = stops.filter("kind = '1'").select(F.col("stop_id").alias("parent"), F.col("stop_name").alias("name"), "base_name", "lat", "lon")
+    boarding = stops.filter("kind IN ('', '0')")
+    in_station = boarding.select("stop_id", "parent").join(stations, "parent").select("stop_id", F.concat(F.lit("parent:"), "parent").alias("cluster_id"), "name", "base_name", "lat", "lon")
 
-    alone = boarding.join(in_station.select("stop_id"), "stop_id", "left_anti").groupBy("base_name").applyInPandas(gather, "stop_id string, cluster_id string, name string, base_name string, lat double, lon double")
+    alone = boarding.join(in_station.select("stop_id"), "stop_id", "left_anti")
+    led = near_leaders(alone, radius, scratch or Scratch(feed.spark, "clusters"))
+    head = boarding.select(F.col("stop_id").alias("leader_id"), F.col("_line").alias("leader_line"), F.col("stop_name").alias("name"), "lat", "lon")
+    alone = led.join(head, ["leader_id", "leader_line"]).select("stop_id", F.concat("base_name", F.lit("#"), F.col("number").cast("string")).alias("cluster_id"), "name", "base_name", "lat", "lon")
     serves = feed.table("stop_times").select("stop_id", "trip_id").distinct().join(feed.table("trips").select("trip_id", "route_id"), "trip_id").join(families, "route_id").select("stop_id", "family").distinct()
     platforms = in_station.unionByName(alone)
     served = platforms.select("stop_id", "cluster_id").join(serves, "stop_id").groupBy("cluster_id").agg(F.array_sort(F.collect_set("family")).alias("families"))
@@ -296,7 +315,7 @@ def route_groups(gens: dict[str, DataFrame], c: dict) -> DataFrame:
 
     @F.pandas_udf("string")
     def stem(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: T.stem(n, c["min_stem_len"], c["stem_stopwords"]))
+        return T.stems(names, c["min_stem_len"], c["stem_stopwords"])
 
     rows = [df.select(F.lit(gen).alias("gen"), "family").distinct() for gen, df in gens.items()]
     whole = rows[0].unionByName(rows[1])
@@ -344,7 +363,7 @@ class Identity:
 def side(feed: Feed, types: DataFrame, config: dict, scratch: Scratch) -> Side:
     c = config["identity"]
     families = scratch.put(route_families(feed), "families")
-    clusters = scratch.put(stop_clusters(feed, families, c["stop_clustering"]["intra_generation_radius_m"]), "clusters")
+    clusters = scratch.put(stop_clusters(feed, families, c["stop_clustering"]["intra_generation_radius_m"], scratch), "clusters")
     trips = trip_sequences(feed, families, clusters).join(types.select(F.col("service_id").alias("raw_service"), "day_type"), "raw_service", "left").withColumn("day_type", F.coalesce("day_type", F.lit("irregular")))
     trips = scratch.put(trips, "trips")
     found = scratch.put(patterns(trips), "patterns")

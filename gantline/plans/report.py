@@ -5,13 +5,14 @@ All are DataFrames over what ``compare`` wrote; the writers at the end store the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_order, time_band
 from ..operators import ledger
 from ..operators.diff import top_k
 from ..operators.groups import search, subtotals
+from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from .compare import Comparison, by_route_group
 
@@ -149,7 +150,8 @@ def route_digest(c: Comparison) -> DataFrame:
     """(route_group, events, majors, types): what changed of each route group, the most changed first in ``rank``."""
     grouped = by_route_group(c.events, c.identity.groups).filter("route_group IS NOT NULL")
     told = grouped.groupBy("route_group").agg(F.count("*").alias("events"), F.count(F.when(F.col("severity") == "major", 1)).alias("majors"), F.array_sort(F.collect_set("type")).alias("types"))
-    return told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("majors"), F.desc("events"), "route_group")))
+    placed = global_rank(told, Scratch(told.sparkSession, "digest"), [F.desc("majors"), F.desc("events"), F.col("route_group")])
+    return placed.withColumn("rank", F.col("rank") + 1)
 
 
 def group_events(c: Comparison, group: str) -> DataFrame:

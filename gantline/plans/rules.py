@@ -18,8 +18,9 @@ from ..functions.columns import clock_seconds, haversine, time_band
 from ..functions.events import EVENT_TYPES
 from ..functions.sequences import edits
 from ..operators import groups
+from ..operators.diff import top_k
 from ..sources.feed import Feed
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from . import worlds as W
 from .calendars import DAYS, PERIOD
@@ -75,7 +76,7 @@ class Context:
     def free(self, rows: DataFrame) -> DataFrame:
         """The rows whose rawdiff_id no earlier rule has claimed."""
         claims = self.claims()
-        return rows if claims is None else rows.join(claims.distinct(), "rawdiff_id", "left_anti")
+        return rows if claims is None else rows.join(claims, "rawdiff_id", "left_anti")
 
     def cascade(self, keyed: DataFrame) -> DataFrame:
         """(key, rawdiff_id) of what differs in trips and stop times of rows (key, trip_id)."""
@@ -494,9 +495,11 @@ def fares(ctx: Context, most: int = 20) -> None:
     found = ctx.free(ctx.file("fare_attributes", "fare_rules")).select(F.lit("feed").alias("key"), "rawdiff_id")
     price = lambda feed, n: (feed.table("fare_attributes").select("fare_id", I.column(feed, "fare_attributes", "price").alias(n)) if feed.has("fare_attributes", "fare_id") else feed.spark.createDataFrame([], f"fare_id string, {n} string"))
     both = price(ctx.old, "o").join(price(ctx.new, "n"), "fare_id", "full_outer")
-    listed = lambda cond, **cols: F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("fare_id"), *[F.col(v).alias(k) for k, v in cols.items()])))), 1, most)
     o, n = F.col("o"), F.col("n")
-    lists = both.agg(listed(n.isNull(), price="o").alias("removed_fares"), listed(o.isNull(), price="n").alias("added_fares"), listed(o != n, old_price="o", new_price="n").alias("price_changes"))
+    what = F.when(n.isNull(), "removed_fares").when(o.isNull(), "added_fares").when(o != n, "price_changes")
+    shown = top_k(both.withColumn("what", what).filter("what IS NOT NULL"), ["what"], [F.col("fare_id")], most)  # no more than these leave a task
+    listed = lambda w, **cols: F.array_sort(F.collect_list(F.when(F.col("what") == w, F.struct(F.col("fare_id"), *[F.col(v).alias(k) for k, v in cols.items()]))))
+    lists = shown.agg(listed("removed_fares", price="o").alias("removed_fares"), listed("added_fares", price="n").alias("added_fares"), listed("price_changes", old_price="o", new_price="n").alias("price_changes"))
     size = F.when(F.col("kind").endswith("_bulk"), F.coalesce("old_value", "new_value").cast("long")).otherwise(1)
     rules = ctx.file("fare_rules").agg(F.coalesce(F.sum(size), F.lit(0)).alias("fare_rules_diffs"))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
@@ -519,8 +522,9 @@ def headsigns(ctx: Context, samples: int = 5) -> None:
     family = ctx.trips().groupBy(F.col("trip_id").alias("key0")).agg(F.max_by("family", F.col("gen") == "new").alias("family"))
     rows = ctx.free(ctx.cells("trips", "trip_headsign").unionByName(ctx.cells("stop_times", "stop_headsign"))).join(family, "key0", "left").withColumn("key", F.coalesce("family", F.lit("")))
     text = lambda c: F.coalesce(c, F.lit(""))
-    seen = F.slice(sorted_set(F.struct(text("old_value").alias("o"), text("new_value").alias("n"))), 1, samples)
-    told = rows.groupBy("key").agg(F.count("*").alias("n"), F.transform(seen, lambda s: F.concat(s["o"], F.lit(" → "), s["n"])).alias("samples"))
+    seen = rows.select("key", text("old_value").alias("o"), text("new_value").alias("n")).distinct()
+    first = top_k(seen, ["key"], [F.col("o"), F.col("n")], samples).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("seen"))
+    told = rows.groupBy("key").agg(F.count("*").alias("n")).join(first, "key").select("key", "n", F.transform("seen", lambda s: F.concat(s["o"], F.lit(" → "), s["n"])).alias("samples"))
     subject = F.when(F.col("key") != "", json(route_family=F.col("key"))).otherwise(json(scope="feed"))
     ctx.emit(told.select("key", F.lit("HEADSIGN_CHANGED").alias("type"), subject.alias("subject"), json(changed_fields=F.col("n"), samples=F.col("samples")).alias("quantification")), rows.select("key", "rawdiff_id"))
 
@@ -578,8 +582,8 @@ def run(ctx: Context) -> tuple[DataFrame, DataFrame]:
         evidence = found if evidence is None else evidence.unionByName(found)
     usual = F.create_map(*[F.lit(x) for t, (_, s) in EVENT_TYPES.items() for x in (t, s)])
     category = F.create_map(*[F.lit(x) for t, (k, _) in EVENT_TYPES.items() for x in (t, k)])
-    seq = F.row_number().over(Window.orderBy("step", "ord", "key"))  # events: thousands where differences are millions
-    events = events.withColumn("event_seq", seq).withColumn("event_id", F.format_string("evt_%06d", "event_seq"))
+    events = global_rank(events, ctx.scratch, [F.col("step"), F.col("ord"), F.col("key")], "event_seq").withColumn("event_seq", F.col("event_seq") + 1)
+    events = events.withColumn("event_id", F.format_string("evt_%06d", "event_seq"))
     events = events.withColumn("severity", F.coalesce("severity", F.element_at(usual, F.col("type")))).withColumn("category", F.element_at(category, F.col("type")))
     events = ctx.scratch.put(events, "events")
     claims = evidence.join(events.select("step", "key", "event_seq", "event_id"), ["step", "key"]).select("rawdiff_id", "event_seq", "event_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clock_seconds
 from ..functions.sequences import lcs_length
+from ..operators.diff import rank_zip
 from ..operators.graphs import greedy_assignment
 from ..sources.scratch import Scratch
 
@@ -37,12 +38,12 @@ def profiled(trips: DataFrame, band: Column | None = None) -> DataFrame:
     return trips.withColumn("at", seconds_at(F.col("times"))).withColumn("departure", F.get("at", F.lit(0))).withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE)), 256))
 
 
-def exact_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+def exact_pairs(old: DataFrame, new: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Trips of one signature: those that keep their id first, the rest in the order of ids."""
     a, b = old.select("sig", F.col("trip_id").alias("old_id")), new.select("sig", F.col("trip_id").alias("new_id"))
     same = a.join(b, (a["sig"] == b["sig"]) & (a["old_id"] == b["new_id"])).select(a["sig"], "old_id", "new_id")
-    rest = lambda df, c: df.join(same.select("sig", c), ["sig", c], "left_anti").withColumn("_i", F.row_number().over(Window.partitionBy("sig").orderBy(c)))
-    return same.unionByName(rest(a, "old_id").join(rest(b, "new_id"), ["sig", "_i"]).drop("_i")).select("old_id", "new_id")
+    rest = lambda df, c: df.join(same.select("sig", c), ["sig", c], "left_anti")
+    return same.unionByName(rank_zip(rest(a, "old_id"), rest(b, "new_id"), ["sig"], ["old_id"], ["new_id"], scratch)).select("old_id", "new_id")
 
 
 def candidates(old: DataFrame, new: DataFrame, c: dict) -> DataFrame:
@@ -85,7 +86,7 @@ def match(old: DataFrame, new: DataFrame, block: DataFrame, c: dict, scratch: Sc
     """block is (gen, family, block); trips of a block and day type may be each other's."""
     of = lambda df, gen: df.join(block.filter(F.col("gen") == gen).select("family", "block"), "family", "left").withColumn("block", F.coalesce("block", "family"))
     old, new = scratch.put(profiled(of(old, "old")), "old-trips"), scratch.put(profiled(of(new, "new")), "new-trips")
-    exact = scratch.put(exact_pairs(old, new), "exact")
+    exact = scratch.put(exact_pairs(old, new, scratch), "exact")
     rest = lambda df, c: scratch.put(df.join(exact.select(F.col(c).alias("trip_id")), "trip_id", "left_anti"), "rest")
     left, right = rest(old, "old_id"), rest(new, "new_id")
     modified = scratch.put(greedy_assignment(candidates(left, right, c), scratch, ["cost", "dt"]).select("old_id", "new_id"), "modified")

@@ -1,6 +1,7 @@
 """Feeds of schedule tables: a folder or zip archive of delimited text, every cell a string, a missing one "".
 
-Files are read with Spark's binary source and decoded in tasks, so a feed may be in any store that Spark reads.
+Files are read with Spark's sources and decoded in tasks, so a feed may be in any store that Spark reads. An archive is one task's; the files of a
+folder are split.
 A file is decoded strictly (UTF-8 with or without a byte order mark, then code page 932), short rows are padded
 and rows longer than the header are an error. Tables that no rule knows are loaded as well.
 """
@@ -13,9 +14,10 @@ import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -93,10 +95,8 @@ def members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
                 yield name, z.read(n)
 
 
-def read_feed(spark: SparkSession, path: str, scratch: Scratch, meta: dict[str, str] | None = None) -> Feed:
-    """The feed in a .zip file or a folder of .txt files."""
-    source = spark.read.format("binaryFile")
-    files = source.load(path) if path.endswith(".zip") else source.option("pathGlobFilter", "*.txt").load(path)
+def zipped_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(name, line, cells) of the files in an archive, which can't be split, or of single files that must be read whole."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,7 +111,57 @@ def read_feed(spark: SparkSession, path: str, scratch: Scratch, meta: dict[str,
                     if block:
                         yield pd.DataFrame(block, columns=["name", "line", "cells"])
 
-    rows = scratch.put(files.select("path", "content").mapInPandas(explode, "name string, line long, cells array<string>"), "feed", by="name")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(explode, "name string, line long, cells array<string>")
+
+
+def folder_rows(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """(name, line, cells) of the .txt files in a folder, each read in splits: a line is a row but in files with a quotation mark that stays open at a line's end, which are
+    read whole. A file's encoding is that of all its lines."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = [f for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isFile() and f.getPath().getName().endswith(".txt")]
+    if empty := [f.getPath().getName() for f in listed if not f.getLen()]:
+        raise FeedError(f"a file has no header: {', '.join(empty)}")
+    if not listed:
+        raise FeedError(f"there are no .txt files in {path}")
+    text = spark.read.option("pathGlobFilter", "*.txt").text(path)
+    told = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    quotes = F.length(F.col("value").cast("binary")) - F.length(F.replace("value", F.lit('"'), F.lit("")).cast("binary"))
+    lines = scratch.put(told.withColumn("open", quotes % 2 == 1).withColumn("utf8", F.is_valid_utf8("value")).withColumn("value", F.col("value").cast("binary")), "lines")
+    # Rows of a split are in order; those of earlier splits of the file come before them.
+    splits = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("rows"), F.max("open").alias("open"), F.min("utf8").alias("utf8"))
+    whole = Window.partitionBy("path")
+    before = F.sum("rows").over(whole.orderBy("start")) - F.col("rows")
+    splits = scratch.put(splits.select("path", "start", (before - F.col("first")).alias("shift"), F.max("open").over(whole).alias("whole"), F.min("utf8").over(whole).alias("one")), "splits")
+    numbered = lines.join(splits.filter("NOT whole"), ["path", "start"]).select("path", (F.col("at") + F.col("shift")).alias("line"), "value", "one")
+    heads = {r["path"]: next(rows_of(bytes(r["value"]))) for r in numbered.filter("line = 0").collect()}  # a row for each file
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (p, utf8), part in batch.groupby(["path", "one"]):
+                header, encoding = heads[p], ENCODINGS[0 if utf8 else 1]
+                try:
+                    decoded = [codecs.decode(bytes(v), encoding if n == 0 else encoding.removesuffix("-sig")) for n, v in zip(part["line"], part["value"], strict=True)]
+                except UnicodeDecodeError as e:
+                    raise FeedError(f"a file is in none of the encodings {', '.join(ENCODINGS)}") from e
+                out = []
+                for n, row in zip(part["line"], csv.reader(decoded), strict=True):
+                    if n and len(row) > len(header):
+                        raise FeedError(f"a row has {len(row)} fields and its header {len(header)}")
+                    if row:
+                        out.append((unquote(p).rsplit("/", 1)[-1].removesuffix(".txt"), n, row + [""] * (len(header) - len(row)) if n else header))
+                yield pd.DataFrame(out, columns=["name", "line", "cells"])
+
+    rows = numbered.mapInPandas(cells, "name string, line long, cells array<string>")
+    open_lines = {unquote(r["path"]).rsplit("/", 1)[-1] for r in splits.filter("whole").select("path").distinct().collect()}  # a row for each such file
+    for f in listed:
+        if f.getPath().getName() in open_lines:
+            rows = rows.unionByName(zipped_rows(spark, f.getPath().toString()))
+    return rows
+
+
+def read_feed(spark: SparkSession, path: str, scratch: Scratch, meta: dict[str, str] | None = None) -> Feed:
+    """The feed in a .zip file or a folder of .txt files."""
+    rows = scratch.put(zipped_rows(spark, path) if path.endswith(".zip") else folder_rows(spark, path, scratch), "feed", by="name")
     tables = {}
     for header in rows.filter("line = 0").collect():  # a row for each file
         cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(header["cells"])]

@@ -29,7 +29,11 @@ def in_folder(spark: SparkSession, folder: str) -> dict[str, str]:
 
 
 def pair(known: dict[str, str], old: str = "prev_1", new: str = "current") -> tuple[str, str]:
-    """The paths of an older and a newer generation."""
+    """The paths of an older and a newer generation. Where one isn't there and no others were asked for, those are the two newest."""
+    if (old, new) == ("prev_1", "current") and not {old, new} <= set(known):
+        named = [n for n in known if recency(n) < OLDEST]
+        if len(named) >= 2:
+            new, old = named[:2]
     if missing := [n for n in (old, new) if n not in known]:
         raise FeedError(f"there is no generation {' nor '.join(missing)}; there are {', '.join(known) or 'none'}")
     if recency(old) <= recency(new):

@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def test_names():
     assert [text.base_name(x) for x in ("駅前 1番線", "市役所のりば A", "Hall B", "A", " 港２ ")] == ["駅前", "市役所", "Hall", "A", "港"]
     assert text.stem("10 港線", 2, ["線"]) == "港線" and text.stem("10線", 2, ["線"]) == "10線" and text.stem("１２ Harbour", 2, []) == "12 Harbour"
     assert sorted(["r10", "r9", "a"], key=text.natural_key) == ["a", "r9", "r10"]
+    assert sorted(["105", "10", "2", "００1", "1", "上31", "上9", "上", "x1b", "x1a", "x01a"], key=text.natural_key) == ["1", "００1", "2", "10", "105", "x01a", "x1a", "x1b", "上", "上9", "上31"]
 
 
 def test_sequences():
@@ -146,3 +148,45 @@ def test_figures_of_groups(spark):
     assert found[0] == 3 and abs(found[1] - 3.5**0.5) < 1e-12
     assert tuple(spark.createDataFrame([([],)], "a array<int>").select(*groups.mean_and_spread(F.col("a"))).first()) == (None, None)
     assert [tuple(r) for r in groups.search(df, [F.col("g") == 0], [F.col("v"), F.col("g")], 2).select("matched", "total").collect()] == [(got[0][0], len(data))] * min(2, got[0][0])
+
+
+def test_leaders_are_those_of_a_walk(spark):
+    from gantline.functions.columns import EARTH_M
+
+    rng = random.Random(11)
+    spots = [(g, f"s{k:05d}", base + rng.random() * spread, lon + rng.random() * spread) for g, base, lon, spread, n in (("town", 35.0, 139.0, 0.02, 600), ("dense", 60.0, 179.999, 0.001, 300), ("", 0.0, 0.0, 0.003, 200), ("pole", 89.9995, 10.0, 0.0005, 40), ("one", 1.0, 1.0, 0, 1)) for k in range(n)]
+    rng.shuffle(spots)
+    got = {(r["grp"], r["ord"]): r["leader"] for r in graphs.leaders(spark.createDataFrame(spots, "grp string, ord string, lat double, lon double"), 100.0, Scratch(spark, "t")).collect()}
+
+    def metres(a, b):
+        (y1, x1), (y2, x2) = ((math.radians(v) for v in p) for p in (a, b))
+        return 2 * EARTH_M * math.asin(math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2))
+
+    want = {}
+    for g in {s[0] for s in spots}:
+        heads = []
+        for _, k, lat, lon in sorted(s for s in spots if s[0] == g):
+            near = [h for h, at in heads if metres(at, (lat, lon)) <= 100]
+            if not near:
+                heads.append((k, (lat, lon)))
+            want[g, k] = near[0] if near else k
+    assert got == want and 1 < len(set(want.values())) < len(want) / 2
+    assert graphs.leaders(spark.createDataFrame([], "grp string, ord string, lat double, lon double"), 100.0, Scratch(spark, "t")).count() == 0
+
+
+def test_stop_clusters_by_tasks_and_by_rounds(spark):
+    from gantline.plans.identity import near_leaders
+
+    rng = random.Random(3)
+    stops = [(rng.choice(["Park", "Hall", ""]), f"s{i}", i, round(35 + rng.random() * 0.01, 4), round(139 + rng.random() * 0.01, 4)) for i in range(500)]
+    stops += [("", f"zero{i}", 1000 + i, 0.0, 0.0) for i in range(300)]  # stops without a place
+    df = spark.createDataFrame(stops, "base_name string, stop_id string, _line long, lat double, lon double")
+    one, many = (rows(near_leaders(df, 100.0, Scratch(spark, "t"), places), "base_name", "stop_id", "number", "leader_id") for places in (1000, 10))
+    assert one == many and len(one) == len(stops) and len({(b, n) for b, _, n, _ in one}) > 100
+
+
+def test_ranks_of_large_groups(spark):
+    left = spark.createDataFrame([(g, i) for g in "ab" for i in range(300)], "g string, x int").repartition(5)
+    right = spark.createDataFrame([(g, 2 * i) for g in "ab" for i in range(250)], "g string, y int").repartition(3)
+    few, split = (rows(diff.rank_zip(left, right, ["g"], ["x"], ["y"], s, 100), "g", "x", "y") for s in (None, Scratch(spark, "t")))
+    assert few == split == sorted(((g, i, 2 * i) for g in "ab" for i in range(250)), key=str)
