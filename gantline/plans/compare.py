@@ -24,6 +24,8 @@ class Comparison:
     delta: trips.TripDelta
     types: dict[str, DataFrame]
     config: dict
+    worlds: dict[str, DataFrame] | None = None
+    dates: dict[str, DataFrame] | None = None
 
     def explained(self) -> DataFrame:
         """(total, explained, ratio); the residual's claims explain nothing."""
@@ -53,7 +55,7 @@ def compare(old: Feed, new: Feed, config: dict | None = None, scratch: Scratch |
     events, claims = rules.run(ctx)
     if unknown := ledger.unknown(diffs, claims).limit(1).count():
         raise AssertionError(f"{unknown} claims are on differences that don't exist")
-    return Comparison(diffs, events, claims, found, delta, types, config)
+    return Comparison(diffs, events, claims, found, delta, types, config, of if several else None, dates)
 
 
 def by_route_group(events: DataFrame, groups: DataFrame) -> DataFrame:

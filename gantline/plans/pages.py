@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.axis import is_within, stop_axis
 from ..functions.sequences import order_share
 from ..operators.graphs import components, similar_sets
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from .compare import Comparison
 from .sheets import timetables
@@ -267,3 +267,8 @@ def page_timetables(c: Comparison, found: Systems, groups: DataFrame, labels: Da
     told = whole.join(of("old"), ["page", "old_id"], "left").join(of("new"), ["page", "new_id"], "left")
     rows = told.select("page", F.coalesce("new_dgroup", "old_dgroup").alias("dgroup"), F.coalesce("new_leg", "old_leg").alias("leg"), "label", "old_id", "new_id", "old_seq", "new_seq", "old_times", "new_times")
     return timetables(rows.filter(F.col("dgroup").isNotNull()), [*LEG, "label"], c.config["presentation"]["sheet_max_gap_per_trip"])
+
+
+def ranked(listed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(page, rank, state) in the order of state and key, from rows (page, state, key)."""
+    return global_rank(listed, scratch, [F.col("state"), F.col("key"), F.col("page")]).select("page", (F.col("rank") + 1).alias("rank"), "state")

@@ -22,25 +22,26 @@ def trip_pairs(c: Comparison) -> DataFrame:
     return c.delta.pairs.select("old_id", "new_id").join(old, "old_id").join(new, "new_id").join(groups, "family", "left").withColumn("group", F.coalesce("group", "family"))
 
 
-def trip_labels(c: Comparison, minor_min: int = 5) -> DataFrame:
-    """(group, direction, day_type, old_id, new_id, label): one label for each trip of either generation.
-
-    Other stops count before other times; times are compared as minutes, and a time that only one has is no minor change.
-    Distinct pairs of sequences are compared once.
-    """
+def pair_labels(pairs: DataFrame, minor_min: int = 5) -> DataFrame:
+    """Rows with old_seq, new_seq, old_at and new_at, and the label of each: other stops count before other times; times are compared as minutes, and a time that only one has is
+    no minor change. Distinct pairs of sequences are compared once."""
 
     @F.pandas_udf("string")
     def rerouted(a: pd.Series, b: pd.Series) -> pd.Series:
         kinds = ({k for k, _, _ in edits(list(x), list(y))} for x, y in zip(a, b, strict=True))
         return pd.Series(["shortened" if k == {"PATTERN_TRUNCATED"} else "extended" if k == {"PATTERN_EXTENDED"} else "rerouted" for k in kinds])
 
-    pairs = trip_pairs(c)
     other = pairs.filter("old_seq <> new_seq").select("old_seq", "new_seq").distinct().withColumn("other", rerouted("old_seq", "new_seq"))
     minute = lambda x: F.floor(x / 60)
     apart = F.transform(F.arrays_zip("old_at", "new_at"), lambda t: F.when(t["old_at"].isNull() & t["new_at"].isNull(), 0).when(t["old_at"].isNull() | t["new_at"].isNull(), 1 << 30).otherwise(F.abs(minute(t["old_at"]) - minute(t["new_at"]))))
     most = F.coalesce(F.array_max(apart), F.lit(0))
     retimed = F.when(most == 0, "unchanged").when(most <= minor_min, "retimed_minor").otherwise("retimed")
-    told = pairs.join(other, ["old_seq", "new_seq"], "left").select("group", "direction", "day_type", "old_id", "new_id", F.coalesce("other", retimed).alias("label"))
+    return pairs.join(other, ["old_seq", "new_seq"], "left").withColumn("label", F.coalesce("other", retimed)).drop("other")
+
+
+def trip_labels(c: Comparison, minor_min: int = 5) -> DataFrame:
+    """(group, direction, day_type, old_id, new_id, label): one label for each trip of either generation."""
+    told = pair_labels(trip_pairs(c), minor_min).select("group", "direction", "day_type", "old_id", "new_id", "label")
     for gen, rows, label in (("old", c.delta.removed, "removed"), ("new", c.delta.added, "added")):
         groups = c.identity.groups.filter(F.col("gen") == gen).select("family", "group")
         ids = [F.col("trip_id").alias(f"{gen}_id"), F.lit(None).cast("string").alias("new_id" if gen == "old" else "old_id")]

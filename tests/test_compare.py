@@ -142,3 +142,20 @@ def test_pages_of_a_comparison(result, spark):
 
 def rows_of(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def test_the_whole_presentation(result, spark, tmp_path):
+    from gantline.plans import presentation
+
+    shown = presentation.build(result, Scratch(spark, "shown"))
+    assert [(r["page"], r["state"]) for r in shown.contents.orderBy("rank").collect()] == [("30", 0), ("40", 0), ("10", 1), ("20", 1)]
+    levels = {(r["page"], r["level"], r["kind"], r["subject"], r["lost"], r["gained"]) for r in shown.levels.collect()}
+    assert {x for x in levels if x[1] == 1} == {("30", 1, "removed", None, 1, 0), ("40", 1, "added", None, 0, 1)} and not {x for x in levels if x[0] in ("30", "40") and x[1] > 1}
+    assert ("10", 4, "trips", "weekday", 1, 0) in levels and ("10", 5, "retimed", None, 1, 1) in levels
+    (unit,) = [r for r in shown.units.collect()]
+    assert (unit["page"], len(unit["added_stops"]), unit["removed_stops"], unit["affected_trips"], unit["coverage"], unit["full_coverage"]) == ("20", 1, [], 3, 1.0, True)
+    heads = rows_of(shown.headlines, "page", "rank", "kind", "lost", "gained")
+    assert ("20", 1, "reroute", 3, 3) in heads and ("10", 1, "trips", 4, 3) in heads and ("30", 1, "route_removed", 1, 0) in heads
+    assert shown.unlike_totals.count() == 0 and shown.cells is None
+    presentation.write(shown, f"file://{tmp_path}/shown")
+    assert spark.read.json(f"file://{tmp_path}/shown/timetables").count() == shown.timetables.count() == 4 + 3 + 1 + 1

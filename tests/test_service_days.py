@@ -93,10 +93,10 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_ties_go_by_the_order_of_stops_then_names(spark):
-    edges = spark.createDataFrame([("a1", "x1", 0.8, "c"), ("a1", "x2", 0.8, "c"), ("a1", "x3", 0.7, "c"), ("b1", "y1", 0.6, "c"), ("b1", "b2", 0.6, "c"), ("c1", "zx", 0.9, "c"), ("c1", "zy", 0.9, "c"), ("d1", "zx", 0.9, "c")], "old_id string, new_id string, confidence double, method string")
+    edges = spark.createDataFrame([("a1", "x1", 0.8, "c"), ("a1", "x2", 0.8, "c"), ("a1", "x3", 0.7, "c"), ("b1", "y1", 0.6, "c"), ("b1", "b2", 0.6, "c"), ("c1", "zx", 0.9, "c"), ("c1", "zy", 0.9, "c"), ("d1", "zx", 0.9, "c"), ("d1", "zy", 0.9, "c")], "old_id string, new_id string, confidence double, method string")
     seqs = lambda **s: spark.createDataFrame(list(s.items()), "family string, seq array<string>")
     old = seqs(a1=["p", "q", "r"], b1=["s"], c1=["t", "u"], d1=["t", "u"])
     new = seqs(x1=["r", "q", "p"], x2=["p", "q", "r"], x3=["p", "q", "r"], y1=["s"], zx=["t", "u"], zy=["t", "u"])
     got = {r["old_id"]: r["new_id"] for r in identity.tied_first(edges, old, new).collect()}
-    # Against the order of stops; by name, as one shared stop tells no order; the new family that no other wants.
-    assert got == {"a1": "x2", "b1": "b2", "c1": "zy", "d1": "zx"}
+    # Against the order of stops; by name, as one shared stop tells no order; the smaller id, and for the next old family the one that is left.
+    assert got == {"a1": "x2", "b1": "b2", "c1": "zx", "d1": "zy"}
