@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,13 +40,18 @@ class Comparison:
 def compare(old: Feed, new: Feed, config: dict | None = None, scratch: Scratch | None = None) -> Comparison:
     config = config or load()
     scratch = scratch or Scratch(old.spark, "compare")
-    diffs = enumerate_diffs(old, new, scratch, config["diff0"]["bulk_row_threshold"])
-    types = {g: scratch.put(calendars.day_types(f, config), f"{g}-day-types") for g, f in (("old", old), ("new", new))}
-    found = identity.build(old, new, types["old"], types["new"], config, scratch)
-    feeds, sides = {"old": old, "new": new}, {"old": found.old.trips, "new": found.new.trips}
-    blocks = scratch.put(identity.blocks(found, scratch), "blocks")
-    dates = {g: scratch.put(calendars.service_dates(f, types[g]), f"{g}-dates") for g, f in feeds.items()}
-    of = {g: worlds.day_worlds(types[g], dates[g], scratch) for g in types}
+    feeds = {"old": old, "new": new}
+    by_feed = lambda f: dict(zip(feeds, scratch.together(*[functools.partial(f, g) for g in feeds]), strict=True))
+
+    def matched() -> tuple[dict[str, DataFrame], identity.Identity, DataFrame]:
+        types = by_feed(lambda g: scratch.put(calendars.day_types(feeds[g], config), f"{g}-day-types"))
+        found = identity.build(old, new, types["old"], types["new"], config, scratch)
+        return types, found, scratch.put(identity.blocks(found, scratch), "blocks")
+
+    diffs, (types, found, blocks) = scratch.together(lambda: enumerate_diffs(old, new, scratch, config["diff0"]["bulk_row_threshold"]), matched)
+    sides = {"old": found.old.trips, "new": found.new.trips}
+    dates = by_feed(lambda g: scratch.put(calendars.service_dates(feeds[g], types[g]), f"{g}-dates"))
+    of = by_feed(lambda g: worlds.day_worlds(types[g], dates[g], scratch))
     several = any(of[g].filter("n_worlds > 1").limit(1).count() for g in of)
     left = scope.switch(feeds, sides, of, dates, scratch) if several else None
     left = left or scope.window(feeds, sides, blocks, types, config["events"]["windows"]["carryover_coverage_min"], scratch)

@@ -55,9 +55,9 @@ def table_diff(name: str, old: Feed, new: Feed, bulk: int, scratch: Scratch) ->
 
 def enumerate_diffs(old: Feed, new: Feed, scratch: Scratch, bulk: int = 0) -> DataFrame:
     """(rawdiff_id, seq, file, kind, key, column, old_value, new_value) of everything that differs."""
-    parts = []
-    for name in sorted(old.tables.keys() | new.tables.keys()):
-        for part in table_diff(name, old, new, bulk, scratch):
+    parts, names = [], sorted(old.tables.keys() | new.tables.keys())
+    for name, found in zip(names, scratch.together(*[functools.partial(table_diff, n, old, new, bulk, scratch) for n in names]), strict=True):
+        for part in found:
             parts.append(part.select(F.lit(f"{name}.txt").alias("file"), *[p.split(" ")[0] for p in diff.SCHEMA.split(", ")]))
     whole = scratch.put(functools.reduce(DataFrame.unionByName, parts), "differences")
     ranked = global_rank(whole, scratch, [F.col(c) for c in ("file", "phase", "sort", "column")], "seq")

@@ -372,9 +372,10 @@ def side(feed: Feed, types: DataFrame, config: dict, scratch: Scratch) -> Side:
 
 def build(old_feed: Feed, new_feed: Feed, old_types: DataFrame, new_types: DataFrame, config: dict, scratch: Scratch) -> Identity:
     c = config["identity"]
-    old, new = side(old_feed, old_types, config, scratch), side(new_feed, new_types, config, scratch)
-    stop_edges = scratch.put(link_stops(old.clusters, new.clusters, c["stop_clustering"]), "stop-edges")
-    groups = scratch.put(route_groups({"old": old.families, "new": new.families}, c["route_group"]), "groups")
+    old, new = scratch.together(lambda: side(old_feed, old_types, config, scratch), lambda: side(new_feed, new_types, config, scratch))
+    stop_edges, groups = scratch.together(
+        lambda: scratch.put(link_stops(old.clusters, new.clusters, c["stop_clustering"]), "stop-edges"), lambda: scratch.put(route_groups({"old": old.families, "new": new.families}, c["route_group"]), "groups")
+    )
     translation = stop_translation(old.clusters, new.clusters, stop_edges, c["route_family"]["stop_link_min"])
     edges = scratch.put(link_families(old.families, new.families, family_stops(old.patterns), family_stops(new.patterns), translation, c["route_family"]), "family-edges")
     found, edges = family_components(edges, groups, c["route_family"]["max_component_groups"], scratch, longest_sequence(old.patterns), longest_sequence(new.patterns))

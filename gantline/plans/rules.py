@@ -7,6 +7,7 @@ claims so far. Each rule's tables are written before the next rule reads them.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -30,6 +31,8 @@ from .trips import TripDelta
 EVENT = "key string, ord array<string>, type string, subject string, old_ref string, new_ref string, quantification string, confidence double, severity string"
 TIMES = ["arrival_time", "departure_time"]
 CELL = W.CELL
+#: Claims are entered into one ledger after so many steps, so that a rule reads that and the few tables since.
+ENTER_EVERY = 6
 
 
 def no_json() -> Column:
@@ -59,6 +62,8 @@ class Context:
     scope: Scope | None = None
     left_out: DataFrame | None = None
     steps: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
+    taken: DataFrame | None = None
+    entered: int = 0
 
     def file(self, *names: str) -> DataFrame:
         return self.diffs.filter(F.col("file").isin(*[f"{n}.txt" for n in names])).withColumn("key0", F.get("key", F.lit(0)))
@@ -67,11 +72,10 @@ class Context:
         return self.file(table).filter((F.col("kind") == "field_changed") & F.col("column").isin(*columns))
 
     def claims(self) -> DataFrame | None:
-        out = None
-        for _, evidence in self.steps:
-            rows = evidence.select("rawdiff_id")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        """(rawdiff_id) of all that is claimed so far: the ledger, and what the last rules have added to it."""
+        rows = [found.select("rawdiff_id") for _, found in self.steps[self.entered :]]
+        rows = [self.taken, *rows] if self.taken is not None else rows
+        return functools.reduce(DataFrame.unionByName, rows) if rows else None
 
     def free(self, rows: DataFrame) -> DataFrame:
         """The rows whose rawdiff_id no earlier rule has claimed."""
@@ -88,7 +92,10 @@ class Context:
             if n not in events.columns:
                 events = events.withColumn(n, F.lit(1.0) if n == "confidence" else F.array("key") if n == "ord" else no_json())
         step = len(self.steps)
-        self.steps.append((self.scratch.put(events.select(*names), f"events-{step}"), self.scratch.put(evidence.select("key", "rawdiff_id").distinct(), f"evidence-{step}")))
+        told, found = self.scratch.together(lambda: self.scratch.put(events.select(*names), f"events-{step}"), lambda: self.scratch.put(evidence.select("key", "rawdiff_id").distinct(), f"evidence-{step}"))
+        self.steps.append((told, found))
+        if len(self.steps) - self.entered >= ENTER_EVERY:
+            self.taken, self.entered = self.scratch.put(self.claims().distinct(), "taken"), len(self.steps)
 
     def trips(self) -> DataFrame:
         return self.delta.old.select("trip_id", *CELL).withColumn("gen", F.lit("old")).unionByName(self.delta.new.select("trip_id", *CELL).withColumn("gen", F.lit("new")))

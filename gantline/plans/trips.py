@@ -85,11 +85,11 @@ def candidates(old: DataFrame, new: DataFrame, c: dict) -> DataFrame:
 def match(old: DataFrame, new: DataFrame, block: DataFrame, c: dict, scratch: Scratch) -> TripDelta:
     """block is (gen, family, block); trips of a block and day type may be each other's."""
     of = lambda df, gen: df.join(block.filter(F.col("gen") == gen).select("family", "block"), "family", "left").withColumn("block", F.coalesce("block", "family"))
-    old, new = scratch.put(profiled(of(old, "old")), "old-trips"), scratch.put(profiled(of(new, "new")), "new-trips")
+    old, new = scratch.together(lambda: scratch.put(profiled(of(old, "old")), "old-trips"), lambda: scratch.put(profiled(of(new, "new")), "new-trips"))
     exact = scratch.put(exact_pairs(old, new, scratch), "exact")
     rest = lambda df, c: scratch.put(df.join(exact.select(F.col(c).alias("trip_id")), "trip_id", "left_anti"), "rest")
-    left, right = rest(old, "old_id"), rest(new, "new_id")
+    left, right = scratch.together(lambda: rest(old, "old_id"), lambda: rest(new, "new_id"))
     modified = scratch.put(greedy_assignment(candidates(left, right, c), scratch, ["cost", "dt"]).select("old_id", "new_id"), "modified")
     pairs = exact.withColumn("relation", F.lit("exact")).unionByName(modified.withColumn("relation", F.lit("modified")))
     gone = lambda df, c: scratch.put(df.join(modified.select(F.col(c).alias("trip_id")), "trip_id", "left_anti"), "alone")
-    return TripDelta(old, new, scratch.put(pairs, "pairs"), gone(left, "old_id"), gone(right, "new_id"))
+    return TripDelta(old, new, *scratch.together(lambda: scratch.put(pairs, "pairs"), lambda: gone(left, "old_id"), lambda: gone(right, "new_id")))

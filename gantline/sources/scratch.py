@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
@@ -29,18 +36,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.numbers = itertools.count(1)  # tables may be written by several threads
 
     def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``by`` names a column that gets a folder for each value."""
-        self.n += 1
-        path = f"{self.at}/{self.n:03d}-{name}"
+        path = f"{self.at}/{next(self.numbers):03d}-{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def together(self, *calls: Callable[[], T]) -> list[T]:
+        """What calls give that don't depend on each other: their jobs run side by side and share the executors. The first failure is raised once all have ended."""
+        inherit = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(len(calls)) as pool:
+            return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

@@ -319,3 +319,33 @@ def test_timetables_on_axes(spark):
     assert all(r["axis"] == list("ABXC") for r in got[:4]) and got[4]["axis"] == []
     assert by["o1", "n1"]["new_times"] == ["08:00:00", "08:12:00", None, "08:20:00"] and by["o1", "n1"]["changed"] == [1]
     assert by["n2", None]["old_times"] == ["08:20:00", "", None, ""] and by["n2", None]["new_times"] is None and by[None, "n2"]["changed"] == []
+
+
+def test_trips_of_several_worlds_are_shown_by_cells(spark):
+    from types import SimpleNamespace
+
+    from gantline.plans.presentation import shown_as
+
+    def trips(*rows):
+        data = [(t, "f", "0", "weekday", s, list("AB"), at) for t, s, at in rows]
+        return spark.createDataFrame(data, "trip_id string, family string, direction string, day_type string, service_id string, base_seq array<string>, times string")
+
+    def worlds(**of):
+        return spark.createDataFrame([(s, "weekday", w, len(set(of.values()))) for s, w in of.items()], "service_id string, day_type string, world string, n_worlds int")
+
+    dates = lambda **of: spark.createDataFrame([(s, d) for s, days in of.items() for d in days], "service_id string, day string")
+    c = SimpleNamespace(
+        delta=SimpleNamespace(
+            old=trips(("a1", "s1", "08:00"), ("a2", "s1", "09:00"), ("b1", "s2", "08:00"), ("b2", "s2", "09:00")), new=trips(("a1", "n1", "08:00"), ("a2", "n1", "09:00"), ("c1", "n2", "10:00")),
+            pairs=spark.createDataFrame([("a1", "a1", "exact"), ("b2", "a2", "exact")], "old_id string, new_id string, relation string"),
+        ),
+        worlds={"old": worlds(s1="weekday#1", s2="weekday#2"), "new": worlds(n1="weekday#1", n2="weekday#2")},
+        dates={"old": dates(s1=["01", "02"], s2=["10"]), "new": dates(n1=["01", "02"], n2=["20"])},
+    )
+    of = spark.createDataFrame([("old", "f", "p"), ("new", "f", "p")], "gen string, family string, page string")
+    found, shown = shown_as(c, of, Scratch(spark, "t"))
+    assert rows(found.cells, "label", "signal", "old_dates", "new_dates") == [("weekday@1", "content", ["01", "02", "10"], ["01", "02"]), ("weekday@2", "new_only", [], ["20"])]
+    assert rows(shown, "gen", "trip_id", "shown_id", "label") == [
+        ("new", "a1", "a1", "weekday@1"), ("new", "a2", "a2", "weekday@1"), ("new", "c1", "c1", "weekday@2"),
+        ("old", "a1", "a1", "weekday@1"), ("old", "a2", "a2", "weekday@1"), ("old", "b1", "a1", "weekday@1"), ("old", "b2", "a2", "weekday@1"),
+    ]
