@@ -54,37 +54,42 @@ def greedy_assignment(candidates: DataFrame, scratch: Scratch, order: list[str])
     return out
 
 
+#: Meetings of an item of a set, on average, up to which all are counted.
+FEW_MEETINGS = 16
+
+
 def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "new", scratch: Scratch | None = None, counted: bool | None = None) -> DataFrame:
     """(a, b, both, jaccard) of sets of two sides, from rows (side, name, item), with a similarity of at least ``least`` over 0.
 
     Items stand rarest first. Of sets that similar the first n - ceil(least * n) + 1 items share one. Either all shared items are
     counted, in one equi-join by item; or only those first items meet and each pair that meets is compared as a whole. Both give the same
     pairs. What they cost is summed up over items beforehand: with a low threshold nearly all items are first ones, and comparing pairs again is waste,
-    while with a high one the common items never meet. ``counted`` takes one of the ways without asking.
+    while with a high one the common items never meet. Where all items together meet few others, they are counted without more ado; ``counted`` takes one of the ways without asking.
     """
-    scratch = scratch or Scratch(sets.sparkSession, "jaccard")
-    rows = sets.select("side", "name", "item").distinct()
-    common = rows.groupBy("item").agg(F.count("*").alias("sets"))
-    place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
-    size = F.count("*").over(Window.partitionBy("side", "name"))
-    placed = rows.join(common, "item").withColumn("place", place).withColumn("size", size)
-    placed = scratch.put(placed.select("side", "name", "item", "size", (F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).alias("early")), "sets")
-    if counted is None:
-        of = lambda side, which=F.lit(True): F.sum(((F.col("side") == side) & which).cast("double"))
-        by_item = placed.groupBy("item").agg(of(left).alias("l"), of(right).alias("r"), of(left, F.col("early")).alias("el"), of(right, F.col("early")).alias("er"))
-        whole, met, items = by_item.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("el") * F.col("er")), F.sum(F.col("l") + F.col("r"))).first()
-        names = placed.select("side", "name").distinct().count()
-        counted = not names or (whole or 0) <= (met or 0) * (1 + items / names)
+    rows = (scratch or Scratch(sets.sparkSession, "jaccard")).put(sets.select("side", "name", "item").distinct(), "sets")
     half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), *more)
-    alike = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
-    sides = lambda df: half(df, left, "a", "item", F.col("size").alias("n_a")).join(half(df, right, "b", "item", F.col("size").alias("n_b")), "item").filter(alike)
+    sizes = rows.groupBy("side", "name").agg(F.count("*").alias("size"))
+    common = rows.groupBy("item").agg(F.count("*").alias("sets"), F.sum((F.col("side") == left).cast("double")).alias("l"), F.sum((F.col("side") == right).cast("double")).alias("r"))
+    if counted is None:
+        whole, items = common.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r"))).first()
+        counted = not items or whole <= FEW_MEETINGS * items or None
+    if not counted:
+        place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
+        placed = rows.join(common.select("item", "sets"), "item").join(sizes, ["side", "name"]).withColumn("place", place)
+        early = placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("side", "name", "item", "size")
+        if counted is None:
+            of = lambda side: F.sum((F.col("side") == side).cast("double"))
+            met = early.groupBy("item").agg((of(left) * of(right)).alias("met")).agg(F.sum("met")).first()[0]
+            counted = whole <= met * (1 + items / sizes.count())
     if counted:
-        both = sides(placed).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+        both = half(rows, left, "a", "item").join(half(rows, right, "b", "item"), "item").groupBy("a", "b").agg(F.count("*").alias("both"))
+        both = both.join(half(sizes, left, "a", F.col("size").alias("n_a")), "a").join(half(sizes, right, "b", F.col("size").alias("n_b")), "b")
     else:
-        met = sides(placed.filter("early")).select("a", "b", "n_a", "n_b").distinct()
-        whole = placed.groupBy("side", "name").agg(F.collect_list("item").alias("items"))
+        sides = half(early, left, "a", "item", F.col("size").alias("n_a")).join(half(early, right, "b", "item", F.col("size").alias("n_b")), "item")
+        met = sides.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b", "n_a", "n_b").distinct()
+        whole = rows.groupBy("side", "name").agg(F.collect_list("item").alias("items"))
         both = met.join(half(whole, left, "a", F.col("items").alias("_a")), "a").join(half(whole, right, "b", F.col("items").alias("_b")), "b")
-        both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both"))
+        both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both")).filter("both > 0")
     jaccard = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     return both.select("a", "b", "both", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
 
