@@ -66,27 +66,25 @@ def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "
     pairs. What they cost is summed up over items beforehand: with a low threshold nearly all items are first ones, and comparing pairs again is waste,
     while with a high one the common items never meet. Where all items together meet few others, they are counted without more ado; ``counted`` takes one of the ways without asking.
     """
-    rows = (scratch or Scratch(sets.sparkSession, "jaccard")).put(sets.select("side", "name", "item").distinct(), "sets")
+    rows = (scratch or Scratch(sets.sparkSession, "jaccard")).put(sets.select("side", "name", "item").distinct().withColumn("size", F.count("*").over(Window.partitionBy("side", "name"))), "sets")
     half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), *more)
-    sizes = rows.groupBy("side", "name").agg(F.count("*").alias("size"))
+    sides = lambda df: half(df, left, "a", "item", F.col("size").alias("n_a")).join(half(df, right, "b", "item", F.col("size").alias("n_b")), "item").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     common = rows.groupBy("item").agg(F.count("*").alias("sets"), F.sum((F.col("side") == left).cast("double")).alias("l"), F.sum((F.col("side") == right).cast("double")).alias("r"))
     if counted is None:
         whole, items = common.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r"))).first()
         counted = not items or whole <= FEW_MEETINGS * items or None
     if not counted:
         place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
-        placed = rows.join(common.select("item", "sets"), "item").join(sizes, ["side", "name"]).withColumn("place", place)
+        placed = rows.join(common.select("item", "sets"), "item").withColumn("place", place)
         early = placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("side", "name", "item", "size")
         if counted is None:
             of = lambda side: F.sum((F.col("side") == side).cast("double"))
             met = early.groupBy("item").agg((of(left) * of(right)).alias("met")).agg(F.sum("met")).first()[0]
-            counted = whole <= met * (1 + items / sizes.count())
+            counted = whole <= met * (1 + items / rows.agg(F.sum(1 / F.col("size"))).first()[0])
     if counted:
-        both = half(rows, left, "a", "item").join(half(rows, right, "b", "item"), "item").groupBy("a", "b").agg(F.count("*").alias("both"))
-        both = both.join(half(sizes, left, "a", F.col("size").alias("n_a")), "a").join(half(sizes, right, "b", F.col("size").alias("n_b")), "b")
+        both = sides(rows).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
     else:
-        sides = half(early, left, "a", "item", F.col("size").alias("n_a")).join(half(early, right, "b", "item", F.col("size").alias("n_b")), "item")
-        met = sides.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select("a", "b", "n_a", "n_b").distinct()
+        met = sides(early).select("a", "b", "n_a", "n_b").distinct()
         whole = rows.groupBy("side", "name").agg(F.collect_list("item").alias("items"))
         both = met.join(half(whole, left, "a", F.col("items").alias("_a")), "a").join(half(whole, right, "b", F.col("items").alias("_b")), "b")
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both")).filter("both > 0")
