@@ -12,6 +12,7 @@ from ..functions.columns import day_order, time_band
 from ..operators import ledger
 from ..operators.diff import top_k
 from ..operators.groups import search, subtotals
+from ..sources.feed import Feed
 from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from .compare import Comparison, by_route_group
@@ -165,6 +166,14 @@ def unchanged_groups(c: Comparison) -> DataFrame:
     return c.identity.groups.groupBy("group").agg(F.count_distinct("gen").alias("gens")).filter("gens = 2").select("group").join(changed, "group", "left_anti")
 
 
+def agency_names(feed: Feed) -> list[str]:
+    """The names of a feed's agencies, each once, in the order of the file."""
+    if not feed.has("agency", "agency_name"):
+        return []
+    named = feed.table("agency").select(F.trim("agency_name").alias("name"), "_line").filter("name <> ''")
+    return [r["name"] for r in named.groupBy("name").agg(F.min("_line").alias("at")).orderBy("at").collect()]  # a feed has few agencies
+
+
 def stop_points(c: Comparison) -> DataFrame:
     """(status, geojson) of stops that are in both generations, gone or new."""
     best = I.best(c.identity.stop_edges, "old_id", c.config["events"]["accept_confidence"])
