@@ -6,10 +6,9 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .operators.diff import count_by
-from .plans import calendars, identity, report
+from .plans import calendars, digest, identity, presentation, report
 from .plans.compare import Comparison, compare
 from .sources import generations
 from .sources.config import load
@@ -31,6 +30,8 @@ def arguments() -> argparse.ArgumentParser:
         if name == "compare":
             command.add_argument("--markdown", action="store_true", help="print the report")
             command.add_argument("--group", help="print the events of one route group")
+            command.add_argument("--digest", action="store_true", help="print what changed in few words")
+            command.add_argument("--page", help="print the changed trips of one page")
     return parser
 
 
@@ -54,16 +55,7 @@ def say(rows: DataFrame, most: int = 200) -> None:
         print("\t".join("" if v is None else str(v) for v in row))
 
 
-def row_counts(feed: Feed) -> DataFrame:
-    """(file, rows) of a feed."""
-    out = None
-    for name in sorted(feed.tables):
-        rows = feed.table(name).agg(F.lit(name).alias("file"), F.count("*").alias("rows"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def tell(result: Comparison, args: argparse.Namespace) -> None:
+def tell(result: Comparison, args: argparse.Namespace, old: Feed, new: Feed, scratch: Scratch) -> None:
     say(count_by(result.diffs, "file").orderBy("file"))
     total, explained, ratio = result.explained().first()
     print(f"{result.events.count()} events; {explained} of {total} differences explained ({ratio:.4f})")
@@ -71,6 +63,18 @@ def tell(result: Comparison, args: argparse.Namespace) -> None:
         print(report.markdown(result, result.config["report"]["digest_routes_max"]))
     if args.group:
         say(report.group_events(result, args.group))
+    if args.digest or args.page:
+        conf = result.config["report"]
+        found = digest.build(result, presentation.build(result, scratch), old, new, scratch)
+        if args.digest:
+            print(digest.markdown(found, conf["digest_routes_max"], conf["digest_stops_max"]))
+        if args.page:
+            try:
+                print(digest.route_markdown(result, found, args.page))
+            except KeyError as e:
+                raise FeedError(e.args[0]) from e
+        if args.out:
+            digest.write(found, f"{args.out}/digest")
     if args.out:
         report.write(result, args.out)
 
@@ -83,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         scratch = Scratch(spark, "gantline")
         old, new = (read_feed(spark, path, scratch) for path in inputs(spark, args))
         if args.command == "compare":
-            tell(compare(old, new, config, scratch), args)
+            tell(compare(old, new, config, scratch), args, old, new, scratch)
         elif args.command == "identity":
             types = [scratch.put(calendars.day_types(f, config), "day-types") for f in (old, new)]
             figures = scratch.put(identity.statistics(identity.build(old, new, *types, config, scratch), config["events"]["accept_confidence"]), "statistics")
@@ -92,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 write({"statistics": figures}, args.out)
         else:
             for feed in (old, new):
-                say(row_counts(feed))
+                say(digest.row_counts(feed))
                 say(count_by(calendars.day_types(feed, config), "day_type").orderBy("day_type"))
     except FeedError as e:
         print(e, file=sys.stderr)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import cells, pages, sheets
+from .operators.diff import keyed_diff
+from .plans import cells, digest, identity, names, pages, sheets
 from .sources.config import load
 from .sources.scratch import Scratch
 
@@ -282,3 +283,95 @@ def timetable_sheets(spark, sf_dir):
     found = sheets.timetables(Scratch(spark, "sheets").put(user_columns(spark, sf_dir), "columns"), ["user_id"], load()["presentation"]["sheet_max_gap_per_trip"])
     text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), " ").alias(c)
     return found.select("user_id", "sheet", "sheet_label", text("axis"), "number", "old_id", "new_id", text("old_times"), text("new_times"), text("changed"))
+
+
+@query("""
+WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, min(ts) AS ts FROM events WHERE event_id % 11 <> 0 GROUP BY ALL),
+n AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, min(ts) AS ts FROM events WHERE event_id % 13 <> 0 GROUP BY ALL),
+os AS (SELECT user_id, day, list(event_type ORDER BY ts, event_type) AS seq, list(strftime(ts, '%H:%M:%S') ORDER BY ts, event_type) AS t FROM o GROUP BY ALL),
+ns AS (SELECT user_id, day, list(event_type ORDER BY ts, event_type) AS seq, list(strftime(ts, '%H:%M:%S') ORDER BY ts, event_type) AS t FROM n GROUP BY ALL)
+SELECT user_id, CASE WHEN os.seq IS NOT NULL THEN strftime(day, '%Y%m%d') END AS old_id, CASE WHEN ns.seq IS NOT NULL THEN strftime(day, '%Y%m%d') || CASE WHEN day(day) % 5 = 0 THEN 'x' ELSE '' END END AS new_id,
+    CASE WHEN os.seq IS NULL THEN 'added' WHEN ns.seq IS NULL THEN 'removed' WHEN os.seq <> ns.seq THEN 'rerouted' WHEN os.t <> ns.t THEN 'retimed' WHEN day(day) % 5 = 0 THEN 'id_changed' ELSE 'unchanged' END AS status,
+    os.t[1][1:5] AS departure_old, ns.t[1][1:5] AS departure_new
+FROM os FULL JOIN ns USING (user_id, day)""")
+def column_statuses(spark, sf_dir):
+    """What became of each column of the users' tables; the new generation calls every fifth day by another id."""
+    scratch = Scratch(spark, "statuses")
+    fifth = F.col("new_id").substr(7, 2).cast("int") % 5 == 0
+    rows = scratch.put(user_columns(spark, sf_dir).withColumn("new_id", F.when(fifth, F.concat("new_id", F.lit("x"))).otherwise(F.col("new_id"))), "columns")
+    found = sheets.timetables(rows, ["user_id"], load()["presentation"]["sheet_max_gap_per_trip"])
+    same = rows.filter("old_seq = new_seq AND old_times = new_times").select("user_id", "old_id", "new_id", F.lit("exact").alias("relation"))
+    told = digest.column_statuses(found.join(same, ["user_id", "old_id", "new_id"], "left"), F.coalesce("relation", F.lit("modified")))
+    return told.select("user_id", "old_id", "new_id", "status", "departure_old", "departure_new")
+
+
+@query("""
+WITH old AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0),
+new AS (SELECT o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN '0-CHANGED' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 13 <> 0),
+m AS (SELECT o.k AS ok, n.k AS nk, o.p AS op, n.p AS np FROM old o FULL JOIN new n ON o.k = n.k)
+SELECT 'orders.txt' AS file, 'continued' AS status, (SELECT count(*) FROM old) AS rows_old, (SELECT count(*) FROM new) AS rows_new, count(*) FILTER (WHERE ok IS NULL) AS row_added,
+    count(*) FILTER (WHERE nk IS NULL) AS row_removed, count(*) FILTER (WHERE op <> np) AS field_changed, CAST(0 AS BIGINT) AS column_changes FROM m
+UNION ALL SELECT 'lineitem.txt', 'continued', count(*) FILTER (WHERE l_orderkey % 11 <> 0), count(*) FILTER (WHERE l_orderkey % 13 <> 0), count(*) FILTER (WHERE l_orderkey % 11 = 0 AND l_orderkey % 13 <> 0),
+    count(*) FILTER (WHERE l_orderkey % 13 = 0 AND l_orderkey % 11 <> 0), 0, 1 FROM lineitem
+UNION ALL SELECT 'customer.txt', 'removed', count(*), NULL, 0, 0, 0, 0 FROM customer
+UNION ALL SELECT 'supplier.txt', 'added', NULL, count(*), 0, 0, 0, 0 FROM supplier""")
+def file_overview(spark, sf_dir):
+    """The files of two generations: orders are compared row by row, of lineitem only how many rows come and go is kept, and one column; customers are in the old one alone, suppliers in the new one."""
+    orders, lines_ = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    side = lambda which, priority: orders.filter(which).select(k.cast("string").alias("o_orderkey"), "o_orderstatus", priority.alias("o_orderpriority"))
+    old, new = side(k % 11 != 0, F.col("o_orderpriority")), side(k % 13 != 0, F.when(k % 7 == 0, "0-CHANGED").otherwise(F.col("o_orderpriority")))
+    diffs = keyed_diff(old, new, ["o_orderkey"]).select(F.lit("orders.txt").alias("file"), "kind", "old_value", "new_value")
+    o, n = F.col("l_orderkey") % 11 != 0, F.col("l_orderkey") % 13 != 0
+    count = lambda which: F.count(F.when(which, 1))
+    of = lines_.agg(count(o).alias("old"), count(n).alias("new"), count(n & ~o).cast("string").alias("come"), count(o & ~n).cast("string").alias("gone"))
+    none = F.lit(None).cast("string")
+    told = lambda kind, gone, come: F.struct(F.lit(kind).alias("kind"), gone.alias("old_value"), come.alias("new_value"))
+    bulk = of.select(F.inline(F.array(told("rows_added_bulk", none, F.col("come")), told("rows_removed_bulk", F.col("gone"), none), told("column_added", none, none)))).select(F.lit("lineitem.txt").alias("file"), "kind", "old_value", "new_value")
+    rows = lambda df, file, n=None: df.agg(F.lit(f"{file}.txt").alias("file"), F.count("*").alias("rows")) if n is None else df.select(F.lit(f"{file}.txt").alias("file"), F.col(n).alias("rows"))
+    old_rows = rows(old, "orders").unionByName(rows(of, "lineitem", "old")).unionByName(rows(table(spark, sf_dir, "customer"), "customer"))
+    new_rows = rows(new, "orders").unionByName(rows(of, "lineitem", "new")).unionByName(rows(table(spark, sf_dir, "supplier"), "supplier"))
+    return digest.file_table(diffs.unionByName(bulk), old_rows, new_rows)
+
+
+@query("""
+WITH s AS (SELECT c_nationkey AS component, CAST(c_custkey % 60 AS VARCHAR) AS family, c_custkey % 3 AS r FROM customer),
+old AS (SELECT DISTINCT component, family FROM s WHERE r <> 0), new AS (SELECT DISTINCT component, family FROM s WHERE r <> 1),
+gone AS (SELECT component, family AS name, CASE WHEN CAST(family AS INTEGER) % 4 = 0 THEN family ELSE 'p' || (CAST(family AS INTEGER) % 10) END AS stood FROM old ANTI JOIN new USING (component, family))
+SELECT DISTINCT 'p' || (CAST(n.family AS INTEGER) % 10) AS page, CASE WHEN stood = 'p' || (CAST(n.family AS INTEGER) % 10) THEN 'former' ELSE 'related' END AS kind, name FROM gone JOIN new n USING (component)""")
+def page_names(spark, sf_dir):
+    """Former and related names of pages: nations tie customers of two generations together."""
+    s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("component"), (F.col("c_custkey") % 60).cast("string").alias("family"), (F.col("c_custkey") % 3).alias("r"))
+    side = lambda gen, which: s.filter(which).select("component", F.lit(gen).alias("side"), "family").distinct()
+    known = s.select("family", F.concat(F.lit("p"), (F.col("family").cast("int") % 10).cast("string")).alias("page")).distinct()
+    return names.renamed(side("old", "r <> 0").unionByName(side("new", "r <> 1")), known.filter("cast(family AS int) % 4 <> 0"), known)
+
+
+@query("""
+WITH e AS (SELECT 'c' || (o_custkey % 200) AS old_id, 'o' || (o_orderkey % 200) AS new_id, round(o_totalprice / 1000000, 4) AS confidence, o_custkey % 20 AS og, o_orderkey % 20 AS ng FROM orders),
+b AS (SELECT 'g' || og AS page, new_id AS name, max(confidence) AS similarity FROM e WHERE og % 3 = 0 GROUP BY ALL UNION ALL SELECT 'h' || ng, old_id, max(confidence) FROM e WHERE ng % 3 = 1 GROUP BY ALL),
+r AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY similarity DESC, name) AS INTEGER) AS place, name, similarity FROM b)
+SELECT * FROM r WHERE place <= 3""")
+def similar_pages(spark, sf_dir):
+    """The likest names of the other generation for pages that come or go; orders are the candidates, of families of customers and of orders."""
+    orders = table(spark, sf_dir, "orders")
+    of = lambda letter, key, by: F.concat(F.lit(letter), (F.col(key) % by).cast("string"))
+    edges = orders.select(of("c", "o_custkey", 200).alias("old_id"), of("o", "o_orderkey", 200).alias("new_id"), F.round(F.col("o_totalprice") / 1000000, 4).alias("confidence"))
+    old = orders.select(F.lit("old").alias("gen"), of("c", "o_custkey", 200).alias("family"), of("g", "o_custkey", 20).alias("group")).distinct()
+    new = orders.select(F.lit("new").alias("gen"), of("o", "o_orderkey", 200).alias("family"), of("h", "o_orderkey", 20).alias("group")).distinct()
+    groups = old.unionByName(new)
+    number = F.substring("group", 2, 2).cast("int") % 3
+    kind = F.when((F.col("gen") == "old") & (number == 0), "removed").when((F.col("gen") == "new") & (number == 1), "added")
+    return names.similar(edges, groups, groups.select(F.col("group").alias("page"), kind.alias("kind")).dropna().distinct())
+
+
+@query("""
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, list(event_type ORDER BY ts, event_id) AS seq FROM events GROUP BY ALL),
+c AS (SELECT 'u' || (user_id % 5) AS family, CAST(day(day) % 2 AS VARCHAR) AS direction, seq, count(*) AS trip_count FROM d GROUP BY ALL)
+SELECT family || '|' || direction || '|p' || (row_number() OVER (PARTITION BY family, direction ORDER BY trip_count DESC, seq) - 1) AS pattern_id, array_to_string(seq, '>') AS stops, trip_count FROM c""")
+def numbered_patterns(spark, sf_dir):
+    """Distinct sequences of users' days, numbered in their family and direction by how often they occur."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id", "event_type").alias("e"))
+    days = events.groupBy("user_id", "day").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["event_type"]).alias("base_seq"))
+    trips = days.select(F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("family"), (F.dayofmonth("day") % 2).cast("string").alias("direction"), "base_seq")
+    return identity.patterns(trips).select("pattern_id", F.array_join("base_seq", ">").alias("stops"), "trip_count")

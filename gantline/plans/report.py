@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_order, time_band
+from ..functions.events import EVENT_TYPES
 from ..operators import ledger
 from ..operators.diff import top_k
 from ..operators.groups import search, subtotals
@@ -16,6 +17,7 @@ from ..sources.feed import Feed
 from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from .compare import Comparison, by_route_group
+from .rules import polylines
 
 CELL = ["family", "direction", "day_type"]
 RESIDUAL = "UNEXPLAINED_RESIDUAL"
@@ -58,17 +60,25 @@ def family_structure(c: Comparison, least_trips: int = 2) -> DataFrame:
     return big.groupBy("family").agg(F.count("*").alias("clusters")).join(pairs, "family")
 
 
-def destination(event_type: Column) -> Column:
-    """The part of a report that tells of an event: routes and timetables, stops, the feed as a whole, or what stays unexplained."""
-    feed = ["GENERATION_SCOPE", "DAYTYPE_RESTRUCTURED", "HOLIDAY_EXCEPTION_CHANGED", "FEED_VALIDITY_CHANGED", "AGENCY_INFO_CHANGED", "TRANSLATION_CHANGED", "FARE_CHANGED", "TECHNICAL_ID_CHURN", "DEMAND_RESPONSIVE_CHANGE"]
-    stop = event_type.startswith("STOP_") & ~event_type.endswith("PATTERN") | event_type.startswith("PLATFORM_") | (event_type == "ACCESSIBILITY_CHANGED")
-    return F.when(event_type == RESIDUAL, 4).when(event_type.isin(feed), 3).when(stop, 2).otherwise(1)
+#: Events of the feed as a whole.
+OF_FEED = ["DAYTYPE_RESTRUCTURED", "HOLIDAY_EXCEPTION_CHANGED", "SEASONAL_SERVICE_CHANGED", "FEED_VALIDITY_CHANGED", "AGENCY_INFO_CHANGED", "TRANSLATION_CHANGED", "FARE_CHANGED", "DEMAND_RESPONSIVE_CHANGE", "GENERATION_SCOPE"]
+
+
+def destination(event_type: Column, group: Column) -> Column:
+    """The part of a report that tells of an event: 1 the feed as a whole, 2 stops, 3 the pages of routes, 4 what is counted only. Events of routes and timetables need a route group or family to be told of."""
+    of = lambda letters: [t for t, (letter, _) in EVENT_TYPES.items() if letter in letters]
+    routed = [t for t in of("ABC") if t != "SHAPE_CHANGED"] + ["HEADSIGN_CHANGED"]
+    return F.when(event_type.isin(OF_FEED), 1).when(event_type.isin(of("D")), 2).when(event_type.isin(routed) & (F.coalesce(group, F.lit("")) != ""), 3).otherwise(4)
+
+
+def event_parts(c: Comparison) -> DataFrame:
+    """(event_id, type, part)."""
+    return c.events.select("event_id", "type", destination(F.col("type"), F.get_json_object("subject", "$.route_family")).alias("part"))
 
 
 def coverage(c: Comparison) -> DataFrame:
     """(part, differences): how many differences each part of a report accounts for, each counted at its first event."""
-    first = ledger.primary(c.claims).join(c.events.select("event_id", "type"), "event_id")
-    return first.groupBy(destination(F.col("type")).alias("part")).agg(F.count("*").alias("differences"))
+    return ledger.primary(c.claims).join(event_parts(c), "event_id").groupBy("part").agg(F.count("*").alias("differences"))
 
 
 def evidence_sample(c: Comparison) -> DataFrame:
@@ -174,6 +184,27 @@ def agency_names(feed: Feed) -> list[str]:
     return [r["name"] for r in named.groupBy("name").agg(F.min("_line").alias("at")).orderBy("at").collect()]  # a feed has few agencies
 
 
+def version(feed: Feed) -> str | None:
+    """What a feed says of its version."""
+    row = feed.table("feed_info").orderBy("_line").select(F.trim("feed_version")).first() if feed.has("feed_info", "feed_version") else None
+    return row[0] or None if row else None
+
+
+def shape_lines(c: Comparison, old: Feed, new: Feed) -> DataFrame:
+    """(generation, shape_id, geojson): the lines that events on shapes speak of, as they were and as they are."""
+    told = c.events.filter(F.col("type").isin("SHAPE_CHANGED", "TECHNICAL_ID_CHURN"))
+    subject, most = F.get_json_object("subject", "$.shape_id"), c.config["events"]["shape"]["max_polyline_points"]
+    out = None
+    for gen, feed in (("old", old), ("new", new)):
+        wanted = told.select(F.coalesce(F.get_json_object("quantification", f"$.{gen}_shape"), subject).alias("shape_id")).filter("shape_id <> ''").distinct()
+        lines = polylines(feed, most, wanted)
+        line = F.struct(F.lit("LineString").alias("type"), F.transform("line", lambda p: F.array(p[1], p[0])).alias("coordinates"))
+        about = F.struct("shape_id", F.lit(gen).alias("generation"), F.lit("shape").alias("kind"))
+        rows = lines.select(F.lit(gen).alias("generation"), "shape_id", F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), about.alias("properties"))).alias("geojson"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def stop_points(c: Comparison) -> DataFrame:
     """(status, geojson) of stops that are in both generations, gone or new."""
     best = I.best(c.identity.stop_edges, "old_id", c.config["events"]["accept_confidence"])
@@ -211,14 +242,70 @@ def chapters(c: Comparison, most: int, most_events: int = 20) -> list[str]:
     return lines
 
 
+#: Lists of a report's summary: what is said, the type of event, and where the event names its subject.
+SUMMARY = [
+    ("New routes", "ROUTE_ADDED", "route_family"), ("Discontinued routes", "ROUTE_DISCONTINUED", "route_family"), ("Renamed routes", "ROUTE_RENAMED", None),
+    ("New stops", "STOP_ADDED", "stop_cluster"), ("Removed stops", "STOP_REMOVED", "stop_cluster"), ("Renamed stops", "STOP_RENAMED", None),
+]
+
+
+def more(n: int, most: int) -> str:
+    return f" and {n - most} more" if n > most else ""
+
+
+def summary(c: Comparison, most: int) -> list[str]:
+    """Lines that name what comes, goes and is renamed, and the major events; of each list the first, and how many more there are."""
+    was, now = (F.get_json_object(f"{g}_ref", "$.name") for g in ("old", "new"))
+    own = F.coalesce(*[F.when(F.col("type") == t, F.get_json_object("subject", f"$.{path}")) for _, t, path in SUMMARY if path])
+    of = c.events.filter(F.col("type").isin(*[t for _, t, _ in SUMMARY])).withColumn("said", F.coalesce(F.when(was.isNotNull() & now.isNotNull() & F.col("type").endswith("RENAMED"), F.concat(was, F.lit(" -> "), now)), own)).dropna(subset=["said"])
+    counts = {r["type"]: r["n"] for r in of.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    named: dict[str, list[str]] = {}
+    for r in top_k(of, ["type"], [F.col("said"), F.col("event_seq")], most).orderBy("type", "rank").collect():
+        named.setdefault(r["type"], []).append(r["said"])
+    lines = [f"- {title}: {', '.join(named[t])}{more(counts[t], most)}" for title, t, _ in SUMMARY if t in named]
+    lines += ["- Fares changed"] if c.events.filter("type = 'FARE_CHANGED'").limit(1).count() else []
+    majors = c.events.filter("severity = 'major'")
+    first = majors.orderBy("event_seq").limit(most).collect()
+    lines += ["", "### Major", "", "| type | of | what |", "|-|-|-|", *[f"| {r['type']} | {r['subject']} | {r['quantification'] or ''} |" for r in first]] if first else []
+    n = majors.count() if len(first) == most else 0
+    return lines + ([f"{more(n, most).strip()}"] if n > most else [])
+
+
+def stop_chapter(c: Comparison, most: int) -> list[str]:
+    """Lines of the events of stops, by type and subject."""
+    told = c.events.join(event_parts(c).filter("part = 2").select("event_id"), "event_id", "left_semi")
+    first, n = told.orderBy("type", "subject", "event_seq").limit(most).collect(), told.count()
+    row = lambda r: f"| {r['type']} | {r['subject']} | {r['quantification'] or ''} |"
+    return ["", "## Stops", "", "| type | stop | what |", "|-|-|-|", *map(row, first)] + ([more(n, most).strip()] if n > most else []) if first else []
+
+
+def validation_chapter(c: Comparison, most: int, most_ids: int = 10) -> list[str]:
+    """Lines on changes of ids and of validity, and the first differences of each file that stay unexplained."""
+    lines = []
+    for title, kind in (("Changed ids that mean nothing", "TECHNICAL_ID_CHURN"), ("Validity of the feed", "FEED_VALIDITY_CHANGED")):
+        told = c.events.filter(F.col("type") == kind)
+        if n := told.count():
+            lines += [f"- {title}: {n}", *[f"  - {r['subject']}: {r['quantification'] or ''}" for r in told.orderBy("event_seq").limit(most).collect()]] + ([f"  - {more(n, most).strip()}"] if n > most else [])
+    lines += ["", "## Unexplained", ""]
+    left = c.claims.join(c.events.filter(F.col("type") == RESIDUAL).select("event_id", F.get_json_object("subject", "$.file").alias("file")), "event_id")
+    counts = left.groupBy("file").agg(F.count("*").alias("n"))
+    ids = top_k(left.select("file", "rawdiff_id"), ["file"], [F.col("rawdiff_id")], most_ids).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("rawdiff_id")), ", ").alias("ids"))
+    rows = counts.join(ids, "file").orderBy("file").collect()  # a feed has few files
+    return lines + ([f"- {r['file']}: {r['n']} ({r['ids']}{', ...' if r['n'] > most_ids else ''})" for r in rows] or ["none"])
+
+
 def markdown(c: Comparison, most: int = 200) -> str:
-    """A report: figures, route groups with those with a major event first, a chapter for each, unchanged ones by name, and what is unexplained."""
+    """A report: figures, a summary, route groups with those with a major event first, a chapter for each, unchanged ones by name, stops, and what is unexplained. Lists over ``most`` say how many more there are."""
     total, explained, ratio = c.explained().first()
-    lines = ["# Changes", "", f"{total} differences, {explained} explained ({ratio:.4f}).", "", "## By type", ""]
+    lines = ["# Changes", "", f"{total} differences, {explained} explained ({ratio:.4f}).", "", "## Summary", "", *summary(c, most), "", "## By type", ""]
     lines += [f"- {r['type']}: {r['count']}" for r in c.events.groupBy("type").count().orderBy("type").collect()]
+    digest = route_digest(c)
+    groups = digest.count()
     lines += ["", "## Route groups", ""]
-    lines += [f"- {r['route_group']}: {r['events']} events, {r['majors']} major ({', '.join(r['types'])})" for r in route_digest(c).orderBy("rank").limit(most).collect()]
+    lines += [f"- {r['route_group']}: {r['events']} events, {r['majors']} major ({', '.join(r['types'])})" for r in digest.orderBy("rank").limit(most).collect()]
+    lines += [f"-{more(groups, most)}"] if groups > most else []
     lines += chapters(c, most)
-    lines += ["", "Unchanged: " + (", ".join(r[0] for r in unchanged_groups(c).orderBy("group").limit(most).collect()) or "none"), "", "## Unexplained", ""]
-    lines += [f"- {r['file']}: {r['residual']}" for r in c.residual().orderBy("file").collect()] or ["none"]
+    same = unchanged_groups(c)
+    lines += ["", "Unchanged: " + (", ".join(r[0] for r in same.orderBy("group").limit(most).collect()) or "none") + more(same.count(), most)]
+    lines += [*stop_chapter(c, most), "", "## Validation", "", *validation_chapter(c, most)]
     return "\n".join(lines) + "\n"

@@ -436,12 +436,13 @@ def _overlap(ctx: Context) -> tuple[str, str] | None:
 # Shapes
 
 
-def polylines(feed: Feed, most: int) -> DataFrame:
-    """(shape_id, line): points in order, thinned."""
+def polylines(feed: Feed, most: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(shape_id, line): points in order, thinned; of the shapes (shape_id) that are wanted, or of all."""
     if not feed.has("shapes", "shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence"):
         return feed.spark.createDataFrame([], "shape_id string, line array<array<double>>")
     number = lambda c: F.col(c).try_cast("double")
     points = feed.table("shapes").select("shape_id", number("shape_pt_sequence").alias("i"), "_line", number("shape_pt_lat").alias("lat"), number("shape_pt_lon").alias("lon")).dropna(subset=["i", "lat", "lon"])
+    points = points if wanted is None else points.join(wanted, "shape_id", "left_semi")
     lines = points.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_line", "lat", "lon"))), lambda p: F.array(p["lat"], p["lon"])).alias("line"))
 
     @F.pandas_udf("array<array<double>>")
@@ -470,7 +471,7 @@ def shapes(ctx: Context) -> None:
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = [tuple(p) for p in x], [tuple(p) for p in y]
-            far, at = geo.deviation(x, y)
+            far, at = geo.departure(x, y)
             out.append((round(geo.frechet(x, y), 1), round(far, 1), round(at[0], 6), round(at[1], 6)))
         return pd.DataFrame(out, columns=["frechet_m", "max_deviation_m", "lat", "lon"])
 

@@ -13,8 +13,9 @@ from ..operators.diff import keyed_diff
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the highest version for each key; map tasks keep one for a key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
+    """The row of the highest version for each key, of several the first by its columns in the order of their names; map tasks keep one for a key."""
+    ties = [F.to_json(F.struct(c)) for c in sorted(rows.columns) if c not in (*keys, version)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), *ties))
     return rows.withColumn("_p", place).filter("_p = 1").drop("_p")
 
 

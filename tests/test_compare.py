@@ -159,3 +159,61 @@ def test_the_whole_presentation(result, spark, tmp_path):
     assert shown.unlike_totals.count() == 0 and shown.cells is None
     presentation.write(shown, f"file://{tmp_path}/shown")
     assert spark.read.json(f"file://{tmp_path}/shown/timetables").count() == shown.timetables.count() == 4 + 3 + 1 + 1
+
+
+@pytest.fixture(scope="module")
+def digested(result, spark, tmp_path_factory):
+    from gantline.plans import digest, presentation
+
+    at, scratch = tmp_path_factory.mktemp("digest"), Scratch(spark, "digest-test")
+    old, new = (read_feed(spark, feeds.write(at, g, **files), scratch) for g, files in (("old", OLD), ("new", dict(NEW, stops=NEW["stops"].replace("Stop New", "Stop ま 2")))))
+    return old, new, digest.build(result, presentation.build(result, scratch), old, new, scratch)
+
+
+def test_the_whole_digest(result, digested, tmp_path):
+    from gantline.plans import digest
+
+    old, new, d = digested
+    t = d.totals.first()
+    assert (t["pages"], t["pages_changed"], t["total"]) == (4, 4, result.diffs.count()) and t["new_or_gone"] == round(2 / 15, 4) and d.checks.count() == 0
+    briefs = {r["gen"]: r for r in d.briefs.collect()}
+    assert briefs["old"]["version"] == "1" and briefs["new"]["version"] == "2" and briefs["old"]["agencies"] == ["Bay Ferry"]
+    statuses = {(r["page"], r["status"]): r["n"] for r in d.columns.groupBy("page", "status").agg(F.count("*").alias("n")).collect()}
+    assert statuses == {("10", "retimed"): 1, ("10", "removed"): 1, ("20", "rerouted"): 3, ("30", "removed"): 1, ("40", "added"): 1}
+    assert {(r["page"], r["unchanged"], r["id_changed"]) for r in d.column_counts.collect()} == {("10", 1, 1), ("20", 0, 0), ("30", 0, 0), ("40", 0, 0)}
+    assert {r["stops_added"] for r in d.columns.filter("page = '20'").collect()} == {1}
+    files = {r["file"]: r for r in d.files.collect()}
+    assert (files["trips.txt"]["rows_old"], files["trips.txt"]["rows_new"], files["trips.txt"]["status"]) == (8, 7, "continued") and files["routes.txt"]["row_added"] == files["routes.txt"]["row_removed"] == 1
+    assert sum(r["count"] for r in d.types.collect()) == result.events.count() and {r["type"] for r in d.feed_events.collect()} >= {"FARE_CHANGED", "FEED_VALIDITY_CHANGED"}
+    parts = {r["part"]: r["n"] for r in report.event_parts(result).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sum(parts.values()) == result.events.count() and d.feed_events.count() == parts[1] and sum(r["count"] for r in d.others.collect()) == parts.get(4, 0)
+    text = digest.markdown(d)
+    assert "pages: 4, changed: 4" in text and "### 30" in text and "- gone, 1 trips" in text and "- renamed: Stop ま -> Stop ま 2" in text and "| trips.txt | 8 | 7 |" in text
+    short = digest.markdown(d, most_pages=1, most_stops=0)
+    assert "and 3 more pages that changed" in short and "more renamed stops" in short
+    ten = digest.route_markdown(result, d, "10")
+    assert "retimed, 4 times changed, before 09:00 (trip a2 -> a2)" in ten and "removed (trip a3 -> -)" in ten and "- unchanged 1, other id only 1" in ten and "Route ids: R1 -> R1" in ten
+    assert "3 of 3 trips" in digest.route_markdown(result, d, "20")
+    with pytest.raises(KeyError, match="10"):
+        digest.route_markdown(result, d, "no such page")
+    digest.write(d, f"file://{tmp_path}/digest")
+    assert result.diffs.sparkSession.read.json(f"file://{tmp_path}/digest/columns").count() == d.columns.count()
+
+
+def test_chapters_of_the_report(result):
+    text = report.markdown(result)
+    assert "- New routes: 40" in text and "- Discontinued routes: 30" in text and "- Renamed stops: Stop ま -> Stop ま 2" in text and "- Fares changed" in text
+    assert "## Stops" in text and "| STOP_RENAMED |" in text and "- Changed ids that mean nothing: " in text and "- Validity of the feed: " in text
+    assert "-" + report.more(report.route_digest(result).count(), 1) in report.markdown(result, 1)
+
+
+def test_lines_of_changed_shapes(spark, tmp_path):
+    lines = lambda way: "shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\n" + "".join(f"L,{35 + (way if 0 < i < 9 else 0)},{139 + i / 100},{i}\n" for i in range(10)) + "M,35,139,1\nM,35,140,2\n"
+    shaped = "route_id,service_id,trip_id,shape_id\n" + "".join(f"bay,week,{t},L\n" for t in ("dawn", "noon", "dusk"))
+    scratch = Scratch(spark, "lines")
+    old, new = (read_feed(spark, feeds.write(tmp_path, n, shapes=lines(way), trips=shaped), scratch) for n, way in (("old", 0), ("new", 0.02)))
+    c = compare(old, new, scratch=scratch)
+    (event,) = events(c, "SHAPE_CHANGED")
+    assert '"significant":true' in event["quantification"]
+    drawn = {(r["generation"], r["shape_id"]): r["geojson"] for r in report.shape_lines(c, old, new).collect()}
+    assert set(drawn) == {("old", "L"), ("new", "L")} and '"coordinates":[[139.0,35.0],[139.01,35.02]' in drawn[("new", "L")] and '[139.01,35.0]' in drawn[("old", "L")]
