@@ -83,8 +83,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("gantline").getOrCreate()
     config = load(args.config)
+    scratch = Scratch(spark, "gantline")
     try:
-        scratch = Scratch(spark, "gantline")
         old, new = (read_feed(spark, path, scratch) for path in inputs(spark, args))
         if args.command == "compare":
             tell(compare(old, new, config, scratch), args, old, new, scratch)
@@ -101,6 +101,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except FeedError as e:
         print(e, file=sys.stderr)
         return 2
+    finally:
+        scratch.clear()
     return 0
 
 

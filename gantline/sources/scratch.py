@@ -27,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a folder, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written tables that cut lineage; a lost executor costs no more than the tasks it ran.
 
     ``put`` writes a DataFrame as Parquet below the shared folder and gives the table that reads it,
-    ``drop`` deletes what is no longer read.
+    ``drop`` deletes what is no longer read, ``clear`` all tables, once no result that reads them is wanted any more.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -54,10 +60,11 @@ class Scratch:
             return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)  # type: ignore[attr-defined]
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, t._scratch_path)  # type: ignore[attr-defined]
+
+    def clear(self) -> None:
+        delete(self.spark, self.at)
 
 
 def global_rank(df: DataFrame, scratch: Scratch, by: list[Column], name: str = "rank") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.diff import keyed_diff
+from ..sources.scratch import delete
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -22,7 +23,8 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 class KeyedChanges:
     """A ``foreachBatch`` sink: writes each batch's differences from the rows kept so far below ``path``, and keeps the new rows.
 
-    State and differences are written under the batch's number, so a batch that is run again writes the same.
+    State and differences are written under the batch's number, so a batch that is run again writes the same. The state before the last one is deleted, since
+    only the last batch may be run again.
     """
 
     def __init__(self, keys: list[str], version: str, path: str):
@@ -46,6 +48,7 @@ class KeyedChanges:
         was = now.limit(0) if before is None else before
         columns = [c for c in now.columns if c != self.version]
         keyed_diff(was, now, self.keys, columns).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/changes/{number}")
+        delete(spark, f"{self.path}/state/{number - 2}")
 
 
 __all__ = ["KeyedChanges", "latest"]

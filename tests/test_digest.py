@@ -97,3 +97,24 @@ def test_changes_of_a_stream(spark, tmp_path, again):
     assert sorted((r["kind"], r["key"][0], r["column"], r["old_value"], r["new_value"]) for r in changes.collect() if r["kind"] == "field_changed") == [("field_changed", "a", "x", "p", "r")]
     assert sorted((r["kind"], r["key"][0]) for r in changes.collect() if r["kind"] != "field_changed") == [("row_added", "c")]
     assert rows_of(spark.read.parquet(str(tmp_path / "out/state/1")), "k", "v", "x") == [("a", 2, "r"), ("b", 1, "q"), ("c", 2, "s")]
+
+
+def test_a_stream_keeps_two_states(spark, tmp_path):
+    sink = KeyedChanges(["k"], "v", str(tmp_path))
+    for n in range(4):
+        sink(spark.createDataFrame([("a", n), ("b", 1)], "k string, v int"), n)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["2", "3"] and len(list((tmp_path / "changes").iterdir())) == 4
+    assert rows_of(spark.read.parquet(str(tmp_path / "state/3")), "k", "v") == [("a", 3), ("b", 1)]
+
+
+def test_scratch_tables_go(spark):
+    from gantline.sources.scratch import Scratch
+
+    scratch = Scratch(spark, "gone")
+    first, second = (scratch.put(spark.range(3), n) for n in ("a", "b"))
+    scratch.drop(first)
+    assert second.count() == 3
+    scratch.clear()
+    scratch.clear()
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.at)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
