@@ -77,3 +77,20 @@ def test_repeated_rows_null_ids_and_few_rows(spark, documents):
     (alone,) = P.edits(documents([(5, "abcdefgh")])).collect()
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert P.edits(documents(rows).limit(0)).count() == 0
+
+
+def test_many_rows_of_one_id(spark, documents):
+    """Rows of one id, and rows without any, stand in the order of their texts' hashes: each but the last is edited with the next one's beginning, and equal texts stand together."""
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(1, 12)) for _ in range(60)] + ["the same words again " * 9] * 40
+    rows = [(7, t) for t in texts] + [(None, t) for t in texts[:30]] + [(3, "before them"), (9, "after them")]
+    rng.shuffle(rows)
+    first, again = (sorted(P.edits(documents(r)).collect(), key=str) for r in (rows, rows[::-1]))
+    assert first == again and len(first) == len(rows)
+    counts = [sum(r["doc_id"] == i for r in first) for i in (7, None, 3, 9)]
+    assert counts == [100, 30, 1, 1]
+    prints = {P.fingerprint(t): t for _, t in rows}
+    edits = {(hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest()) for a in prints.values() for b in prints.values()}
+    assert all(prints[r["fingerprint"]] and r["edited_sha256"] in edits for r in first)
+    same = [r for r in first if prints[r["fingerprint"]] == texts[-1]]
+    assert sum(r["near_next"] == 1 for r in same) == 39  # all of the 40 but the last have an equal text next

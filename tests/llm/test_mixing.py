@@ -75,3 +75,29 @@ def test_repeated_ids_take_the_same_texts_again(spark, documents):
     rows = [(i % 3 if i % 4 else None, f"text number {i} " + "w " * (i % 5), None, "ab"[i % 2]) for i in range(200)]  # few ids, many texts, many of one size
     told = [sorted(str(r["text"]) for r in mixing.take(documents(random.Random(seed).sample(rows, len(rows))).repartition(3 + seed)).select("text").collect()) for seed in (1, 2)]
     assert told[0] == told[1] and len(told[0]) > 50
+
+
+def test_rates_solve_the_dual(spark, documents):
+    """A second solution: bisection in plain Python on the words that one multiplier gives a source; rates of the operator are its, within the half word that it stops at."""
+    import math
+
+    out = mixing.mix(documents(make_rows(7))).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"]].append((r["size"], r["rate"]))
+    want = targets({s: sum(size for size, _ in rows) for s, rows in by.items()})
+    for source, rows in by.items():
+        total, mean = sum(size for size, _ in rows), sum(size for size, _ in rows) / len(rows)
+        if not total:
+            continue
+        words = lambda lam, rows=rows, mean=mean: sum(size * min(3.0, math.exp(max(-700.0, min(700.0, lam * size / mean)))) for size, _ in rows)
+        lo, hi = -1e6, 1e6
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < want[source] else (lo, mid)
+        assert abs(sum(size * rate for size, rate in rows) - want[source]) <= 0.51
+        inside = [(size, math.log(rate)) for size, rate in rows if size and 1e-300 < rate < 3]
+        slopes = [log / size for size, log in inside]
+        assert not slopes or max(slopes) - min(slopes) <= 1e-9 * max(1.0, max(map(abs, slopes)))
+        exact = {size: min(3.0, math.exp(max(-700.0, min(700.0, lo * size / mean)))) for size, _ in rows}
+        assert sum(size * abs(rate - exact[size]) for size, rate in rows) <= 0.6  # all move the same way with the multiplier
