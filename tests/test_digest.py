@@ -118,3 +118,18 @@ def test_scratch_tables_go(spark):
     scratch.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch.at)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_digests_from_the_command_line(spark, tmp_path, capsys):
+    import feeds
+
+    from gantline.__main__ import main
+
+    stops = list(feeds.PIERS)
+    old = feeds.write(tmp_path, "old")
+    new = feeds.write(tmp_path, "new", stop_times=feeds.times(("dawn", 395, stops), ("noon", 755, stops), ("dusk", 1070, stops[:3])))
+    assert main(["compare", old, new, "--digest", "--page", "F", "--out", f"file://{tmp_path}/out"], spark) == 0
+    said = capsys.readouterr().out
+    assert "# Digest\n" in said and "- old: Bay Ferry" in said and "pages: 1, changed: 1" in said and "# Digest of F" in said
+    assert "12:35 retimed, 4 times changed, before 12:15 (trip noon -> noon)" in said and "17:50 rerouted, 0 stops more, 1 less (trip dusk -> dusk)" in said and "- unchanged 1, other id only 0" in said
+    assert spark.read.json(f"file://{tmp_path}/out/digest/columns").count() == 2 and spark.read.json(f"file://{tmp_path}/out/rawdiffs").count() > 0
