@@ -27,7 +27,7 @@ def row_counts(feed: Feed) -> DataFrame:
     """(file, rows) of a feed."""
     out = None
     for name in sorted(feed.tables):
-        rows = feed.table(name).agg(F.lit(f"{name}.txt").alias("file"), F.count("*").alias("rows"))
+        rows = feed.table(name).agg(F.lit(name).alias("file"), F.count("*").alias("rows"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -157,7 +157,7 @@ def build(c: Comparison, shown: Presentation, old: Feed, new: Feed, scratch: Scr
     return Digest(
         briefs({"old": old, "new": new}), totals, shown.day_totals.groupBy("day_type").agg(F.sum("old").alias("old"), F.sum("new").alias("new")), event_types(c.events), scratch.put(stops, "stops"), facts,
         columns.filter(~F.col("status").isin(*QUIET)), columns.groupBy(*sheet).agg(*quiet, F.count("*").alias("all")), shown.units, routes.groupBy("page", "gen").agg(F.array_sort(F.collect_set("route_id")).alias("route_ids")),
-        scratch.put(feed_events, "feed-events"), parts.filter("part = 4").groupBy("type").agg(F.count("*").alias("count")), scratch.put(file_table(c.diffs, row_counts(old), row_counts(new)), "files"), c.residual(),
+        scratch.put(feed_events, "feed-events"), parts.filter("part = 4").groupBy("type").agg(F.count("*").alias("count")), scratch.put(file_table(c.diffs, *[row_counts(f).withColumn("file", F.concat("file", F.lit(".txt"))) for f in (old, new)]), "files"), c.residual(),
         scratch.put(checks.unionByName(unlike), "checks"),
     )
 
