@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 from itertools import pairwise
 
 from pyspark.sql import Column
@@ -39,11 +40,18 @@ def supersequence(a: Sequence, b: Sequence) -> tuple:
     return tuple(out)
 
 
+@lru_cache(1 << 14)
+def with_sequence(axis: tuple, seq: tuple) -> tuple:
+    """Their supersequence; the axis itself where it has the sequence."""
+    rest = iter(axis)
+    return axis if all(x in rest for x in seq) else supersequence(axis, seq)
+
+
 def stop_axis(sequences: Iterable[Sequence]) -> tuple:
     """An axis that has every sequence as a subsequence: the longest one, with the others folded in from long to short."""
     axis: tuple = ()
     for n, seq in enumerate(sorted({tuple(s) for s in sequences}, key=lambda s: (-len(s), s))):
-        axis = supersequence(axis, seq) if n else seq
+        axis = with_sequence(axis, seq) if n else seq
     return axis
 
 
@@ -62,6 +70,12 @@ def gaps(places: Iterable[int]) -> int:
     return sum(later - earlier > 1 for earlier, later in pairwise([p for p in places if p >= 0]))
 
 
+@lru_cache(1 << 14)
+def gaps_on(seq: tuple, axis: tuple) -> int:
+    """The gaps of a sequence on an axis."""
+    return gaps(places_on(seq, axis))
+
+
 def is_within(a: Column, b: Column) -> Column:
     """Whether an array is a subsequence of another, its names not needing to stand side by side."""
     rest = lambda at: F.slice(b, at, F.greatest(F.size(b), F.lit(1)))

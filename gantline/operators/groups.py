@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows of a batch that a fold gives back.
+FOLDED = 2000
+
+
+def folded(rows: DataFrame, by: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """(by, schema): what ``fold`` gives for the rows of each group, as tuples of what stands beside ``by``.
+
+    Rows are sorted by group in each task, so that it holds one group at a time, and groups are cut from whole batches: many small groups cost no data frame each.
+    """
+    k, kinds = len(by), dict(rows.dtypes)
+    out = StructType.fromDDL(", ".join([*(f"`{b}` {kinds[b]}" for b in by), schema]))
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), arrow, strict=True)], schema=arrow)
+        each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for key, group in groupby(each, lambda row: row[:k]):
+            told += [(*key, *r) for r in fold([row[k:] for row in group])]
+            if len(told) >= FOLDED:
+                yield batch()
+                told = []
+        if told:
+            yield batch()
+
+    ordered = rows.select(*by, *[c for c in rows.columns if c not in by])
+    return ordered.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, out)
 
 
 def middle_and_rank(rows: DataFrame, by: list[str], value: str, share: float = 0.9) -> DataFrame:

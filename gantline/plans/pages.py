@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.axis import is_within, stop_axis
 from ..functions.sequences import order_share
 from ..operators.graphs import components, similar_sets
+from ..operators.groups import folded
 from ..sources.scratch import Scratch, global_rank
 from . import identity as I
 from .compare import Comparison
@@ -143,12 +144,8 @@ def maximal(sequences: DataFrame, by: list[str]) -> DataFrame:
 
 def axes(sequences: DataFrame, by: list[str]) -> DataFrame:
     """(by, axis): one stop axis for the distinct sequences (by, seq) of each group."""
-    kinds = dict(sequences.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "axis": [list(stop_axis(map(tuple, pdf["seq"])))]})
-
-    return sequences.select(*by, "seq").distinct().groupBy(*by).applyInPandas(fold, ", ".join([f"`{b}` {kinds[b]}" for b in by] + [f"axis {kinds['seq']}"]))
+    fold = lambda rows: [(list(stop_axis(seq for (seq,) in rows)),)]
+    return folded(sequences.select(*by, "seq").distinct(), by, fold, f"axis {dict(sequences.dtypes)['seq']}")
 
 
 def leg_views(groups: DataFrame, patterns: DataFrame, scratch: Scratch) -> DataFrame:
