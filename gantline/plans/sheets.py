@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import gaps, places_on, stop_axis
+from ..functions.axis import gaps_on, places_on, stop_axis
 from ..functions.columns import clock_seconds
+from ..operators.groups import folded
 
 #: How sheets are named: by the stops that only they have, by what they pass first, by a number.
 VIA, JOINED, FIRST, NUMBER, AGAIN = "%s経由", "・", "%s先回り", "経路%d", "%s（%d）"
@@ -31,7 +31,7 @@ class Sheet:
                     self.columns[seq] += n
         self.size = sum(n for _, _, n, _ in rows)
         self.axis = stop_axis(self.columns)
-        self.gaps = sum(n * gaps(places_on(seq, self.axis)) for seq, n in self.columns.items())
+        self.gaps = sum(n * gaps_on(seq, self.axis) for seq, n in self.columns.items())
         self.mean = self.gaps / max(1, sum(self.columns.values()))
 
     def with_(self, other: Sheet) -> Sheet:
@@ -98,6 +98,11 @@ def before(a: list, b: list) -> int:
 
     The first common stop decides, then the last, then those between. Without one, columns of different stretches stand in the order of travel if the earlier stretch is left in time.
     """
+    for x, y in zip(a, b, strict=True):
+        if x is not None and y is not None:
+            if x != y:
+                return -1 if x < y else 1
+            break
     common = [(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]
     if common:
         return next((-1 if x < y else 1 for x, y in (common[0], common[-1], *common) if x != y), 0)
@@ -135,48 +140,44 @@ def sheets(rows: DataFrame, by: list[str], most: float) -> DataFrame:
     kinds = dict(rows.dtypes)
     counted = rows.groupBy(*by, "old_seq", "new_seq").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+    def deal(found_rows: list[tuple]) -> list[tuple]:
         seq = lambda x: None if x is None else tuple(x)
         groups: dict[tuple, list[tuple]] = {}
-        for old, new, n, least in zip(pdf["old_seq"].map(seq), pdf["new_seq"].map(seq), pdf["n"].tolist(), pdf["least"], strict=True):
+        for old, new, n, least in ((seq(o), seq(w), n, least) for o, w, n, least in found_rows):
             groups.setdefault(new if new is not None else old, []).append((old, new, n, least))
         found = fewest_sheets([groups[k] for k in sorted(groups)], most)
         found.sort(key=lambda s: (-s.size, min(r[3] for r in s.rows)))
         out = []
         for number, (sheet, label) in enumerate(zip(found, sheet_names(found), strict=True)):
             on = lambda q, axis=sheet.axis: None if q is None else places_on(q, axis)
-            out += [(number, label, None if o is None else list(o), None if w is None else list(w), list(sheet.axis), on(o), on(w)) for o, w, _, _ in sheet.rows]
-        told = pd.DataFrame(out, columns=["sheet", "sheet_label", "old_seq", "new_seq", "axis", "old_places", "new_places"])
-        for b in by:
-            told[b] = pdf[b].iloc[0]
-        return told
+            out += [(number, label, o, w, sheet.axis, on(o), on(w)) for o, w, _, _ in sheet.rows]
+        return out
 
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["sheet int, sheet_label string", *[f"{c} {kinds['old_seq']}" for c in ("old_seq", "new_seq", "axis")], "old_places array<int>, new_places array<int>"])
-    return counted.groupBy(*by).applyInPandas(deal, schema).select(*by, "sheet", "sheet_label", "old_seq", "new_seq", "axis", "old_places", "new_places")
+    schema = ", ".join(["sheet int, sheet_label string", *[f"{c} {kinds['old_seq']}" for c in ("old_seq", "new_seq", "axis")], "old_places array<int>, new_places array<int>"])
+    return folded(counted.select(*by, "old_seq", "new_seq", "n", "least"), by, deal, schema)
 
 
 def ordered(columns: DataFrame, by: list[str]) -> DataFrame:
-    """(by, key, number): the place of each column in its sheet, from rows (by, key, first, id, minutes). Columns start in the order of their first time and id."""
-    kinds = dict(columns.dtypes)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "id", "key"], kind="stable", na_position="last", ignore_index=True)
-        vectors = [[None if m is None or m != m else m for m in v] for v in pdf["minutes"]]
-        number = [0] * len(vectors)
-        for place, k in enumerate(settled(vectors)):
+    """The columns with ``number``, the place of each in its sheet, from rows (by, key, first, id, minutes, *). Columns start in the order of their first time and id."""
+    more = [c for c in columns.columns if c not in {*by, "key", "first", "id", "minutes"}]
+
+    def settle(found: list[tuple]) -> list[tuple]:
+        last = lambda x: (x is None, x)
+        found.sort(key=lambda r: (last(r[1]), last(r[2]), r[0]))
+        number = [0] * len(found)
+        for place, k in enumerate(settled([r[3] for r in found])):
             number[k] = place
-        return pdf[[*by, "key"]].assign(number=number)
+        return [(*r[4:], n) for r, n in zip(found, number, strict=True)]
 
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["key string, number int"])
-    return columns.select(*by, "key", "first", "id", "minutes").groupBy(*by).applyInPandas(settle, schema)
+    kinds = dict(columns.dtypes)
+    return folded(columns.select(*by, "key", "first", "id", "minutes", *more), by, settle, ", ".join([*(f"`{c}` {kinds[c]}" for c in more), "number int"]))
 
 
 def on_axis(axis: Column, places: Column, times: Column) -> Column:
     """A text of time for each place of the axis: "" where a trip calls without one, null where it doesn't call."""
-    called = F.filter(F.arrays_zip(places.alias("p"), times.alias("t")), lambda x: x["p"] >= 0)
-    at = F.map_from_entries(F.transform(called, lambda x: F.struct(x["p"], F.coalesce(x["t"], F.lit("")))))
     each = F.when(F.size(axis) > 0, F.sequence(F.lit(0), F.size(axis) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(times.isNotNull(), F.transform(each, lambda i: F.get(F.map_values(F.map_filter(at, lambda k, _: k == i)), F.lit(0))))
+    at = lambda i: F.array_position(places, i).cast("int")
+    return F.when(times.isNotNull(), F.transform(each, lambda i: F.when(at(i) > 0, F.coalesce(F.get(times, at(i) - 1), F.lit("")))))
 
 
 def timetables(rows: DataFrame, by: list[str], most: float) -> DataFrame:
@@ -190,11 +191,12 @@ def timetables(rows: DataFrame, by: list[str], most: float) -> DataFrame:
     met = named.alias("r").join(dealt.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "old_seq", "new_seq")])
     side = lambda g: on_axis(F.col("s.axis"), F.col(f"s.{g}_places"), F.col(f"r.{g}_times")).alias(f"{g}_times")
     cells = met.select(*[F.col(f"r.{b}").alias(b) for b in by], "s.sheet", "s.sheet_label", "s.axis", "r.id", "r.key", "r.old_id", "r.new_id", side("old"), side("new"))
-    minute = lambda t: F.floor(clock_seconds(t) / 60)
-    moved = F.transform(F.arrays_zip("old_times", "new_times"), lambda t, i: F.when(~minute(t["old_times"]).eqNullSafe(minute(t["new_times"])), i))
-    changed = F.when(F.col("old_times").isNotNull() & F.col("new_times").isNotNull(), F.filter(moved, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
-    shown = F.coalesce("new_times", "old_times")
-    first = F.get(F.filter(F.transform(shown, clock_seconds), lambda t: t.isNotNull()), F.lit(0))
-    timed = cells.withColumn("changed", changed).withColumn("minutes", F.transform(shown, minute)).withColumn("first", first)
-    numbered = ordered(timed, [*by, "sheet"])
-    return timed.join(numbered, [*by, "sheet", "key"]).select(*by, "sheet", "sheet_label", "axis", "number", "old_id", "new_id", "old_times", "new_times", "changed")
+    seconds = lambda g: F.transform(f"{g}_times", clock_seconds)
+    timed = cells.withColumn("_old", seconds("old")).withColumn("_new", seconds("new"))
+    minute = lambda t: F.floor(t / 60)
+    moved = F.transform(F.arrays_zip("_old", "_new"), lambda t, i: F.when(~minute(t["_old"]).eqNullSafe(minute(t["_new"])), i))
+    changed = F.when(F.col("_old").isNotNull() & F.col("_new").isNotNull(), F.filter(moved, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    shown = F.coalesce("_new", "_old")
+    first = F.get(F.filter(shown, lambda t: t.isNotNull()), F.lit(0))
+    timed = timed.withColumn("changed", changed).withColumn("minutes", F.transform(shown, minute)).withColumn("first", first).drop("_old", "_new")
+    return ordered(timed, [*by, "sheet"]).select(*by, "sheet", "sheet_label", "axis", "number", "old_id", "new_id", "old_times", "new_times", "changed")
