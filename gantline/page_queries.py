@@ -99,7 +99,7 @@ def stop_axes(spark, sf_dir):
 def key_stops(spark, sf_dir):
     """Ends, hubs and branches of each page."""
     scratch = Scratch(spark, "stops")
-    systems = scratch.put(order_systems(spark, sf_dir), "systems")
+    systems = scratch.put(order_systems(spark, sf_dir).repartition("page"), "systems")  # what is then counted of a page is mostly counted where it lies
     groups = pages.direction_groups(systems, load()["presentation"], scratch)
     calls = systems.select("page", F.explode("stops").alias("stop"))
     return pages.key_stops(groups, systems.select("page", "system", F.col("stops").alias("seq")), calls, load()["presentation"]["hub_min_groups"])

@@ -25,12 +25,14 @@ from .sheets import timetables
 #: How directions are named.
 LOOP, BOTH_WAYS, ONE_WAY, FIRST_AROUND, SECOND = "%s 循環", "%s ⇄ %s", "%s → %s", "%s（%s先回り）", "（2）"
 LEG = ["page", "dgroup", "leg"]
+#: Systems of a page up to which each is compared with each; those of larger pages meet by rare stops.
+FEW_SYSTEMS = 200
 
 
 @F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of pairs of common stops that stand in the same order; null with under two common stops."""
-    return pd.Series([order_share(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else order_share(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def text(pattern: str, *parts: Column) -> Column:
@@ -87,6 +89,27 @@ def systems(c: Comparison, pages: DataFrame, scratch: Scratch) -> Systems:
     return Systems(scratch.put(told, "systems"), of, scratch.put(patterns, "system-patterns"), placed)
 
 
+def alike(rows: DataFrame, least: float, shared: int, scratch: Scratch, few: int = FEW_SYSTEMS) -> DataFrame:
+    """(a, b, stops_a, stops_b) with a < b: the nodes of a page with so many common stops and a similarity of at least ``least``, from rows (page, node, stops).
+
+    Systems of a page meet each other in one join by page; on pages with more than ``few`` of them only those that share rare stops meet.
+    """
+    side = lambda df, n: df.select("page", F.col("node").alias(n), F.col("stops").alias(f"stops_{n}"), F.array_distinct("stops").alias(f"set_{n}"))
+    crowded = rows.groupBy("page").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("page")
+    some = crowded.limit(1).count() > 0
+    small = (rows.join(crowded, "page", "left_anti") if some else rows).filter(F.size(F.array_distinct("stops")) >= shared)
+    both, all_ = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    sized = F.least(F.size("set_a"), F.size("set_b")) >= least * F.greatest(F.size("set_a"), F.size("set_b")) - 1e-9
+    pairs = side(small, "a").join(side(small, "b"), "page").filter((F.col("a") < F.col("b")) & sized & (both >= shared) & (both / (all_ - both) >= least - 1e-12))
+    found = pairs.select("a", "b", "stops_a", "stops_b")
+    if some:
+        large = scratch.put(rows.join(crowded, "page", "left_semi"), "crowded")
+        sets = large.select(F.col("node").alias("name"), "page", F.explode(F.array_distinct("stops")).alias("stop")).select("name", F.concat_ws("\x1f", "page", "stop").alias("item"))
+        met = similar_sets(sets, least, scratch).filter(F.col("both") >= shared).select("a", "b")
+        found = found.unionByName(met.join(side(large, "a").select("a", "stops_a"), "a").join(side(large, "b").select("b", "stops_b"), "b").select("a", "b", "stops_a", "stops_b"))
+    return found
+
+
 def direction_groups(rows: DataFrame, c: dict, scratch: Scratch) -> DataFrame:
     """(page, system, stops, trips, dgroup, leg, kind, label, leg_label, canonical) from rows (page, system, stops, trips, earliest).
 
@@ -96,20 +119,18 @@ def direction_groups(rows: DataFrame, c: dict, scratch: Scratch) -> DataFrame:
     """
     key = lambda name: F.concat_ws("\x1f", "page", name)
     rows = scratch.put(rows.select("page", "system", "stops", "trips", "earliest", key("system").alias("node")), "systems")
-    sets = rows.select(F.col("node").alias("name"), "page", F.explode(F.array_distinct("stops")).alias("stop")).select("name", key("stop").alias("item"))
-    pairs = similar_sets(sets, c["direction_pair_jaccard"], scratch).filter(F.col("both") >= c["direction_min_shared_stops"])
-    side = lambda n: rows.select(F.col("node").alias(n), F.col("stops").alias(f"stops_{n}"))
-    met = scratch.put(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "alike")
+    met = scratch.put(alike(rows, c["direction_pair_jaccard"], c["direction_min_shared_stops"], scratch), "alike")
     shares = met.select("stops_a", "stops_b").distinct().withColumn("share", agreement("stops_a", "stops_b"))  # each distinct pair of sequences once
     turned, same = F.col("share") <= c["direction_reversed_max_agreement"], F.col("share") >= c["direction_same_min_agreement"]
     labels = components(met.join(shares.filter(turned | same), ["stops_a", "stops_b"]).select("a", "b"), scratch)
     grouped = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     whole = Window.partitionBy("page", "component").orderBy(F.desc("trips"), F.col("earliest").asc_nulls_last(), "system").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    led = scratch.put(grouped.withColumn("canonical", F.first("stops").over(whole)), "led")
-    against = F.coalesce(agreement("stops", "canonical") <= c["direction_reversed_max_agreement"], F.lit(False))
+    led = grouped.repartition("page").withColumn("canonical", F.first("stops").over(whole))
+    other = lambda name: F.when(F.col("stops") != F.col("canonical"), F.col(name))  # noqa: E731 - a sequence isn't compared with itself
+    against = F.coalesce(agreement(other("stops"), other("canonical")) <= c["direction_reversed_max_agreement"], F.lit(False))
     legs = scratch.put(led.withColumn("leg", F.when(against, "reverse").otherwise("forward")), "legs")
-    legs = legs.withColumn("back", F.first(F.when(F.col("leg") == "reverse", F.col("stops")), ignorenulls=True).over(whole))
+    legs = legs.repartition("page").withColumn("back", F.first(F.when(F.col("leg") == "reverse", F.col("stops")), ignorenulls=True).over(whole))
 
     first, last = F.get("canonical", F.lit(0)), F.get("canonical", F.size("canonical") - 1)
     loop, two = first == last, F.col("back").isNotNull()
@@ -126,11 +147,12 @@ def direction_groups(rows: DataFrame, c: dict, scratch: Scratch) -> DataFrame:
     forward = F.when(loop & two, ahead).otherwise(F.when(loop, label).otherwise(text(ONE_WAY, first, last)))
     reverse = F.when(loop & two, F.when(ahead == back, F.concat(back, F.lit(SECOND))).otherwise(back)).otherwise(text(ONE_WAY, last, first))
     named = legs.withColumn("kind", kind).withColumn("label", label).withColumn("leg_label", F.when(F.col("leg") == "forward", forward).otherwise(reverse))
-    # The busiest group of a page is dg0.
-    sizes = legs.groupBy("page", "component").agg(F.sum("trips").alias("all"), F.min(F.struct(F.col("system").startswith("old:").alias("old"), "system")).alias("least"))
-    place = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("all"), "least")) - 1
-    numbered = sizes.select("page", "component", F.concat(F.lit("dg"), place.cast("string")).alias("dgroup"))
-    return scratch.put(named.join(numbered, ["page", "component"]).select("page", "system", "stops", "trips", "earliest", "dgroup", "leg", "kind", "label", "leg_label", "canonical"), "direction-groups")
+    # The busiest group of a page is dg0. All of it is dealt by page, so these windows need no further shuffle.
+    group = Window.partitionBy("page", "component")
+    sized = named.withColumn("all", F.sum("trips").over(group)).withColumn("least", F.min(F.struct(F.col("system").startswith("old:").alias("old"), "system")).over(group))
+    place = F.dense_rank().over(Window.partitionBy("page").orderBy(F.desc("all"), "least")) - 1
+    numbered = sized.withColumn("dgroup", F.concat(F.lit("dg"), place.cast("string")))
+    return scratch.put(numbered.select("page", "system", "stops", "trips", "earliest", "dgroup", "leg", "kind", "label", "leg_label", "canonical"), "direction-groups")
 
 
 def maximal(sequences: DataFrame, by: list[str]) -> DataFrame:
@@ -170,15 +192,20 @@ def key_stops(groups: DataFrame, patterns: DataFrame, calls: DataFrame, hub_page
     """(page, stop, tier): 1 for the ends of a direction group's busiest system and stops of so many pages, 2 for the ends of any sequence and where lines of the forward leg part or
     meet. patterns is (page, system, seq), calls (page, stop) over all pages."""
     ends = lambda seq: F.array(F.get(seq, F.lit(0)), F.get(seq, F.size(seq) - 1))
-    of = patterns.filter(F.size("seq") > 0).join(groups.select("page", "system", "dgroup", "leg"), ["page", "system"])
     terminal = groups.select("page", F.explode(ends(F.col("canonical"))).alias("stop")).select("page", "stop", F.lit(1).alias("tier"))
-    end = of.select("page", F.explode(ends(F.col("seq"))).alias("stop"), F.lit(2).alias("tier"))
-    pair = F.arrays_zip(F.slice("seq", 1, F.size("seq") - 1).alias("a"), F.slice("seq", 2, F.size("seq")).alias("b"))
-    steps = of.filter((F.col("leg") == "forward") & (F.size("seq") > 1)).select("page", "dgroup", F.explode(pair).alias("s")).select("page", "dgroup", "s.a", "s.b").distinct()
-    parted = lambda one: steps.groupBy("page", "dgroup", F.col(one).alias("stop")).agg(F.count("*").alias("n")).filter("n > 1").select("page", "stop", F.lit(2).alias("tier"))
+    # Ends and steps of sequences are dealt by page once; what is counted of them needs no further shuffle.
+    of = patterns.filter(F.size("seq") > 0).join(groups.select("page", "system", "dgroup", "leg"), ["page", "system"]).select("page", "dgroup", "leg", "seq").repartition("page")
+    n = F.size("seq")
+    steps = F.when((F.col("leg") == "forward") & (n > 1), F.arrays_zip(F.slice("seq", 1, n - 1).alias("a"), F.slice("seq", 2, n).alias("b"))).otherwise(F.array())
+    told = lambda end, a, b: F.struct(F.lit(end).alias("end"), a.alias("a"), b.alias("b"))
+    facts = F.concat(F.transform(ends(F.col("seq")), lambda x: told(True, x, x)), F.transform(steps, lambda s: told(False, s["a"], s["b"])))
+    distinct = of.select("page", "dgroup", F.explode(facts).alias("f")).select("page", "dgroup", "f.end", "f.a", "f.b").distinct()
+    at = lambda way, stop: F.struct(F.lit(way).alias("way"), F.col(stop).alias("stop"))
+    sides = distinct.select("page", "dgroup", F.explode(F.when(F.col("end"), F.array(at("end", "a"))).otherwise(F.array(at("out", "a"), at("in", "b")))).alias("s"))
+    parted = sides.groupBy("page", "dgroup", "s.way", "s.stop").agg(F.count("*").alias("n")).filter("way = 'end' OR n > 1").select("page", "stop", F.lit(2).alias("tier"))
     hubs = calls.distinct().groupBy("stop").agg(F.count("*").alias("n")).filter(F.col("n") >= hub_pages).select("stop")
     hub = groups.select("page", F.explode("stops").alias("stop")).distinct().join(hubs, "stop").select("page", "stop", F.lit(1).alias("tier"))
-    return terminal.unionByName(end).unionByName(parted("a")).unionByName(parted("b")).unionByName(hub).groupBy("page", "stop").agg(F.min("tier").alias("tier"))
+    return terminal.unionByName(parted).unionByName(hub).groupBy("page", "stop").agg(F.min("tier").alias("tier"))
 
 
 def change_units(moved: DataFrame, totals: DataFrame, announced: DataFrame, full: float) -> DataFrame:
