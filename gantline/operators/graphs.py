@@ -132,6 +132,31 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return spread.join(right.withColumn("_y", floor("lat2")).withColumn("_x", floor("lon2")), ["_y", "_x"]).drop("_y", "_x")
 
 
+#: Points of one place that travel as one list, and pairs that a task makes.
+PLACE_LIST, TASK_PAIRS = 1000, 5_000_000
+
+
+def near_pairs(left: DataFrame, right: DataFrame, cell: float, radius: float, scratch: Scratch) -> DataFrame:
+    """(a, b, metres) of points (a, lat, lon) and (b, lat2, lon2) whose grid cells touch and that lie within ``radius`` metres.
+
+    Distances are measured once for each two places, however many points share them. Points of a place travel as lists; pairs of lists are dealt to tasks by how many pairs
+    of points they make, which is as many as there are results.
+    """
+
+    def lists(points: DataFrame, key: str, at: list[str]) -> DataFrame:
+        counts = points.groupBy(*at).agg(F.count("*").alias("_n"))
+        part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / PLACE_LIST))
+        return scratch.put(points.join(counts, at).groupBy(*at, part.alias("_part")).agg(F.collect_list(key).alias(f"_{key}")), f"places-{key}")
+
+    of_a, of_b = lists(left.select("a", "lat", "lon"), "a", ["lat", "lon"]), lists(right.select("b", "lat2", "lon2"), "b", ["lat2", "lon2"])
+    met = grid_join(of_a.select("lat", "lon").distinct(), of_b.select("lat2", "lon2").distinct(), cell)
+    near = met.withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("metres") <= radius)
+    pairs = scratch.put(near.join(of_a.drop("_part"), ["lat", "lon"]).join(of_b.drop("_part"), ["lat2", "lon2"]).select("_a", "_b", "metres"), "near")
+    made = pairs.agg(F.sum(F.size("_a").cast("long") * F.size("_b"))).first()[0] or 0
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-made // TASK_PAIRS))
+    return pairs.repartition(parts).select(F.explode("_a").alias("a"), "_b", "metres").select("a", F.explode("_b").alias("b"), "metres")
+
+
 def date_runs(dates: DataFrame, by: list[str], day: str = "day") -> DataFrame:
     """Runs of consecutive days (start, end, days) of each group, broken at year ends."""
     w = Window.partitionBy(*by, F.year(day)).orderBy(day)

@@ -227,8 +227,7 @@ def grid_radius_link(spark, sf_dir):
     points = table(spark, sf_dir, "supplier").select(k, (35 + (k * 7919 % 1000) / 50000.0).alias("lat"), (139 + (k * 104729 % 1000) / 50000.0).alias("lon"))
     left = points.filter("s_suppkey % 2 = 1").withColumnRenamed("s_suppkey", "a")
     right = points.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = graphs.grid_join(left, right, 300 / 111000.0).withColumn("m", C.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return near.filter("m <= 300").select("a", "b", F.round("m", 1).alias("metres"))
+    return graphs.near_pairs(left, right, 300 / 111000.0, 300, Scratch(spark, "near")).select("a", "b", F.round("metres", 1).alias("metres"))
 
 
 def user_days(spark, sf_dir) -> DataFrame:
