@@ -9,13 +9,40 @@ from ..functions.columns import EARTH_M, haversine
 from ..sources.scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges for each node up to which labels travel along all of them.
+FEW_EDGES = 4
+
+
+def components(edges: DataFrame, scratch: Scratch, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) from edges (a, b): the smallest node that edges reach.
 
+    Where there are many edges for each node, labels travel first along two edges of a node only, to its smallest and its largest neighbour. All edges are then read once more: what
+    still joins two components is a graph of components, with fewer than half the nodes, and goes the same way.
+    """
+    whole = scratch.put(edges.select("a", "b"), "edges")
+    end = lambda n, other: whole.groupBy(F.col(n).alias("node")).agg(F.min(other).alias("lo"), F.max(other).alias("hi"))
+    ends = end("a", "b").unionByName(end("b", "a")).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = scratch.put(ends, "ends")
+    turned = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if whole.count() <= few * ends.count():
+        return spread(scratch.put(turned(whole).distinct(), "both"), scratch)
+    two = ends.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    labels = spread(scratch.put(turned(two).distinct(), "both"), scratch)
+    of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"_{n}"))
+    apart = whole.join(of("a"), "a").select("b", "_a").join(of("b"), "b").filter("_a <> _b")
+    rest = scratch.put(apart.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "rest")
+    if not rest.limit(1).count():
+        return labels
+    up = components(rest, scratch, few).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+
+
+def spread(both: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components of edges (a, b) that are written both ways.
+
     A round takes the smallest label among a node and its neighbours, and then that label's own label, so labels
     travel twice as far each round.
     """
-    both = scratch.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
