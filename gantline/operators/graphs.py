@@ -93,13 +93,17 @@ def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "
     pairs. What they cost is summed up over items beforehand: with a low threshold nearly all items are first ones, and comparing pairs again is waste,
     while with a high one the common items never meet. Where all items together meet few others, they are counted without more ado; ``counted`` takes one of the ways without asking.
     """
-    rows = (scratch or Scratch(sets.sparkSession, "jaccard")).put(sets.select("side", "name", "item").distinct().withColumn("size", F.count("*").over(Window.partitionBy("side", "name"))), "sets")
+    rows = (scratch or Scratch(sets.sparkSession, "jaccard")).put(sets.select("side", "name", "item").repartition("side", "name").distinct().withColumn("size", F.count("*").over(Window.partitionBy("side", "name"))), "sets")
     half = lambda df, side, name, *more: df.filter(F.col("side") == side).select(F.col("name").alias(name), *more)
     sides = lambda df: half(df, left, "a", "item", F.col("size").alias("n_a")).join(half(df, right, "b", "item", F.col("size").alias("n_b")), "item").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     common = rows.groupBy("item").agg(F.count("*").alias("sets"), F.sum((F.col("side") == left).cast("double")).alias("l"), F.sum((F.col("side") == right).cast("double")).alias("r"))
     if counted is None:
-        whole, items = common.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r"))).first()
+        whole, items, most = common.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r")), F.max(F.greatest("l", "r"))).first()
         counted = not items or whole <= FEW_MEETINGS * items or None
+        if counted is None:
+            # An item that isn't among a set's first ones spares no more meetings than the item has sets on the other side.
+            n_sets, later = rows.agg(F.sum(1 / F.col("size")), F.sum((F.ceil(F.col("size") * least - 1e-9) - 1) / F.col("size"))).first()
+            counted = whole <= (whole - later * most) * (1 + items / n_sets) or None
     if not counted:
         place = F.row_number().over(Window.partitionBy("side", "name").orderBy("sets", "item"))
         placed = rows.join(common.select("item", "sets"), "item").withColumn("place", place)
@@ -107,9 +111,9 @@ def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "
         if counted is None:
             of = lambda side: F.sum((F.col("side") == side).cast("double"))
             met = early.groupBy("item").agg((of(left) * of(right)).alias("met")).agg(F.sum("met")).first()[0]
-            counted = whole <= met * (1 + items / rows.agg(F.sum(1 / F.col("size"))).first()[0])
+            counted = whole <= met * (1 + items / n_sets)
     if counted:
-        both = sides(rows).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+        both = common_items(half(rows, left, "a", "item", F.col("size").alias("n_a")), half(rows, right, "b", "item", F.col("size").alias("n_b")), least)
     else:
         met = sides(early).select("a", "b", "n_a", "n_b").distinct()
         whole = rows.groupBy("side", "name").agg(F.collect_list("item").alias("items"))
@@ -119,6 +123,27 @@ def set_jaccard(sets: DataFrame, least: float, left: str = "old", right: str = "
     return both.select("a", "b", "both", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
 
 
+#: Names that a list of an item's sets may hold, and items of a set that meet their lists in one task.
+LIST, TASK_ITEMS = 1024, 100_000
+
+
+def common_items(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, n_a, n_b, both): how many items sets have in common, from rows (a, item, n_a) and (b, item, n_b), where their sizes allow a similarity of ``least``.
+
+    An item's sets of the other side travel as lists to each set that has it, not as a row for each meeting, and are counted where they arrive; the items of very large sets are counted in pieces.
+    """
+    numbered = b.withColumn("_list", F.floor((F.row_number().over(Window.partitionBy("item").orderBy("b")) - 1) / LIST))
+    lists = numbered.groupBy("item", "_list").agg(F.collect_list(F.struct("b", "n_b")).alias("m"))
+    lists = lists.select("item", F.transform("m", lambda x: x["b"]).alias("b"), F.transform("m", lambda x: x["n_b"]).alias("n_b"))  # two plain arrays are a third of one of structs
+    piece = F.pmod(F.xxhash64("item"), F.ceil(F.col("n_a") / TASK_ITEMS)).cast("int")
+    met = a.withColumn("_piece", piece).join(lists, "item").select("a", "n_a", "_piece", "b", "n_b").repartition("a", "_piece").select("a", "n_a", "_piece", F.inline(F.arrays_zip("b", "n_b")))
+    met = met.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    found = met.groupBy("a", "_piece", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    if (a.agg(F.max("n_a")).first()[0] or 0) > TASK_ITEMS:
+        return found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    return found.drop("_piece")
+
+
 def similar_sets(sets: DataFrame, least: float, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, both, jaccard) with a < b, of sets (name, item) of one kind."""
     twice = sets.select(F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side"), "name", "item")
